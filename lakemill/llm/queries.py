@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, token_files
-from .common import cut, table
+from . import language, packing, token_files, toxicity, url_rules
+from .common import fold, table
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,13 +20,47 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.join(files.doc_ids, ["part", "at"]).select("doc_id", "start", "n_tokens", "ids_crc32", "part")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by its nearest labelled examples."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, toxicity.training_labels(table(spark, sf_dir, "labels")))
+    scored = toxicity.score(docs, model, ["doc_id"])
+    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted", "evidence")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, cut and packed into sequences of 2048 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language."""
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs.where(fold("doc_id", 4) != 2))
+    return language.predict(docs, model, ["doc_id"]).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+#: Path rules of op10.
+PATH_RULES = [
+    url_rules.PathRule("com", "en/", "block"),
+    url_rules.PathRule("example.com", "en/7", "allow"),
+    url_rules.PathRule("net", "de/", "allow"),
+    url_rules.PathRule("example.net", "de/8", "block"),
+    url_rules.PathRule("org", "es/", "block"),
+]
+
+
+def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url judged by path rules, then by rules mined from labels of the pages with the same id."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    labels = table(spark, sf_dir, "labels")
+    bad = labels.select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("blocked"))
+    mined = url_rules.mine(pages.join(bad, "page_id"))
+    return url_rules.judge(pages, PATH_RULES, mined).select("page_id", "host", "path", "rule", "verdict", "token_rule")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_files, op8_packing)}
+    return {f.__name__: f for f in (op3_token_files, op7_toxicity, op8_packing, op9_language, op10_url_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
