@@ -8,10 +8,60 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, packing, token_files, toxicity, url_rules
+from . import language, mixing, near_vectors, packing, token_files, toxicity, url_rules
 from .common import fold, table
 
 
+#: The mixture of op1 and of the pipeline.
+MIX_TREE = mixing.Tree(
+    domains={"web": 5, "reference": 3, "community": 2},
+    languages={"en": 5, "de": 2, "fr": 2, "es": 1},
+    sources={"src19": 2},
+    domain_of=(("src0", "web"), ("src1", "reference")),
+    other_domain="community",
+)
+MIX_SHARE, MIX_EPOCHS, MIX_SEED = 0.6, 2, 17
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents taken for 60 % of all tokens, divided by domain, language and source."""
+    return mixing.selection(mixing.plan(table(spark, sf_dir, "documents"), MIX_TREE, MIX_SHARE, MIX_EPOCHS, MIX_SEED))
+
+
+def _divide_sql(name: str, nodes: str, parent: str, child: str) -> str:
+    """The CTEs that divide each parent's amount among its children."""
+    return f"""
+{name}_1 AS (SELECT *, coalesce(sum(cap) OVER (PARTITION BY {parent} ORDER BY cap / weight, {child} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cap_before,
+  sum(weight) OVER (PARTITION BY {parent}) - coalesce(sum(weight) OVER (PARTITION BY {parent} ORDER BY cap / weight, {child} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS w_left
+  FROM ({nodes})),
+{name}_2 AS (SELECT *, cap::HUGEINT * w_left::HUGEINT <= (amount - cap_before)::HUGEINT * weight::HUGEINT AS is_full FROM {name}_1),
+{name}_3 AS (SELECT *, amount - coalesce(sum(cap) FILTER (is_full) OVER (PARTITION BY {parent}), 0) AS rest, sum(weight) FILTER (NOT is_full) OVER (PARTITION BY {parent}) AS w_rest FROM {name}_2),
+{name}_4 AS (SELECT *, CASE WHEN is_full THEN cap::HUGEINT ELSE (rest::HUGEINT * weight::HUGEINT) // w_rest::HUGEINT END AS part FROM {name}_3),
+{name}_5 AS (SELECT *, rest - sum(part) FILTER (NOT is_full) OVER (PARTITION BY {parent}) AS spare, row_number() OVER (PARTITION BY {parent}, is_full ORDER BY {child}) AS turn FROM {name}_4),
+{name} AS (SELECT *, (part + CASE WHEN NOT is_full AND turn <= spare THEN 1 ELSE 0 END)::BIGINT AS got FROM {name}_5)"""
+
+
+OP1_SQL = rf"""
+WITH keys AS (
+  SELECT doc_id, CASE WHEN starts_with(source, 'src0') THEN 'web' WHEN starts_with(source, 'src1') THEN 'reference' ELSE 'community' END AS domain,
+    coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(len(regexp_extract_all(text, '[^ 	-]+')), 0) AS n
+  FROM documents
+),
+leaves AS (SELECT domain, lang, source, sum(n)::BIGINT AS tokens, (sum(n) * {MIX_EPOCHS})::BIGINT AS cap,
+  CASE WHEN source = 'src19' THEN 2 ELSE 1 END AS weight FROM keys GROUP BY domain, lang, source),
+budget AS (SELECT floor(sum(tokens)::BIGINT * {MIX_SHARE}::DOUBLE)::BIGINT AS amount FROM leaves),
+{_divide_sql("top", "SELECT 0 AS root, domain, sum(cap)::BIGINT AS cap, CASE domain WHEN 'web' THEN 5 WHEN 'reference' THEN 3 ELSE 2 END AS weight, (SELECT amount FROM budget) AS amount FROM leaves GROUP BY domain", "root", "domain")},
+{_divide_sql("mid", "SELECT l.domain, lang, sum(l.cap)::BIGINT AS cap, CASE lang WHEN 'en' THEN 5 WHEN 'de' THEN 2 WHEN 'fr' THEN 2 ELSE 1 END AS weight, any_value(top.got) AS amount FROM leaves l JOIN top USING (domain) GROUP BY l.domain, lang", "domain", "lang")},
+{_divide_sql("low", "SELECT l.domain, l.lang, source, tokens, l.cap, l.weight, mid.got AS amount FROM leaves l JOIN mid USING (domain, lang)", "domain, lang", "source")},
+plan AS (SELECT domain, lang, source, got // tokens AS epochs, got % tokens AS rest FROM low WHERE tokens > 0),
+keyed AS (SELECT k.*, epochs, rest, md5('{MIX_SEED}:' || epochs || ':' || coalesce(doc_id::VARCHAR, '')) AS key FROM keys k JOIN plan USING (domain, lang, source)),
+placed AS (SELECT *, sum(n) OVER (PARTITION BY domain, lang, source ORDER BY key) - sum(n) OVER (PARTITION BY domain, lang, source, key) AS before FROM keyed)
+SELECT doc_id, domain, lang, source, e AS epoch, n::BIGINT AS n_tokens,
+  (CASE WHEN e = epochs AND before + n > rest THEN rest - before ELSE n END)::BIGINT AS taken_tokens
+FROM (SELECT *, unnest(range(0, epochs + CASE WHEN before < rest THEN 1 ELSE 0 END)) AS e FROM placed)
+"""
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of documents as token files, read back."""
     docs = table(spark, sf_dir, "documents")
@@ -20,6 +70,32 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.join(files.doc_ids, ["part", "at"]).select("doc_id", "start", "n_tokens", "ids_crc32", "part")
 
 
+def op5_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings, linked within their label at a cosine of 0.93."""
+    return near_vectors.near_duplicates(table(spark, sf_dir, "embeddings"), 0.93)
+
+
+#: Vectors of plain values; all pairs of a label by the same cosine.
+OP5_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+), good AS (
+  SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0
+    AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_inner_product(e, e) > 0
+), pairs AS (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_inner_product(a.e, b.e) / (sqrt(list_inner_product(a.e, a.e)) * sqrt(list_inner_product(b.e, b.e))) >= 0.93
+), reach AS (
+  SELECT vec_id AS u, vec_id AS v FROM v
+  UNION
+  SELECT reach.u, pairs.v FROM reach JOIN pairs ON reach.v = pairs.u
+), least AS (SELECT u, min(v) AS component_id FROM reach GROUP BY u),
+n AS (SELECT u, count(*) AS n_links FROM pairs GROUP BY u)
+SELECT v.vec_id, coalesce(n.n_links, 0)::BIGINT AS n_links, least.component_id, v.vec_id = least.component_id AS kept
+FROM v JOIN least ON least.u = v.vec_id LEFT JOIN n ON n.u = v.vec_id
+"""
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document scored by its nearest labelled examples."""
     docs = table(spark, sf_dir, "documents")
@@ -60,8 +136,8 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_files, op7_toxicity, op8_packing, op9_language, op10_url_rules)}
+    return {f.__name__: f for f in (op1_mixing, op3_token_files, op5_near_vectors, op7_toxicity, op8_packing, op9_language, op10_url_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_mixing": OP1_SQL, "op5_near_vectors": OP5_SQL}
