@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, near_vectors, packing, token_files, toxicity, url_rules
+from . import language, mixing, near_vectors, packing, spotsigs, token_files, toxicity, url_rules
 from .common import fold, table
 
 
@@ -44,7 +44,8 @@ def _divide_sql(name: str, nodes: str, parent: str, child: str) -> str:
 OP1_SQL = rf"""
 WITH keys AS (
   SELECT doc_id, CASE WHEN starts_with(source, 'src0') THEN 'web' WHEN starts_with(source, 'src1') THEN 'reference' ELSE 'community' END AS domain,
-    coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(len(regexp_extract_all(text, '[^ 	-]+')), 0) AS n
+    coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(len(regexp_extract_all(text, '[^ 	-
+]+')), 0) AS n
   FROM documents
 ),
 leaves AS (SELECT domain, lang, source, sum(n)::BIGINT AS tokens, (sum(n) * {MIX_EPOCHS})::BIGINT AS cap,
@@ -62,6 +63,39 @@ FROM (SELECT *, unnest(range(0, epochs + CASE WHEN before < rest THEN 1 ELSE 0 E
 """
 
 
+def op2_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint, its edited text's, and their likeness."""
+    t = spotsigs.edited_fingerprints(table(spark, sf_dir, "documents"))
+    flat = lambda c: F.array_join(c, "")
+    return t.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), flat("signatures").alias("fingerprint"), flat("edited_signatures").alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+def _spots_sql(text: str) -> str:
+    anchors = ", ".join(f"'{a}'" for a in spotsigs.ANCHORS)
+    words = rf"list_filter(string_split_regex(lower({text}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
+    items = f"list_filter(string_split(array_to_string(list_transform({words}, lambda w: CASE WHEN w IN ({anchors}) THEN w || '_' ELSE w || ' ' END), ''), ' '), lambda x: x <> '' AND NOT ends_with(x, '_'))"
+    return f"""
+  SELECT doc_id, t, n_chars, e, list_sort(list_distinct(CASE WHEN len(s) > 0 THEN s WHEN len(c) > 0 THEN list_transform(c, lambda x, i: substr(md5(' ' || x || ' ' || coalesce(c[i + 1], '')), 1, 8))
+    WHEN {text} = '' THEN [] ELSE [substr(md5({text}), 1, 8)] END)) AS sigs
+  FROM (SELECT *, flatten(list_transform(items, lambda x, i: list_transform(string_split(x, '_')[:-2], lambda a: substr(md5(a || ' ' || c[i] || ' ' || coalesce(c[i + 1], '')), 1, 8)))) AS s
+    FROM (SELECT *, list_transform(items, lambda x: string_split(x, '_')[-1]) AS c FROM (SELECT *, {items} AS items FROM d)))"""
+
+
+OP2_SQL = f"""
+WITH d0 AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n_chars,
+  coalesce(lead(coalesce(text, '')) OVER (ORDER BY doc_id), first_value(coalesce(text, '')) OVER (ORDER BY doc_id)) AS nt FROM documents),
+d AS (SELECT *, left(t, n_chars - n_chars // 4) || left(nt, n_chars // 4) AS e FROM d0),
+a AS ({_spots_sql("t")}),
+b AS ({_spots_sql("e")}),
+j AS (SELECT a.doc_id, a.n_chars, a.e, a.sigs, b.sigs AS esigs,
+  coalesce(lead(a.sigs) OVER (ORDER BY a.doc_id), first_value(a.sigs) OVER (ORDER BY a.doc_id)) AS nsigs FROM a JOIN b ON a.doc_id = b.doc_id)
+SELECT doc_id, n_chars, sha256(e) AS edited_sha256, array_to_string(sigs, '') AS fingerprint, array_to_string(esigs, '') AS edited_fingerprint,
+  CASE WHEN len(sigs) + len(esigs) = 0 THEN 1.0 ELSE len(list_intersect(sigs, esigs))::DOUBLE / (len(sigs) + len(esigs) - len(list_intersect(sigs, esigs))) END AS near_edited,
+  CASE WHEN len(sigs) + len(nsigs) = 0 THEN 1.0 ELSE len(list_intersect(sigs, nsigs))::DOUBLE / (len(sigs) + len(nsigs) - len(list_intersect(sigs, nsigs))) END AS near_next
+FROM j
+"""
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of documents as token files, read back."""
     docs = table(spark, sf_dir, "documents")
@@ -136,8 +170,8 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op3_token_files, op5_near_vectors, op7_toxicity, op8_packing, op9_language, op10_url_rules)}
+    return {f.__name__: f for f in (op1_mixing, op2_spotsigs, op3_token_files, op5_near_vectors, op7_toxicity, op8_packing, op9_language, op10_url_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL, "op5_near_vectors": OP5_SQL}
+    return {"op1_mixing": OP1_SQL, "op2_spotsigs": OP2_SQL, "op5_near_vectors": OP5_SQL}
