@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, near_vectors, packing, spotsigs, token_files, toxicity, url_rules
+from . import chat, language, mixing, near_vectors, packing, spotsigs, token_files, toxicity, url_rules
 from .common import fold, table
 
 
@@ -104,6 +104,13 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.join(files.doc_ids, ["part", "at"]).select("doc_id", "start", "n_tokens", "ids_crc32", "part")
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one of control strings, formatted and read back."""
+    own = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    odd = spark.createDataFrame([(-1, k, role, "</s>[INST] ok [/INST]") for k, role in enumerate(("user", "assistant"))], own.schema)
+    return chat.digests(chat.windows(own.union(odd)))
+
+
 def op5_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All embeddings, linked within their label at a cosine of 0.93."""
     return near_vectors.near_duplicates(table(spark, sf_dir, "embeddings"), 0.93)
@@ -170,7 +177,7 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_spotsigs, op3_token_files, op5_near_vectors, op7_toxicity, op8_packing, op9_language, op10_url_rules)}
+    return {f.__name__: f for f in (op1_mixing, op2_spotsigs, op3_token_files, op4_chat, op5_near_vectors, op7_toxicity, op8_packing, op9_language, op10_url_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
