@@ -7,18 +7,32 @@ words recur, and looking a word up is some twenty times cheaper than merging it
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
 
 #: Words kept in one generation of the memory; two generations are held.
-MEMORY = 400_000
+MEMORY = 200_000
 
 #: Texts with other white space, control characters or the start of a special token are encoded in one piece.
 _PLAIN = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f\x85\xa0  -     　]|<\\|")
 
+#: A run of Latin letters that white space or simple punctuation ends is a word of its own in both files, and so is that punctuation.
+_LETTERS = "[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+"
+_ENDS = r"(?=[\s.,]|\Z)"
+
 #: How a text falls into words: either white space is dropped, or one space goes with the word after it.
-_WORDS = {"dropped": re.compile(r"\S+"), "leading": re.compile(r" ?\S+|\s+(?!\S)|\s")}
+_WORDS = {
+    "dropped": re.compile(rf"{_LETTERS}{_ENDS}|[.,]+(?=\s|\Z)|\S+"),
+    "leading": re.compile(rf" ?{_LETTERS}{_ENDS}|[.,]+(?=\s|\Z)| ?\S+|\s+(?!\S)|\s"),
+}
+
+
+def _byte_letters() -> dict[int, int]:
+    """Byte-level files write each byte as a letter: visible Latin-1 characters stand for themselves, the others from 256 on."""
+    seen = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    return {b: b for b in seen} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in {*seen})}
 
 
 class Encoder:
@@ -28,6 +42,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merge = self.tokenizer.model.tokenize
+        self.lower = spaces == "dropped"  # that file's normalizer puts all in lower case
+        self.plain = re.compile(f" ?{_LETTERS}").fullmatch
+        self.letters = _byte_letters()
         self.find = _WORDS[spaces].findall
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -36,13 +54,23 @@ class Encoder:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[str]) -> None:
+        """Words of Latin letters go to the merges at once, without the search for word boundaries; others to the whole tokenizer."""
+        new, old, rest = self.new, self.old, []
         for w in words:
-            if w in self.old:
-                self.new[w] = self.old[w]
-        words = [w for w in words if w not in self.new]
-        for a in range(0, len(words), 5000):
-            part = words[a : a + 5000]
-            self.new.update(zip(part, self._ids(part), strict=True))
+            ids = old.get(w)
+            if ids is None and self.plain(w):
+                key = w.lower() if self.lower else w
+                ids = new.get(key) or old.get(key)
+                if ids is None:
+                    ids = array("I", [t.id for t in self.merge(key.encode().decode("latin-1").translate(self.letters))]).tobytes()
+                    new[key] = ids
+            if ids is None:
+                rest.append(w)
+            else:
+                new[w] = ids
+        for a in range(0, len(rest), 5000):
+            part = rest[a : a + 5000]
+            new.update(zip(part, self._ids(part), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; null counts as empty."""
