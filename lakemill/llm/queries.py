@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, language, mixing, near_vectors, packing, spotsigs, token_files, toxicity, url_rules
+from . import chat, language, mixing, near_vectors, ngram_join, packing, spotsigs, token_files, toxicity, url_rules
 from .common import fold, table
 
 
@@ -137,6 +137,11 @@ FROM v JOIN least ON least.u = v.vec_id LEFT JOIN n ON n.u = v.vec_id
 """
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, linked where three quarters of their five-word shingles are the same."""
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document scored by its nearest labelled examples."""
     docs = table(spark, sf_dir, "documents")
@@ -177,7 +182,7 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_spotsigs, op3_token_files, op4_chat, op5_near_vectors, op7_toxicity, op8_packing, op9_language, op10_url_rules)}
+    return {f.__name__: f for f in (op1_mixing, op2_spotsigs, op3_token_files, op4_chat, op5_near_vectors, op6_ngram_join, op7_toxicity, op8_packing, op9_language, op10_url_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
