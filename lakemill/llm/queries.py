@@ -101,7 +101,7 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     files = token_files.write(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     back = token_files.read(files, spark)
-    return back.join(files.doc_ids, ["part", "at"]).select("doc_id", "start", "n_tokens", "ids_crc32", "part")
+    return back.join(files.doc_ids.hint("merge"), ["part", "at"]).select("doc_id", "start", "n_tokens", "ids_crc32", "part")
 
 
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
