@@ -1,0 +1,85 @@
+"""Geometry, on points and rectangles that the tables' numbers give."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import geometry as G
+from ..plans.geoframe import GeoFrame
+from . import query, rounded
+
+
+def _points(t, srid: int = 0) -> GeoFrame:
+    d = t("customer").df
+    return GeoFrame(d.select("c_custkey", G.point(F.col("c_acctbal") / 100, F.col("c_custkey") % 90, srid).alias("g")), geometry="g")
+
+
+def _boxes(t) -> GeoFrame:
+    d = t("part").df
+    x, y = F.col("p_retailprice") / 100, F.col("p_partkey") % 90
+    return GeoFrame(d.select("p_partkey", G.rectangle(x, y, x + F.col("p_size") / 10 + 0.05, y + 2.5).alias("g")), geometry="g")
+
+
+P = "(SELECT c_custkey, c_acctbal / 100 AS x, (c_custkey % 90)::DOUBLE AS y FROM customer)"
+B = "(SELECT p_partkey, p_retailprice / 100 AS x0, (p_partkey % 90)::DOUBLE AS y0, p_retailprice / 100 + p_size / 10 + 0.05 AS x1, p_partkey % 90 + 2.5 AS y1 FROM part)"
+
+
+def _with(f: GeoFrame, id_: str, **out) -> object:
+    d = f.base
+    g = F.col("g")
+    return rounded(d.select(id_, *[of(g).alias(k) for k, of in out.items()]))
+
+
+query("geo_point_xy", f"SELECT c_custkey, round(x, 6) AS x, round(y, 6) AS y FROM {P}")(lambda t: _with(_points(t), "c_custkey", x=lambda g: G.coordinate(g, "x"), y=lambda g: G.coordinate(g, "y")))
+query("geo_area", f"SELECT p_partkey, round((x1 - x0) * (y1 - y0), 6) AS area, round(2 * (x1 - x0 + y1 - y0), 6) AS perimeter FROM {B}")(lambda t: _with(_boxes(t), "p_partkey", area=G.area, perimeter=G.length))
+query("geo_mbr", f"SELECT p_partkey, round(x0, 6) AS min_x, round(x1, 6) AS max_x, round(y0, 6) AS min_y, round(y1, 6) AS max_y FROM {B}")(
+    lambda t: _with(_boxes(t), "p_partkey", min_x=lambda g: G.extreme(G.mbr(g), "x", False), max_x=lambda g: G.extreme(G.mbr(g), "x", True), min_y=lambda g: G.extreme(G.mbr(g), "y", False), max_y=lambda g: G.extreme(G.mbr(g), "y", True))
+)
+query("geo_centroid", f"SELECT p_partkey, round((x0 + x1) / 2, 6) AS x, round((y0 + y1) / 2, 6) AS y FROM {B}")(lambda t: _with(_boxes(t), "p_partkey", x=lambda g: G.coordinate(G.centroid(g), "x"), y=lambda g: G.coordinate(G.centroid(g), "y")))
+query("geo_counts", f"SELECT p_partkey, 5 AS points, 0 AS holes, 2 AS dimension, 0 AS empty, 'ST_POLYGON' AS gtype FROM {B}")(lambda t: _with(_boxes(t), "p_partkey", points=lambda g: G.count_of(g, "points"), holes=lambda g: G.count_of(g, "holes"), dimension=G.dimension, empty=G.is_empty, gtype=G.geometry_type))
+query("geo_length", "SELECT o_orderkey, round(sqrt(power(o_totalprice / 1000, 2) + 9) + 4, 6) AS length, 1 AS dimension FROM orders")(
+    lambda t: rounded(t("orders").df.select("o_orderkey", _line(F.col("o_totalprice") / 1000).alias("g")).select("o_orderkey", G.length(F.col("g")).alias("length"), G.dimension(F.col("g")).alias("dimension")))
+)
+
+
+def _line(x):
+    none = F.lit(None).cast("double")
+    p = lambda a, b: F.struct(F.lit(a).cast("double").alias("x") if isinstance(a, (int, float)) else a.alias("x"), F.lit(float(b)).alias("y"), none.alias("z"), none.alias("m"))
+    return F.struct(F.lit("LINESTRING").alias("gtype"), F.lit(0).alias("srid"), F.lit(False).alias("has_z"), F.lit(False).alias("has_m"), F.array(F.array(F.array(p(0.0, 0), p(x, 3), p(x, 7)))).alias("parts")).cast(G.GEOMETRY)
+
+
+@query("geo_distance", f"SELECT c_custkey AS \"INDEXERIDA1\", n_nationkey AS \"INDEXERIDA2\", round(sqrt(power(x - n_nationkey, 2) + power(y - n_regionkey, 2)), 6) AS \"RESULT\" FROM {P} CROSS JOIN nation")
+def _(t):
+    a = _points(t)
+    b = GeoFrame(t("nation").df.select("n_nationkey", G.point(F.col("n_nationkey"), F.col("n_regionkey")).alias("g")), geometry="g")
+    a.index, b.index = "c_custkey", "n_nationkey"
+    return rounded(a.distance(b).df)
+
+
+@query("geo_within", f"SELECT c_custkey AS \"INDEXERIDA1\", p_partkey AS \"INDEXERIDA2\" FROM {P} JOIN {B} ON x > x0 AND x < x1 AND y > y0 AND y < y1")
+def _(t):
+    a, b = _points(t), _boxes(t)
+    a.index, b.index = "c_custkey", "p_partkey"
+    return a.matching(b, "within", 4.0)
+
+
+@query("geo_mbr_intersects", f"SELECT p_partkey AS \"INDEXERIDA1\", n_nationkey AS \"INDEXERIDA2\", (x0 <= n_nationkey + 3 AND x1 >= n_nationkey AND y0 <= n_regionkey + 3 AND y1 >= n_regionkey)::INT AS \"RESULT\" FROM {B} CROSS JOIN nation")
+def _(t):
+    a = _boxes(t)
+    x, y = F.col("n_nationkey"), F.col("n_regionkey")
+    b = GeoFrame(t("nation").df.select("n_nationkey", G.rectangle(x, y, x + 3, y + 3).alias("g")), geometry="g")
+    a.index, b.index = "p_partkey", "n_nationkey"
+    return a.mbr_intersects(b)
+
+
+@query("geo_intersection_area", f"SELECT p_partkey, round(greatest(least(x1, 16) - greatest(x0, 10), 0) * greatest(least(y1, 40) - greatest(y0, 20), 0), 6) AS area FROM {B} WHERE x0 <= 16 AND x1 >= 10 AND y0 <= 40 AND y1 >= 20")
+def _(t):
+    from functools import partial
+
+    from ..functions import overlay as O
+    from ..plans.geoframe import _udf
+
+    d = _boxes(t).base
+    box = G.rectangle(F.lit(10), F.lit(20), F.lit(16), F.lit(40))
+    hit = d.where(G.mbr_intersects(F.col("g"), box) == 1)
+    return rounded(hit.select("p_partkey", G.area(_udf(partial(O.combine, "intersection"))(F.col("g"), box)).alias("area")).select("p_partkey", F.coalesce("area", F.lit(0.0)).alias("area")))
