@@ -114,7 +114,7 @@ def from_wkt(text: Column, srid: int = 0) -> Column:
 
 
 def as_wkt(g: Column) -> Column:
-    return F.udf(lambda r: to_wkt(None if r is None else (r["gtype"], r["srid"], r["has_z"], r["has_m"], [[[tuple(p) for p in ring] for ring in part] for part in r["parts"]])), "string", useArrow=True)(g)
+    return F.udf(lambda r: to_wkt(None if r is None else (*r[:4], [[[tuple(p) for p in ring] for ring in part] for part in r[4]])), "string", useArrow=True)(g)
 
 
 def point(x: Column, y: Column, srid: int = 0) -> Column:

@@ -120,7 +120,7 @@ class Frame:
         if column is not None:
             if column not in self.cols:
                 raise KeyError(column)
-            if self.df.groupBy(name(column)).agg(F.count("*").alias("n")).where(F.col("n") > 1).take(1):
+            if self.df.groupBy(name(column)).agg(F.count("*").alias("__n")).where(F.col("__n") > 1).take(1):
                 raise FrameError(f"{column} is not unique")
         self._index = column
 

@@ -17,7 +17,7 @@ LINES, AREAS = ("LINESTRING", "MULTILINESTRING"), ("POLYGON", "MULTIPOLYGON")
 
 
 def _tuple(r):
-    return None if r is None else (r["gtype"], r["srid"], r["has_z"], r["has_m"], [[[tuple(p) for p in ring] for ring in part] for part in r["parts"]])
+    return None if r is None else (*r[:4], [[[tuple(p) for p in ring] for ring in part] for part in r[4]])
 
 
 def _udf(of, kind=G.GEOMETRY):
