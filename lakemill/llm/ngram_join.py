@@ -320,20 +320,21 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sent = rows.mapInArrow(_send(4 * parts), _ddl(_SENT, _SENT_TYPES))
-    met = cut(sent.repartition(parts, "part").mapInArrow(_receive, _ddl(_MET, [_SENT_TYPES[_SENT.index(c)] for c in _MET])), "shared-shingles")
+    sent = rows.mapInArrow(_send(parts), _ddl(_SENT, _SENT_TYPES))
+    met = cut(sent.repartitionById(parts, F.col("part")).mapInArrow(_receive, _ddl(_MET, [_SENT_TYPES[_SENT.index(c)] for c in _MET])), "shared-shingles")
     every = met.where("n is not null").select("row", "id", "n", "d1", "d2")
-    held = met.groupBy("row").agg(F.sum(F.length("marks") / 8).cast("long").alias("shared"), F.max("id").alias("id"), F.max("n").alias("n"), F.max("d1").alias("d1"), F.max("d2").alias("d2"))
-    near = held.where(f"n > 0 and 100 * shared >= {LEAST} * n")
-    classes = cut(near.groupBy("d1", "d2").agg(F.min("row").alias("row"), F.min("id").alias("least"), F.count("*").alias("copies"), F.first("n").alias("n")), "shingle-classes")
+    held = met.groupBy("row").agg(*[F.max(c).alias(c) for c in ("id", "n", "d1", "d2")], F.sum(F.length("marks") / 8).cast("long").alias("shared"), F.collect_list("marks").alias("m"))
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [np.sort(np.frombuffer(b"".join(x), "<u8")).tobytes() for x in b.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(sets, pa.binary())], ["row", "n", "copies", "marks"])
+            sets = [np.sort(np.frombuffer(b"".join(x), "<u8")).tobytes() for x in b.column(5).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(sets, pa.binary())], _MET)
 
-    whole = met.select("row", "marks").join(classes.select("row", "n", "copies"), "row").groupBy("row").agg(F.first("n").alias("n"), F.first("copies").alias("copies"), F.collect_list("marks").alias("m"))
-    sets = cut(whole.mapInArrow(merged, "row long, n long, copies long, marks binary"), "shingle-sets")
+    near = held.where(f"n > 0 and 100 * shared >= {LEAST} * n").select("row", "id", "n", "d1", "d2", "m")
+    near = cut(near.mapInArrow(merged, _ddl(_MET, [_SENT_TYPES[_SENT.index(c)] for c in _MET])), "near-documents")
+    classes = cut(near.groupBy("d1", "d2").agg(F.min("row").alias("row"), F.min("id").alias("least"), F.count("*").alias("copies"), F.first("n").alias("n")), "shingle-classes")
+    sets = cut(near.select("row", "marks").join(classes.select("row", "n", "copies"), "row").select("row", "n", "copies", "marks"), "shingle-sets")
+    uncut(near)
     level = spark.sparkContext.broadcast(_sketch(sets, parts))
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
