@@ -100,12 +100,16 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     quarter = F.floor(F.char_length("text") / 4).cast("int")
     order = cut(following(rows, "id", quarter), "next-ids")
-    here = rows.join(order.select(F.col("id").alias("before"), F.col("next_id"), "need").hint("merge"), F.col("id").eqNullSafe(F.col("next_id")))
-    heads = here.select("before", F.struct(F.expr("left(text, need)").alias("head"), signatures(F.col("text")).alias("sigs")).alias("next")).groupBy("before").agg(F.min("next").alias("next"))
-    both = rows.join(heads.hint("merge"), F.col("id").eqNullSafe(F.col("before")))
+    # Null ids join as a value of their own, on plain columns: the joins and the aggregation then share one partitioning.
+    key = lambda c, k: [F.coalesce(F.col(c), F.lit(0)).alias(k), F.col(c).isNull().alias(f"{k}_null")]
+    keyed = rows.select(*key("id", "k"), "text")
+    asked = order.select(*key("next_id", "k"), *key("id", "b"), "need")
+    here = keyed.join(asked.hint("merge"), ["k", "k_null"])
+    heads = here.select("b", "b_null", F.struct(F.expr("left(text, need)").alias("head"), signatures(F.col("text")).alias("sigs")).alias("next")).groupBy("b", "b_null").agg(F.min("next").alias("next"))
+    both = keyed.join(heads.select(F.col("b").alias("k"), F.col("b_null").alias("k_null"), "next").hint("merge"), ["k", "k_null"])
     n = F.char_length("text").cast("long")
     edited = F.concat(F.expr("left(text, char_length(text) - cast(floor(char_length(text) / 4) as int))"), F.expr("left(next.head, cast(floor(char_length(text) / 4) as int))"))
-    t = both.select(F.col("id").alias(id_col), n.alias("n_chars"), edited.alias("edited"), signatures(F.col("text")).alias("signatures"), F.col("next.sigs").alias("next_signatures"))
+    t = both.select(F.when(~F.col("k_null"), F.col("k")).alias(id_col), n.alias("n_chars"), edited.alias("edited"), signatures(F.col("text")).alias("signatures"), F.col("next.sigs").alias("next_signatures"))
     t = t.withColumn("edited_signatures", signatures(F.col("edited")))
     return t.select(id_col, "n_chars", "edited", "signatures", "edited_signatures", likeness(F.col("signatures"), F.col("edited_signatures")).alias("near_edited"), likeness(F.col("signatures"), F.col("next_signatures")).alias("near_next"))
 
