@@ -55,7 +55,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def shingles(text: str | None, memory: dict[bytes, int]) -> np.ndarray:
-    """Sorted 64-bit hashes of the distinct shingles. Fewer than WIDTH words are one shingle; none give none.
+    """Sorted 56-bit hashes of the distinct shingles. Fewer than WIDTH words are one shingle; none give none.
 
     memory: hashes of words met before; it is emptied when it has grown large.
     """
@@ -71,18 +71,30 @@ def shingles(text: str | None, memory: dict[bytes, int]) -> np.ndarray:
     out = np.full(len(h) - k + 1, k, np.uint64)
     for i in range(k):
         out = _mix(out * _PRIMES[i] + h[i : len(h) - k + 1 + i])
-    return np.unique(out)
+    return np.unique(out >> np.uint64(8))
 
 
 def _parts(h: np.ndarray, parts: int) -> np.ndarray:
     """The hash range of each hash."""
-    return ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    return ((h >> np.uint64(24)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def _deltas(h: np.ndarray) -> bytes:
+    """Ascending hashes as one byte for the width, the first hash, and the gaps in that many bytes each."""
+    gaps = np.diff(h, prepend=h[:1])
+    width = next(w for w in (4, 5, 6, 7) if w == 7 or gaps.max() < 1 << (8 * w))
+    return bytes([width]) + h[:1].tobytes() + gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _from_deltas(blob: bytes) -> np.ndarray:
+    width, body = blob[0], np.frombuffer(blob, np.uint8)[9:]
+    wide = np.zeros((len(body) // width, 8), np.uint8)
+    wide[:, :width] = body.reshape(-1, width)
+    return np.cumsum(wide.view("<u8").ravel(), dtype=np.uint64) + np.frombuffer(blob[1:9], "<u8")[0]
 
 
 #: Shingles that a task holds before it sends them on.
 KEEP = 1_500_000
-#: Shingles are sent and kept by their lower 56 bits; the upper ones follow from the hash range for the most part.
-_LOW = np.uint64((1 << 56) - 1)
 #: In place of a document: the shingle is known to be shared.
 _SHARED = -(1 << 63)
 #: Slots of the frequency sketch: one byte each is sent to every task.
@@ -122,7 +134,7 @@ def _send(ranges: int):
             first = np.concatenate([[True], e[1:] != e[:-1]])[: len(e)]
             many = np.diff(np.append(np.flatnonzero(first), len(e)))
             twice = np.repeat(many > 1, many)
-            shared, owner = e[twice] & _LOW, d[twice]
+            shared, owner = e[twice], d[twice]
             by = np.argsort(owner, kind="stable")
             shared, cuts = shared[by], np.searchsorted(owner[by], np.arange(len(held) + 1))
             for k, (r, i, h) in enumerate(held):
@@ -136,7 +148,7 @@ def _send(ranges: int):
                 if b > a:
                     met, place = np.unique(own[a:b], return_inverse=True)
                     small = place.astype("<u2" if len(met) < 65536 else "<u4")
-                    rows.append((1, k, None, None, None, None, None, e[a:b].view(np.uint8).reshape(-1, 8)[:, :7].tobytes(), met.tobytes(), small.tobytes()))
+                    rows.append((1, k, None, None, None, None, None, _deltas(e[a:b]), met.tobytes(), small.tobytes()))
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _SENT_TYPES, strict=True)], _SENT)
 
@@ -169,10 +181,8 @@ def _receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in sorted(by):
         marks, docs = [], []
         for m, met, place in by.pop(part):
-            wide = np.zeros((len(m) // 7, 8), np.uint8)
-            wide[:, :7] = np.frombuffer(m, np.uint8).reshape(-1, 7)
-            marks.append(wide.view("<u8").ravel())
-            docs.append(np.frombuffer(met, "<i8")[np.frombuffer(place, "<u2" if len(place) == 2 * len(wide) else "<u4")])
+            marks.append(_from_deltas(m))
+            docs.append(np.frombuffer(met, "<i8")[np.frombuffer(place, "<u2" if len(place) == 2 * len(marks[-1]) else "<u4")])
         e, d = np.concatenate(marks), np.concatenate(docs)
         order = np.argsort(e, kind="stable")
         e, d = e[order], d[order]
