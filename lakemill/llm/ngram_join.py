@@ -239,8 +239,8 @@ def search(index: list[np.ndarray], sizes: np.ndarray, queries: list[np.ndarray]
     out_q, out_i = [], []
     for q, x in enumerate(queries):
         at = np.searchsorted(tokens, x)
-        at = at[at < len(tokens)]
-        at = at[np.isin(tokens[at], x)]
+        x, at = x[at < len(tokens)], at[at < len(tokens)]
+        at = at[tokens[at] == x]
         least = -(-LEAST * int(query_sizes[q]) // 100)  # of any document's overlap with this one
         if len(at) < least:
             continue

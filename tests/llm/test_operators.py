@@ -326,6 +326,19 @@ def test_search_is_exact():
     assert got == want
 
 
+def test_search_of_another_block_is_exact():
+    rng = np.random.default_rng(4)
+    # Two blocks of changed copies: each lacks many of the other's shingles.
+    bases = [np.unique(rng.integers(0, 1 << 40, rng.integers(8, 60))) for _ in range(12)]
+    vary = lambda: [np.unique(np.where(rng.random(len(b)) < 0.15, rng.integers(0, 1 << 40, len(b)), b)).astype(np.uint64) for b in bases for _ in range(8)]
+    index, asked = vary(), vary()
+    i, j = ngram_join.search(index, np.asarray([len(s) for s in index]), asked, np.asarray([len(s) for s in asked]), False)
+    want = {(q, k) for q, x in enumerate(asked) for k, y in enumerate(index) if 100 * len(np.intersect1d(x, y)) >= 75 * len(np.union1d(x, y))}
+    assert want and sorted(zip(i.tolist(), j.tolist(), strict=True)) == sorted(want)
+    i, _ = ngram_join.search([np.asarray([7], np.uint64)], np.asarray([2]), [np.asarray([5, 7], np.uint64)], np.asarray([2]), False)
+    assert not len(i)  # one of two shingles is shared, and counted once
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(1000, 1200)] + [(2000, k) for k in range(2001, 2200)] + [(5, 5), (7, None), (5, 6), (6, 5)]
