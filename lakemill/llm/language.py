@@ -3,11 +3,17 @@
 Features are square roots of the shares of hashed UTF-8 byte 1-, 2- and 3-grams of the whole lower-cased text, so a feature vector
 has length one. The machines are fitted on the driver from a bounded sample (SAMPLE documents in all, evenly by
 language, each also as a short window so that short texts are met in training); prediction reads every text whole.
+
+The machines only weigh learned languages against each other, so accepted() asks a second question: how likely are the n-grams of the text's
+words in the learned language that fits best? The least likelihood is chosen between held-out texts of the sample and texts of no learned
+language: those of each language under the others alone, and texts whose letters are shuffled.
 """
 
 from __future__ import annotations
 
+import random
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
@@ -22,8 +28,10 @@ SAMPLE = 2400
 #: Of one language, at most.
 SAMPLE_A_LANGUAGE = 500
 BUCKETS = 1 << 13
-#: A document with no letter or a score below this is rejected by accepted().
-LEAST_SCORE = 0.2
+#: Share of any bucket in a language besides what its sample has.
+SMOOTH = 1e-5
+#: In the choice of the least likelihood, one lost text of a learned language weighs as much as so many kept ones of no learned language.
+LOSS = 10
 
 #: Families of common languages. A language that is not listed is a family of its own.
 FAMILIES = {
@@ -63,6 +71,26 @@ def features(text: str) -> np.ndarray:
     return np.sqrt(counts / max(n, 1)).astype(np.float32)
 
 
+#: Words of letters alone: numbers, keys and marks belong to no language.
+_LETTERS = re.compile(r"(?<!\w)[^\W\d_]+(?!\w)")
+
+
+def _shares(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the n-grams of a text's words, and their shares; all n-grams where no word is of letters alone."""
+    counts, n = _hashed(f" {' '.join(_LETTERS.findall(text)) or text} ")
+    at = np.flatnonzero(counts)
+    return at, (counts[at] / n).astype(np.float32)
+
+
+def _shuffled(text: str) -> str:
+    """A text's first letters in random order, spaces in place: no language, though the letters are those of one."""
+    text = text[:2000]
+    letters = [c for c in text if c.isalpha()]
+    random.Random(zlib.crc32(text.encode("utf-8", "surrogatepass"))).shuffle(letters)
+    after = iter(letters)
+    return "".join(next(after) if c.isalpha() else c for c in text)
+
+
 @dataclass
 class Machine:
     """A linear support vector machine with a margin scale for its score."""
@@ -73,23 +101,23 @@ class Machine:
 
 def fit_machine(x: np.ndarray, y: np.ndarray, c: float = 10.0, rounds: int = 20, seed: int = 0) -> Machine:
     """Dual coordinate descent for hinge loss; y is 1 or -1. The bias is a constant feature."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    w, alpha, norm = np.zeros(x.shape[1]), np.zeros(len(x)), (x * x).sum(1)
+    w, bias, alpha, norm = np.zeros(x.shape[1]), 0.0, np.zeros(len(x)), np.einsum("ij,ij->i", x, x) + 1
     rng = np.random.default_rng(seed)
     # Both sides weigh the same in sum.
     cap = c * np.where(y > 0, len(y) / (2 * max((y > 0).sum(), 1)), len(y) / (2 * max((y < 0).sum(), 1)))
     for _ in range(rounds):
         moved = 0.0
         for i in rng.permutation(len(x)):
-            g = y[i] * float(w @ x[i]) - 1
+            g = y[i] * (float(w @ x[i]) + bias) - 1
             new = min(max(alpha[i] - g / norm[i], 0), cap[i])
             if new != alpha[i]:
                 w += (new - alpha[i]) * y[i] * x[i]
+                bias += (new - alpha[i]) * y[i]
                 moved = max(moved, abs(new - alpha[i]))
                 alpha[i] = new
         if moved < 1e-3:
             break
-    return Machine(w[:-1].astype(np.float32), float(w[-1]))
+    return Machine(w.astype(np.float32), float(bias))
 
 
 @dataclass
@@ -130,6 +158,17 @@ def _discriminator(classes: list[str], x: np.ndarray, y: np.ndarray) -> Discrimi
 class Model:
     families: Discriminator
     within: dict[str, Discriminator]
+    #: Logarithms of the buckets' shares by language, and the least mean of them that accepted() takes.
+    profiles: np.ndarray | None = None
+    least: float = 0.0
+
+    def likelihood(self, text: str) -> float:
+        """The mean logarithm of the text's n-grams' shares in the language that fits best."""
+        return _likelihood(self.profiles, *_shares(text))
+
+    def known(self, text: str | None) -> bool:
+        """Has the text a letter, and is it as likely in a learned language as such texts are?"""
+        return self.profiles is not None and bool(text) and any(map(str.isalpha, text)) and self.likelihood(text) >= self.least
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         lang, score = ["und"] * len(texts), [0.0] * len(texts)
@@ -148,6 +187,35 @@ class Model:
         return lang, score
 
 
+def _likelihood(profiles: np.ndarray, at: np.ndarray, share: np.ndarray) -> float:
+    return float((profiles[:, at] @ share).max())
+
+
+def _profiles(rows: list[tuple[str, tuple[np.ndarray, np.ndarray]]], langs: list[str]) -> np.ndarray:
+    out = np.zeros((len(langs), BUCKETS), np.float32)
+    for lang, (at, share) in rows:
+        out[langs.index(lang), at] += share
+    return np.log((out / np.maximum(out.sum(1, keepdims=True), 1e-9) + SMOOTH) / (1 + BUCKETS * SMOOTH))
+
+
+def _least(own: list[tuple[str, tuple[np.ndarray, np.ndarray]]], noise: list[tuple[np.ndarray, np.ndarray]]) -> float:
+    """The likelihood that best divides held-out texts (two folds; copies share one) from texts of no learned language."""
+    langs = sorted({lang for lang, _ in own})
+    fold = [zlib.crc32(at.tobytes() + share.tobytes()) % 2 for _, (at, share) in own]
+    clean, other = [], []
+    for k in (0, 1):
+        p = _profiles([r for r, f in zip(own, fold, strict=True) if f != k], langs)
+        for lang, v in (r for r, f in zip(own, fold, strict=True) if f == k):
+            clean.append(_likelihood(p, *v))
+            if len(langs) > 1:
+                other.append(_likelihood(np.delete(p, langs.index(lang), 0), *v))
+        other += [_likelihood(p, *v) for v in noise[k::2]]
+    clean, other = np.sort(clean), np.sort(other)
+    at = np.unique(np.concatenate([clean, other]))
+    lost, passed = np.searchsorted(clean, at) / len(clean), 1 - np.searchsorted(other, at) / max(len(other), 1)
+    return float(at[(LOSS * lost + passed).argmin()])
+
+
 def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fit on the rows of train that have a language and a letter. No such rows: a model that answers 'und'."""
     rows = train.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text is not null")
@@ -163,7 +231,8 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mod
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            langs, blobs = [], []
+            langs, blobs, kinds = [], [], []
+            put = lambda lang, kind, at, v: (langs.append(lang), kinds.append(kind), blobs.append(at.astype("<u2").tobytes() + v.astype("<f4").tobytes()))  # noqa: B023, E731
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if any(map(str.isalpha, text)):
                     mid = len(text) // 2
@@ -171,13 +240,20 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mod
                         if any(map(str.isalpha, part)):
                             f = features(part)
                             at = np.flatnonzero(f)
-                            langs.append(lang)
-                            blobs.append(at.astype("<u2").tobytes() + f[at].astype("<f4").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(blobs, pa.binary())], ["lang", "blob"])
+                            put(lang, 0, at, f[at])
+                            put(lang, 1, *_shares(part))
+                    put(lang, 2, *_shares(_shuffled(text)))
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(blobs, pa.binary()), pa.array(kinds, pa.int32())], ["lang", "blob", "kind"])
 
     got: dict[str, list[bytes]] = {}
-    for r in drawn.mapInArrow(run, "lang string, blob binary").collect():
-        got.setdefault(r["lang"], []).append(bytes(r["blob"]))
+    own, noise = [], []
+    for r in sorted(drawn.mapInArrow(run, "lang string, blob binary, kind int").collect()):
+        blob, k = bytes(r["blob"]), len(r["blob"]) // 6
+        if r["kind"] == 0:
+            got.setdefault(r["lang"], []).append(blob)
+        else:
+            v = np.frombuffer(blob[: 2 * k], "<u2"), np.frombuffer(blob[2 * k :], "<f4")
+            (own.append((r["lang"], v)) if r["kind"] == 1 else noise.append(v))
     x, y = [], []
     for lang in sorted(got):
         for blob in sorted(got[lang])[: 3 * each]:
@@ -192,7 +268,7 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mod
     fam = np.asarray([family_of(v) for v in y])
     names = sorted({*fam})
     within = {f: _discriminator(sorted({*y[fam == f]}), x[fam == f], y[fam == f]) for f in names}
-    return Model(_discriminator(names, x, fam), within)
+    return Model(_discriminator(names, x, fam), within, _profiles(own, sorted({lang for lang, _ in own})), _least(own, noise))
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
@@ -217,16 +293,13 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "tex
 
 
 def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of docs, columns unchanged, whose text has a language with a score of at least LEAST_SCORE."""
+    """The rows of docs, columns unchanged, whose text has a letter and is as likely in a learned language as its least likelihood."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for b in batches:
-            for a in range(0, b.num_rows, 512):
-                p = b.slice(a, 512)
-                lang, score = m.predict(p.column(at).to_pylist())
-                yield p.filter(pa.array([x != "und" and s >= LEAST_SCORE for x, s in zip(lang, score, strict=True)], pa.bool_()))
+            yield b.filter(pa.array([m.known(t) for t in b.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

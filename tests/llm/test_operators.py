@@ -418,6 +418,19 @@ def test_language(spark, sf_dir, odd, none):
     assert rows(language.predict(odd.limit(1), language.fit(none), ["doc_id"]))[0][1] == "und"
 
 
+def test_texts_of_no_learned_language_are_rejected(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = language.fit(docs)
+    rng = random.Random(3)
+    odd = ["".join(rng.choice("bcdfghjklmnpqrstvwxz ") for _ in range(300)), "Wczoraj wieczorem poszliśmy do lasu zbierać grzyby, ale deszcz zaczął padać i musieliśmy wrócić do domu.", "Вчера вечером мы пошли в лес собирать грибы", None, "12 34 !!"]
+    made = spark.createDataFrame([(-1 - k, t) for k, t in enumerate(odd)], "doc_id long, text string")
+    assert language.accepted(made, model).count() == 0
+    assert language.accepted(docs.select("doc_id", "text"), model).count() >= 0.99 * docs.where("text rlike '[a-zA-Z]'").count()
+    three = language.fit(docs.where("lang <> 'de'"))
+    assert language.accepted(docs.where("lang = 'de'"), three).count() <= 0.05 * docs.where("lang = 'de'").count()
+    assert language.accepted(docs.where("lang <> 'de'"), three).count() >= 0.98 * docs.where("lang <> 'de'").count()
+
+
 def test_long_texts_are_counted_in_blocks():
     text = "Ärger und Straße " * 100_000
     counts, n = language._hashed(text)
