@@ -177,7 +177,7 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     labels = table(spark, sf_dir, "labels")
     bad = labels.select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("blocked"))
-    mined = url_rules.mine(pages.join(bad, "page_id"))
+    mined = url_rules.mine_rules(pages.join(bad, "page_id"))
     return url_rules.judge(pages, PATH_RULES, mined).select("page_id", "host", "path", "rule", "verdict", "token_rule")
 
 

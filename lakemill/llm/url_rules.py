@@ -1,25 +1,22 @@
-"""URL filters: path rules first, then association rules that FP-growth mines from labelled URLs.
+"""URL filters: path rules first, then association rules mined from labelled URLs.
 
 A URL becomes a set of tokens: every host suffix, path segments (numbers as '#'), the file ending, query keys and
-whether there is a fragment. FP-growth finds frequent token combinations that also hold the label; a rule
+whether there is a fragment. Frequent token combinations among blocked rows are found level by level; a rule
 'combination => blocked' stays if its confidence and support reach the thresholds and no shorter rule within it is as
-confident. Rules match through an inverted index from token to rule, held as a literal map whose size MAX_RULES bounds.
+confident. Rules match through an inverted index from token to rule: a literal map up to MAX_RULES rules, a join beyond.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_empty
+from .common import cut, is_empty, uncut
 
-LABEL = "=> blocked"
+#: Rules that go out as literals; more are joined.
 MAX_RULES = 1000
-#: Tokens of one URL that mining looks at; matching looks at all. It bounds the combinations of one very long URL.
-MINED_TOKENS = 12
 
 
 @dataclass(frozen=True)
@@ -83,41 +80,65 @@ def url_tokens() -> Column:
     return F.when(F.col("host") == "", none).otherwise(F.array_distinct(F.concat(suffixes, segments, keys, ending.cast("array<string>"), mark.cast("array<string>"))))
 
 
-def mine(labelled: DataFrame, support: float = 0.005, confidence: float = 0.9, least_rows: int = 20, url_col: str = "url", label_col: str = "blocked") -> list[TokenRule]:
-    """Rules from labelled URLs. Rows with a null url or label say nothing; no rows, no rules.
+def mine_rules(labelled: DataFrame, support: float = 0.005, confidence: float = 0.9, least_rows: int = 20, url_col: str = "url", label_col: str = "blocked") -> DataFrame:
+    """Rules from labelled URLs: tokens, confidence, support, rarest (the token that fewest rows have).
 
-    Counts are over all labelled rows. The driver receives the rules only: at most MAX_RULES after pruning by confidence,
-    support and minimality.
+    Rows with a null url or label say nothing; no rows, no rules. Counts are over all labelled rows and all their tokens. Sets of tokens grow by
+    one a round, in Spark; no count of tokens, sets or rules is capped and none of them reaches the driver. A set that as many
+    rows have as one of its subsets has that subset's confidence, and one without an allowed row can't be bettered, so
+    neither grows: a long URL met again and again gives as many sets as tokens, not all their combinations.
     """
-    rows = parsed(labelled.select(F.col(url_col).alias("u"), F.col(label_col).cast("int").alias("y")).where("u is not null and y is not null"), "u").select(url_tokens().alias("tokens"), "y").where("size(tokens) > 0")
-    rows = rows.cache()
-    try:
-        total = rows.count()
-        if not total:
-            return []
-        share = max(support, least_rows / total)
-        if share > 1:
-            return []
-        # A token more frequent than any other within blocked URLs comes first, so that mining keeps what tells labels apart.
-        counts = rows.select(F.explode("tokens").alias("t"), "y").groupBy("t").agg(F.count("*").alias("n"), F.sum("y").alias("bad")).where(F.col("n") >= share * total)
-        best = counts.select("t", "n", "bad").orderBy(F.desc(F.col("bad") / F.col("n")), F.desc("n"), "t").limit(2 * MAX_RULES).collect()
-        if not best:
-            return []
-        rank = F.create_map(*[F.lit(x) for k, r in enumerate(best) for x in (r["t"], k)])
-        known = F.filter("tokens", lambda t: rank[t].isNotNull())
-        few = F.slice(F.transform(F.array_sort(F.transform(known, lambda t: F.struct(rank[t].alias("k"), t.alias("t")))), lambda s: s["t"]), 1, MINED_TOKENS)
-        baskets = rows.select(F.when(F.col("y") == 1, F.array_append(few, F.lit(LABEL))).otherwise(few).alias("items")).where("size(items) > 0")
-        model = FPGrowth(itemsCol="items", minSupport=share * 0.5, minConfidence=confidence).fit(baskets)
-        found = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == LABEL) & (F.col("confidence") >= confidence) & (F.col("support") >= share * 0.5))
-        got = found.orderBy(F.size("antecedent"), F.desc("confidence"), F.desc("support"), F.array_join(F.array_sort("antecedent"), " ")).limit(4 * MAX_RULES).collect()
-    finally:
-        rows.unpersist()
-    out: list[TokenRule] = []
-    for r in got:
-        tokens = {*r["antecedent"]}
-        if not any({*o.tokens} <= tokens and o.confidence >= r["confidence"] for o in out):
-            out.append(TokenRule(tuple(sorted(tokens)), r["confidence"], r["support"]))
-    return out[:MAX_RULES]
+    rows = parsed(labelled.select(F.col(url_col).alias("u"), F.col(label_col).cast("int").alias("y")).where("u is not null and y is not null"), "u").select(F.array_sort(url_tokens()).alias("tokens"), "y").where("size(tokens) > 0")
+    sets = cut(rows.groupBy("tokens").agg(F.count("*").alias("n"), F.sum("y").alias("bad")).withColumn("row", F.monotonically_increasing_id()), "url-sets")
+    none = sets.select("tokens", F.lit(0.0).alias("confidence"), F.lit(0.0).alias("support"), F.lit("").alias("rarest")).limit(0)
+    total = sets.agg(F.sum("n")).first()[0]
+    share = max(support, least_rows / total) if total else 2
+    if share > 1:
+        return none
+    weights = sets.select("row", "n", "bad")
+    counted = lambda held: held.join(weights, "row").groupBy("items").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).where(F.col("bad") >= share * 0.5 * total)
+    held = sets.select("row", F.explode("tokens").alias("t")).select("row", F.array("t").alias("items"))
+    live = cut(counted(held).where(F.col("n") >= share * total).withColumn("rarest", F.struct("n", F.col("items")[0].alias("t"))), "url-items-1")
+    rules, made, size = none, [], 1
+    while not is_empty(live):
+        made.append(live)
+        conf = F.col("bad") / F.col("n")
+        rules = rules.union(live.where(conf >= confidence).select("items", conf, F.col("bad") / total, "rarest.t"))
+        grow = live.where("bad < n")
+        held = cut(held.join(grow.select("items"), "items").select("row", F.slice("items", 1, size - 1).alias("head"), F.col("items")[size - 1].alias("last")), f"url-held-{size}")
+        more = held.withColumnRenamed("last", "next")
+        pairs = held.join(more, ["row", "head"]).where("last < next").select("row", F.concat("head", F.array("last", "next")).alias("items"))
+        found = cut(counted(pairs), f"url-sets-{size + 1}")
+        # All subsets of one token less must have grown, and more rows than the set has.
+        less = found.select("items", "n", "bad", F.explode("items").alias("t")).select(F.col("items").alias("all"), F.col("n").alias("m"), F.col("bad").alias("b"), F.array_remove("items", F.col("t")).alias("items"))
+        free = less.join(grow.select("items", "n", "rarest"), "items").where("m < n").groupBy("all", "m", "b").agg(F.count("*").alias("k"), F.min("rarest").alias("rarest")).where(F.col("k") == size + 1)
+        size += 1
+        live = cut(free.select(F.col("all").alias("items"), F.col("m").alias("n"), F.col("b").alias("bad"), "rarest"), f"url-items-{size}")
+        held = pairs
+    every = cut(rules, "url-rules")
+    shorter = every.select(F.col("tokens").alias("part"), F.col("confidence").alias("c"), F.col("rarest").alias("t"))
+    within = every.select("tokens", "confidence", F.explode("tokens").alias("t")).join(shorter, "t").where((F.size("part") < F.size("tokens")) & (F.col("c") >= F.col("confidence")) & (F.size(F.array_except("part", "tokens")) == 0))
+    out = cut(every.join(within.select("tokens").distinct(), "tokens", "left_anti"), "minimal-url-rules")
+    uncut(*made, every)
+    return out
+
+
+def _listed(rules: DataFrame) -> DataFrame:
+    return rules.orderBy(F.size("tokens"), F.desc("confidence"), F.desc("support"), F.array_join("tokens", " "))
+
+
+def mine(labelled: DataFrame, *args, **kwargs) -> list[TokenRule]:
+    """mine_rules() as a list of all rules, for callers that know there are few."""
+    return [TokenRule(tuple(r["tokens"]), r["confidence"], r["support"]) for r in _listed(mine_rules(labelled, *args, **kwargs)).collect()]
+
+
+def _joined(pages: DataFrame, rules: DataFrame) -> DataFrame:
+    """pages (parsed) with token_rule, as token_rule() gives it, for rules of any number: each is met by its rarest token."""
+    index = cut(_listed(rules).rdd.zipWithIndex().map(lambda x: (x[1], x[0]["tokens"], x[0]["confidence"], x[0]["rarest"])).toDF("k int, part array<string>, c double, t string"), "url-rule-index")
+    urls = pages.select("__url", "host", "path").where("__url is not null").distinct().withColumn("own", url_tokens())
+    hits = urls.withColumn("t", F.explode("own")).join(index, "t").where(F.size(F.array_except("part", "own")) == 0)
+    best = hits.groupBy("__url").agg(F.min(F.struct(-F.col("c"), F.col("k").alias("k")))["k"].alias("token_rule"))
+    return pages.join(best, "__url", "left")
 
 
 def token_rule(rules: list[TokenRule]) -> Column:
@@ -137,13 +158,17 @@ def token_rule(rules: list[TokenRule]) -> Column:
     return F.array_min(F.transform(whole, lambda k: F.struct(F.get(order, k).alias("o"), k.alias("k"))))["k"]
 
 
-def judge(pages: DataFrame, rules: list[PathRule], mined: list[TokenRule], url_col: str = "url") -> DataFrame:
+def judge(pages: DataFrame, rules: list[PathRule], mined: list[TokenRule] | DataFrame, url_col: str = "url") -> DataFrame:
     """pages with host, path, rule (the path rule's text or null), token_rule (number or null) and verdict.
 
     The longest fitting path rule decides; without one a matching token rule blocks, and all else is allowed. Extra columns
-    of pages with these names are replaced. Rows are judged one by one.
+    of pages with these names are replaced. Rows are judged one by one. mined: a list, or the table of mine_rules(), which is joined
+    where it has more than MAX_RULES rules.
     """
     names = [c for c in pages.columns if c not in ("host", "path", "rule", "token_rule", "verdict", "__url")]
-    rows = parsed(pages.select(*names), url_col).withColumn("__rule", path_rule(rules)).withColumn("token_rule", token_rule(mined))
+    if isinstance(mined, DataFrame) and len(mined.take(MAX_RULES + 1)) <= MAX_RULES:
+        mined = [TokenRule(tuple(r["tokens"]), r["confidence"], r["support"]) for r in _listed(mined).collect()]
+    rows = parsed(pages.select(*names), url_col).withColumn("__rule", path_rule(rules))
+    rows = _joined(rows, mined) if isinstance(mined, DataFrame) else rows.withColumn("token_rule", token_rule(mined))
     verdict = F.coalesce(F.col("__rule.verdict"), F.when(F.col("token_rule").isNotNull(), F.lit("block")).otherwise(F.lit("allow")))
     return rows.select(*names, "host", "path", F.col("__rule.rule").alias("rule"), "token_rule", verdict.alias("verdict"))

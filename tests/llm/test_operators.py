@@ -478,6 +478,22 @@ def test_mined_rules(spark):
     assert url_rules.mine(pages.limit(0)) == []
 
 
+def test_mining_is_not_capped(spark, monkeypatch):
+    # 40 tokens a URL that always come together, each a minimal rule; one of two tokens, which both are met without it.
+    long = "/".join(f"part{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(38))
+    data = [(i, f"http://x.io/{long}", 1) for i in range(60)]
+    data += [(100 + i, f"http://{h}.net/{p}", int(h == "b" and p == "buy")) for i, (h, p) in enumerate([("a", "buy"), ("b", "read"), ("a", "read"), ("b", "buy")] * 40)]
+    pages = spark.createDataFrame(data, "page_id long, url string, blocked int")
+    mined = url_rules.mine(pages)
+    assert {r.tokens for r in mined} == {(t,) for t in ["host:x.io", "host:io", *(f"path:{p}" for p in long.split("/"))]} | {("host:b.net", "path:buy")}
+    assert all(r.confidence == 1 and r.support == pytest.approx((60 if len(r.tokens) == 1 else 40) / len(data)) for r in mined)
+    table = url_rules.mine_rules(pages)
+    want = sorted(rows(url_rules.judge(pages, [], mined)), key=str)
+    monkeypatch.setattr(url_rules, "MAX_RULES", 10)
+    got = sorted(rows(url_rules.judge(pages, [], table).select(*url_rules.judge(pages, [], mined).columns)), key=str)
+    assert got == want and {r[0] for r in got if "block" in r} == {i for i, _, y in data if y}
+
+
 def _has(url, token):
     kind, _, v = token.partition(":")
     host = url.split("/")[2]
