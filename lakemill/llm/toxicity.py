@@ -1,8 +1,8 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Terms are words and word beginnings. The examples are a bounded sample of labelled rows (SAMPLE a class), the vocabulary is
-the TERMS terms of the sample that tell its classes apart best (chi-squared), and document frequencies are counted over all
-documents. A text's nearest K examples vote with weights that fall with distance; votes are calibrated by a logistic
+all terms of the sample that mark the label: in five examples or more, and in over three times as large a share of the toxic ones
+as of the others. Other words of a text take no part. Document frequencies are counted over all documents. A text's nearest K examples vote with weights that fall with distance; votes are calibrated by a logistic
 curve fitted to the examples themselves, each left out of its own vote.
 """
 
@@ -22,7 +22,6 @@ from .common import cut, fold, uncut
 
 #: Labelled rows of each class that the examples are drawn from, at most.
 SAMPLE = 3000
-TERMS = 1024
 K = 25
 BLOCK = 64
 
@@ -198,9 +197,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     size = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     a, c = F.col("pos"), F.col("neg")
     p, q = size.get(1, 0), size.get(0, 0)
-    chi = F.pow(a * (q - c) - c * (p - a), F.lit(2)) / ((a + c) * (F.lit(float(p + q)) - a - c + 0.5))
     # A lone term's rarity in one class is no evidence of the other: only terms that mark the label are kept, with their near ties.
-    terms = sample.select("toxic", "text").mapInArrow(presence, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where((a + c >= 5) & (a * q > 3 * c * p)).orderBy(F.desc(chi), "term").limit(TERMS).collect()
+    terms = sample.select("toxic", "text").mapInArrow(presence, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where((a + c >= 5) & (a * q > 3 * c * p)).select("term").collect()
     vec = Vectorizer({r["term"]: k for k, r in enumerate(sorted(terms, key=lambda r: r["term"]))})
     vec.idf = _idf(rows, vec)
     sent = spark.sparkContext.broadcast(vec)
@@ -251,7 +249,7 @@ def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text"
     """The columns `keep`, then score, predicted (1 if score >= 0.5) and evidence: ids of the nearest examples that voted.
 
     Null and empty texts and texts without any known term get the calibrated share of toxic ones among such examples. Rows are
-    scored one by one. The model's broadcast is bounded by SAMPLE and TERMS.
+    scored one by one. The model's broadcast is bounded by the examples' size, SAMPLE rows a class.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*keep, F.col(text_col).alias("__text"))

@@ -401,6 +401,16 @@ def test_toxicity(spark, odd, none):
     assert not rows(toxicity.score(none, model, ["doc_id"]))
 
 
+def test_every_term_that_marks_the_label_is_indexed(spark):
+    # 1500 words that mark the label, each in five toxic texts.
+    name = lambda k: "".join(chr(97 + k // 26**i % 26) for i in range(3))
+    data = [(i, " ".join(name(k) for k in range(1500) if k % 60 == i % 60), 1) for i in range(300)] + [(300 + i, "plain text", 0) for i in range(300)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in data], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in data], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert {name(k) for k in range(1500)} == set(model.vectorizer.terms)
+
+
 # 9
 
 
