@@ -8,11 +8,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.shared import prefix_sums, written
 from .stats import name, need_numeric, percentiles
 
-#: Distinct values of a column that the search for class-dependent cuts looks at; columns with more are first put into that many quantile bins.
-CUT_CANDIDATES = 5000
-
 
 def nice_step(width: float) -> float:
     """The smallest of 1, 2, 5 times a power of ten that is at least width."""
@@ -45,56 +43,67 @@ def _entropy(counts: Sequence[float]) -> float:
     return -sum(c / n * math.log2(c / n) for c in counts if c) if n else 0.0
 
 
-def mdl_cuts(values: Sequence[float], counts: Sequence[Sequence[int]]) -> list[float]:
-    """Cuts between ascending values that Fayyad and Irani's criterion accepts; counts are by value and class."""
-    import numpy as np
+def mdl_cuts(table: DataFrame, classes: int) -> list[float]:
+    """Cuts between neighbouring values that Fayyad and Irani's criterion accepts.
 
-    c = np.asarray(counts, float)
+    table: v, c0, c1, ... (counts of v by class), one row a value. Prefix sums are made once; each round every open interval finds its best cut by one
+    aggregation, so the driver gets a row an interval and never the values.
+    """
+    names = [f"c{k}" for k in range(classes)]
+    sums = table
+    for c in names:
+        sums = prefix_sums(sums, "v", c, f"s{c}")
+    sums = written(sums.select("v", *[(F.col(f"s{c}") + F.col(c)).alias(c) for c in names]), "class-sums")
+    top = sums.agg(F.max("v"), *[F.max(c) for c in names]).first()
     out: list[float] = []
-    stack = [(0, len(values))]
-    while stack:
-        a, b = stack.pop()
-        if b - a < 2:
-            continue
-        part = c[a:b]
-        left = part.cumsum(0)[:-1]
-        total = part.sum(0)
-        right = total - left
-        n = total.sum()
-
-        def ent(x):
-            s = x.sum(1, keepdims=True)
-            p = np.divide(x, s, out=np.zeros_like(x), where=s > 0)
-            return -(p * np.log2(np.where(p > 0, p, 1))).sum(1), s[:, 0]
-
-        (h1, n1), (h2, n2) = ent(left), ent(right)
-        e = (n1 * h1 + n2 * h2) / n
-        k = int(e.argmin())
-        h = _entropy(total)
-        classes = [(x > 0).sum() for x in (total, left[k], right[k])]
-        delta = math.log2(3.0 ** int(classes[0]) - 2) - (classes[0] * h - classes[1] * h1[k] - classes[2] * h2[k])
-        if h - e[k] > (math.log2(n - 1) + delta) / n:
-            out.append((values[a + k] + values[a + k + 1]) / 2)
-            stack += [(a, a + k + 1), (a + k + 1, b)]
+    # An interval: values above lo (None: all) up to hi, with the prefix sums at both ends.
+    todo = [(None, top[0], [0] * classes, list(top[1:]))] if top[0] is not None else []
+    while todo:
+        # The interval of a value, by its number among the open ones, which lie in ascending order.
+        todo.sort(key=lambda t: t[1])
+        at = F.lit(len(todo)) - F.size(F.filter(F.lit([float(t[1]) for t in todo]), lambda h: h >= F.col("v")))
+        ends = F.array(*[F.struct(F.lit(t[0]).cast("double").alias("lo"), F.lit(t[1]).alias("hi"), F.array(*[F.lit(float(x)) for x in t[2]]).alias("a"), F.array(*[F.lit(float(x)) for x in t[3]]).alias("b")) for t in todo])
+        rows = sums.where(F.col("v") <= todo[-1][1]).withColumn("k", at).withColumn("e", F.get(ends, F.col("k"))).where("e.lo is null or v > e.lo")
+
+        def part(xs: list[Column]) -> Column:
+            n = sum(xs[1:], xs[0])
+            return sum((F.when(x > 0, -x * F.log2(x / n)).otherwise(0.0) for x in xs[1:]), F.when(xs[0] > 0, -xs[0] * F.log2(xs[0] / n)).otherwise(0.0))
+
+        left = [F.col(c) - F.col("e.a")[k] for k, c in enumerate(names)]
+        right = [F.col("e.b")[k] - F.col(c) for k, c in enumerate(names)]
+        # Equal cuts differ by rounding only: the lowest value wins.
+        best = rows.where("v < e.hi").groupBy("k").agg(F.min(F.struct(F.round(part(left) + part(right), 6).alias("h"), F.col("v").alias("v"), *names)).alias("m")).select("k", "m.*")
+        found = {r["k"]: r for r in best.collect()}
+        after = {}
+        if found:
+            chosen = F.get(F.array(*[F.lit(found[k]["v"] if k in found else None).cast("double") for k in range(len(todo))]), F.col("k"))
+            after = {r["k"]: r["n"] for r in rows.where(F.col("v") > chosen).groupBy("k").agg(F.min("v").alias("n")).collect()}
+        more = []
+        for k, (lo, hi, a, b) in enumerate(todo):
+            if k not in found:
+                continue
+            at = [found[k][c] for c in names]
+            total, l, r = ([y - x for x, y in zip(a, b)], [y - x for x, y in zip(a, at)], [y - x for x, y in zip(at, b)])
+            n, h, h1, h2 = sum(total), _entropy(total), _entropy(l), _entropy(r)
+            e = (sum(l) * h1 + sum(r) * h2) / n
+            kinds = [sum(x > 0 for x in c) for c in (total, l, r)]
+            delta = math.log2(3.0 ** kinds[0] - 2) - (kinds[0] * h - kinds[1] * h1 - kinds[2] * h2)
+            if h - e > (math.log2(n - 1) + delta) / n:
+                v = found[k]["v"]
+                out.append((v + after[k]) / 2)
+                more += [(lo, v, a, at), (v, hi, at, b)]
+        todo = more
     return sorted(out)
 
 
 def cuts_mdl(df: DataFrame, columns: Sequence[str], target: str) -> dict[str, list[float]]:
-    """Class-dependent cuts. The driver gets counts by value and class of at most CUT_CANDIDATES values a column."""
+    """Class-dependent cuts between any two neighbouring values, however many there are. The driver gets the classes."""
     out = {}
     for c in columns:
         rows = df.where(name(c).isNotNull()).select(name(c).cast("double").alias("v"), name(target).cast("string").alias("t"))
-        if rows.select("v").distinct().limit(CUT_CANDIDATES + 1).count() > CUT_CANDIDATES:
-            edges = rows.agg(F.percentile_approx("v", F.lit([k / CUT_CANDIDATES for k in range(1, CUT_CANDIDATES)]), 4 * CUT_CANDIDATES)).first()[0]
-            edges = sorted({*edges})
-            lists = F.array(*map(F.lit, edges))
-            rows = rows.withColumn("v", F.coalesce(F.get(lists, F.aggregate(lists, F.lit(0), lambda n, e: n + (e < F.col("v")).cast("int"))), F.lit(edges[-1])))
-        got: dict[float, dict[str | None, int]] = {}
-        for r in rows.groupBy("v", "t").agg(F.count("*").alias("n")).collect():
-            got.setdefault(r["v"], {})[r["t"]] = r["n"]
-        classes = sorted({t for x in got.values() for t in x}, key=str)
-        values = sorted(got)
-        out[c] = mdl_cuts(values, [[got[v].get(t, 0) for t in classes] for v in values])
+        classes = [r["t"] for r in rows.select("t").distinct().collect()]
+        counts = [F.sum(F.col("t").eqNullSafe(F.lit(t)).cast("long")).alias(f"c{k}") for k, t in enumerate(classes)]
+        out[c] = mdl_cuts(rows.groupBy("v").agg(*counts), len(classes)) if classes else []
     return out
 
 

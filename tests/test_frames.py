@@ -146,3 +146,9 @@ def test_discretize(spark):
         discretize.cuts(d, ["v"], "em", bins=3, target="c")
     with pytest.raises(ValueError):
         discretize.cuts(d, ["v"], "ef", target="c")
+
+
+def test_cuts_by_description_length_lie_between_neighbours(spark):
+    # More distinct values than were looked at before; the class changes between 7000 and 7001, and at 12345.
+    d = spark.range(20_000).select(F.col("id").cast("double").alias("v"), F.when(F.col("id") <= 7000, "a").when(F.col("id") <= 12_345, "b").alias("c"))
+    assert discretize.cuts(d, ["v"], "em", target="c") == {"v": [7000.5, 12345.5]}
