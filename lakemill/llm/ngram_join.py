@@ -382,10 +382,10 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose id is their component's: one document of each group. Columns as in docs.
 
-    Rows with a null id stay. Where several rows have that id, equal rows stay once, and rows of different texts all stay.
+    Rows with a null id stay. Where several rows have that id, those of one text stay once, and rows of different texts all stay.
     """
     found = join(docs, id_col, text_col)
     ids = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__keep")).distinct()
     same = docs.where(F.col(id_col).isNotNull())
-    stay = same.join(ids, same[id_col].cast("long") == ids["__keep"], "left_semi")
+    stay = same.join(ids, same[id_col].cast("long") == ids["__keep"], "left_semi").dropDuplicates([id_col, text_col])
     return stay.unionByName(docs.where(F.col(id_col).isNull()))

@@ -316,6 +316,13 @@ def test_ngram_join(spark, monkeypatch, block):
     assert not rows(ngram_join.join(df.limit(0)))
 
 
+def test_repeated_rows_are_kept_once(spark):
+    text = "one two three four five six seven"
+    data = [(1, text), (1, text), (2, text), (3, "other words of that one id"), (3, "and one more text of it"), (4, None), (4, None), (None, text), (None, text)]
+    got = Counter(rows(ngram_join.kept(spark.createDataFrame(data, "doc_id long, text string").repartition(3))))
+    assert got == Counter([(1, text), (3, data[3][1]), (3, data[4][1]), (4, None), (None, text), (None, text)])
+
+
 def test_search_is_exact():
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 60, rng.integers(5, 60))).astype(np.uint64) for _ in range(120)]
