@@ -8,12 +8,11 @@ from __future__ import annotations
 
 import re
 from array import array
+from collections.abc import Callable
 from functools import lru_cache
 
-import numpy as np
-
 #: Words kept in one generation of the memory; two generations are held.
-MEMORY = 200_000
+MEMORY = 400_000
 
 #: Texts with other white space, control characters or the start of a special token are encoded in one piece.
 _PLAIN = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f\x85\xa0  -     　]|<\\|")
@@ -35,6 +34,21 @@ def _byte_letters() -> dict[int, int]:
     return {b: b for b in seen} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in {*seen})}
 
 
+class _Memory(dict):
+    """Ids by word. A word that is not held is taken from the generation before, else encoded."""
+
+    def __init__(self, ids: Callable[[str], bytes], before: dict[str, bytes]) -> None:
+        super().__init__()
+        self.ids, self.before = ids, before
+
+    def __missing__(self, word: str) -> bytes:
+        out = self.before.get(word)
+        if out is None:
+            out = self.ids(word)
+        self[word] = out
+        return out
+
+
 class Encoder:
     """Ids as little-endian unsigned 32-bit bytes. path: a tokenizers file; spaces: a key of _WORDS."""
 
@@ -47,30 +61,18 @@ class Encoder:
         self.plain = re.compile(f" ?{_LETTERS}").fullmatch
         self.letters = _byte_letters()
         self.find = _WORDS[spaces].findall
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.words = _Memory(self._ids, {})
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _learn(self, words: list[str]) -> None:
+    def _ids(self, text: str) -> bytes:
         """Words of Latin letters go to the merges at once, without the search for word boundaries; others to the whole tokenizer."""
-        new, old, rest = self.new, self.old, []
-        for w in words:
-            ids = old.get(w)
-            if ids is None and self.plain(w):
-                key = w.lower() if self.lower else w
-                ids = new.get(key) or old.get(key)
-                if ids is None:
-                    ids = array("I", [t.id for t in self.merge(key.encode().decode("latin-1").translate(self.letters))]).tobytes()
-                    new[key] = ids
-            if ids is None:
-                rest.append(w)
-            else:
-                new[w] = ids
-        for a in range(0, len(rest), 5000):
-            part = rest[a : a + 5000]
-            new.update(zip(part, self._ids(part), strict=True))
+        if not self.plain(text):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        key = text.lower() if self.lower else text
+        if key.isascii():
+            key = key.replace(" ", "\u0120")
+        else:
+            key = key.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.merge(key)]).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; null counts as empty."""
@@ -79,15 +81,12 @@ class Encoder:
             if not text:
                 out.append(b"")
             elif _PLAIN.search(text):
-                out.append(self._ids([text])[0])
+                out.append(array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes())
             else:
-                words = self.find(text)
-                if missing := {*words}.difference(self.new):
-                    if len(self.new) > MEMORY:
-                        self.old, self.new = self.new, {}
-                        missing = {*words}
-                    self._learn(sorted(missing))
-                out.append(b"".join(map(self.new.__getitem__, words)))
+                if len(self.words) > MEMORY:
+                    self.words.before = {}
+                    self.words = _Memory(self._ids, self.words)
+                out.append(b"".join(map(self.words.__getitem__, self.find(text))))
         return out
 
 
