@@ -14,16 +14,22 @@ DEFAULT_SHARED = "file:///tmp/checkpoints"
 #: A word, as the shingle operators and the mixing budget count them.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_written: dict[int, str] = {}
+#: Folders written by this process that are still there.
+_written: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share."""
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or DEFAULT_SHARED).rstrip('/')}/lakemill"
+    """The folder that driver and executors share. Without spark.checkpoint.dir only a local master can go on."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{(named or DEFAULT_SHARED).rstrip('/')}/lakemill"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.add(path)
+    return path
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -32,19 +38,25 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    _written[id(out)] = path
+    out.written_to = path
     return out
 
 
 def uncut(*frames: DataFrame) -> None:
     """Remove cut tables that nothing reads any more."""
     for df in frames:
-        path = _written.pop(id(df), None)
-        if path:
+        if path := vars(df).get("written_to"):
             remove(df.sparkSession, path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Remove all tables and token files that this process has written: for callers that are done with every result."""
+    for path in sorted(_written):
+        remove(spark, path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
+    _written.discard(path)
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 

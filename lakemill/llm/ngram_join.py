@@ -3,12 +3,14 @@
 A document's set is its distinct five-word shingles. Two documents link when 100 * |intersection| >= 75 * |union|, so they share
 at least T = ceil(0.75 / 1.75 * (|x| + |y|)) shingles, and each holds at least 0.75 of its own set in common with the other.
 
-1. Which shingles occur in two documents? Every task sends each of its shingles once, by hash range, with its documents; a shingle that the
-   task itself has met twice is known to be shared, and only one mark of it is sent. So a list at a receiver is as long as there are
-   tasks, however frequent the shingle is.
-2. A document with fewer shared shingles than 0.75 of its set links with nothing. The rest, collapsed by equal sets, keep only
-   their shared shingles: those are all that overlaps can consist of.
-3. Documents that have one of their rarest shared shingles in common (as many as two linked documents can't both miss) are candidates;
+1. Which shingles occur in two documents, and in about how many? Every task sends its shingles in batches, each shingle of a batch once, by hash
+   range, with its document; one that the batch itself has met twice goes with a count instead. So a list at a receiver is as long as
+   there are batches, however frequent the shingle is. The receiver answers each batch in one row a range, and the batch's
+   documents meet their answers again: rows grow with the batches, not with documents times ranges.
+2. A document with fewer shared shingles than 0.75 of its set links with nothing. Of the rest, one of each set stays, with
+   its shared shingles only: those are all that overlaps can consist of. The same exchange among those sets leaves the shingles that
+   another set holds, with their frequency.
+3. Sets that have one of their rarest shared shingles in common (as many as two linked documents can't both miss) are candidates;
    candidates' connected parts are cohorts, and cohorts are searched in pairs of blocks of documents sorted by set size.
 4. A block pair is a T-occurrence search by DivideSkip: each query's inverted lists in the block are divided into long and short
    ones, the short ones are merged, documents that occur in enough of them are looked up in the long ones by binary
@@ -18,13 +20,13 @@ at least T = ceil(0.75 / 1.75 * (|x| + |y|)) shingles, and each holds at least 0
 from __future__ import annotations
 
 import hashlib
-import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, cut, uncut
@@ -38,14 +40,13 @@ BLOCK = 256
 #: Inverted lists that a search leaves to binary search are at least this long.
 LONG = 16
 
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _PRIMES = np.asarray([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
 
 def words(text: str) -> list[bytes]:
-    """Words as UTF-8, with A-Z in lower case."""
-    return _WORD.findall(text.encode("utf-8", "surrogatepass").translate(_LOWER))
+    """Words as UTF-8, with A-Z in lower case. Bytes split at \x20 and \x09-\x0D alone."""
+    return text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -54,24 +55,26 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def shingles(text: str | None, memory: dict[bytes, int]) -> np.ndarray:
-    """Sorted 56-bit hashes of the distinct shingles. Fewer than WIDTH words are one shingle; none give none.
-
-    memory: hashes of words met before; it is emptied when it has grown large.
-    """
+def shingles(text: str | None) -> np.ndarray:
+    """Sorted 56-bit hashes of the distinct shingles. Fewer than WIDTH words are one shingle; none give none."""
     ws = words(text) if text else []
     if not ws:
         return np.empty(0, np.uint64)
-    if len(memory) > 500_000:
-        memory.clear()
-    for w in {*ws}.difference(memory):
-        memory[w] = xxhash.xxh3_64_intdigest(w)
-    h = np.fromiter(map(memory.__getitem__, ws), np.uint64, len(ws))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, ws), np.uint64, len(ws))
     k = min(WIDTH, len(h))
     out = np.full(len(h) - k + 1, k, np.uint64)
     for i in range(k):
         out = _mix(out * _PRIMES[i] + h[i : len(h) - k + 1 + i])
-    return np.unique(out >> np.uint64(8))
+    out >>= np.uint64(8)
+    out.sort()
+    return out[_first(out)]
+
+
+def _first(x: np.ndarray) -> np.ndarray:
+    """Where a sorted array has another value than before."""
+    out = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=out[1:])
+    return out
 
 
 def _parts(h: np.ndarray, parts: int) -> np.ndarray:
@@ -93,75 +96,84 @@ def _from_deltas(blob: bytes) -> np.ndarray:
     return np.cumsum(wide.view("<u8").ravel(), dtype=np.uint64) + np.frombuffer(blob[1:9], "<u8")[0]
 
 
-#: Shingles that a task holds before it sends them on.
+#: Shingles of one batch.
 KEEP = 1_500_000
-#: In place of a document: the shingle is known to be shared.
-_SHARED = -(1 << 63)
-#: Slots of the frequency sketch: one byte each is sent to every task.
-SLOTS = 1 << 24
-_CHUNK = 1 << 16
+#: Bytes of text whose shingles one hash range takes, about.
+RANGE = 16_000_000
+
+_SENT = "part int, batch long, place int, row long, v1 long, v2 long, v3 long, v4 long, marks binary, docs binary, levels binary"
+_SENT_NAMES = [c.split()[0] for c in _SENT.split(", ")]
+_SENT_TYPES = [{"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[c.split()[1]] for c in _SENT.split(", ")]
+
+
+def _sent_rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _SENT_TYPES, strict=True)], _SENT_NAMES)
+
+
+def _level(count: np.ndarray) -> np.ndarray:
+    """The logarithm to base 2, rounded up, of counts from 2 on."""
+    return np.ceil(np.log2(count)).astype(np.int64)
 
-_SENT = ["kind", "part", "row", "id", "n", "d1", "d2", "marks", "met", "docs"]
-_SENT_TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-_MET = ["row", "id", "n", "d1", "d2", "marks"]
 
+def _packed(x: np.ndarray) -> bytes:
+    """Whole numbers in 16 bits where all fit, else 32, after a byte that says which."""
+    small = not len(x) or -32768 <= x.min() and x.max() < 32768
+    return bytes([2 if small else 4]) + x.astype("<i2" if small else "<i4").tobytes()
 
-def _ddl(names: list[str], types: list[pa.DataType]) -> str:
-    return ", ".join(f"{n} {({pa.int32(): 'int', pa.int64(): 'long', pa.binary(): 'binary'})[t]}" for n, t in zip(names, types, strict=True))
 
+def _unpacked(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, f"<i{blob[0]}", offset=1).astype(np.int64)
 
-def _send(ranges: int):
-    """Batches of (id, text) -> rows of two kinds.
 
-    kind 0: a document: its row number, id, n (size of its set), digest (d1, d2; null without shingles) and marks, its shingles that
-    this task has met twice among those it holds. kind 1: for one hash range the shingles held, ascending, and for each the row it is in, or
-    _SHARED, as places in `met`. Row numbers follow from the task's number and the place in its input.
+#: Row, v1 to v4, and the sorted distinct shingles.
+_Set = tuple[int, int | None, int | None, int | None, int | None, np.ndarray]
+
+
+def _send(ranges: int, sets: Callable[[pa.RecordBatch, int], Iterable[_Set]]):
+    """Batches -> documents and lists. sets: those of a batch, whose first row has the number given.
+
+    A document: place in its batch, row, v1 to v4, marks: its shingles that the batch has met twice. A list: of one hash range the
+    batch's shingles, ascending, and for each the place of its document or, if the batch has met it twice, minus its count's level.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        memory: dict[bytes, int] = {}
-        held: list[tuple[int, int | None, np.ndarray]] = []
-        row, size = TaskContext.get().partitionId() << 33, 0
+        held: list[_Set] = []
+        batch, row, size = TaskContext.get().partitionId() << 32, TaskContext.get().partitionId() << 33, 0
 
         def flush() -> pa.RecordBatch:
-            rows: list[tuple] = []
-            linked = [h if i is not None else h[:0] for _, i, h in held]
-            every, doc = np.concatenate(linked), np.repeat(np.arange(len(held)), [len(h) for h in linked])
-            order = np.argsort(every, kind="stable")
-            e, d = every[order], doc[order]
-            first = np.concatenate([[True], e[1:] != e[:-1]])[: len(e)]
+            e = np.concatenate([x[-1] for x in held])
+            d = np.repeat(np.arange(len(held)), [len(x[-1]) for x in held])
+            order = np.argsort(e, kind="stable")
+            e, d = e[order], d[order]
+            first = _first(e)
             many = np.diff(np.append(np.flatnonzero(first), len(e)))
             twice = np.repeat(many > 1, many)
             shared, owner = e[twice], d[twice]
             by = np.argsort(owner, kind="stable")
             shared, cuts = shared[by], np.searchsorted(owner[by], np.arange(len(held) + 1))
-            for k, (r, i, h) in enumerate(held):
-                d1, d2 = np.frombuffer(hashlib.blake2b(h.tobytes(), digest_size=16).digest(), "<i8").tolist() if len(h) else (None, None)
-                rows.append((0, r % ranges, r, i, len(h), d1, d2, shared[cuts[k] : cuts[k + 1]].tobytes(), None, None))
-            own = np.where(twice[first], _SHARED, np.asarray([r for r, _, _ in held], np.int64)[d[first]])
+            rows: list[tuple] = [((batch + k) % ranges, batch, k, *x[:-1], shared[cuts[k] : cuts[k + 1]].tobytes(), None, None) for k, x in enumerate(held)]
+            own = np.where(many > 1, -_level(np.maximum(many, 2)), d[first])
             e = e[first]
             at = np.searchsorted(_parts(e, ranges), np.arange(ranges + 1))
-            for k in range(ranges):
+            for k in np.flatnonzero(np.diff(at)).tolist():
                 a, b = at[k], at[k + 1]
-                if b > a:
-                    met, place = np.unique(own[a:b], return_inverse=True)
-                    small = place.astype("<u2" if len(met) < 65536 else "<u4")
-                    rows.append((1, k, None, None, None, None, None, _deltas(e[a:b]), met.tobytes(), small.tobytes()))
+                rows.append((k, batch, None, None, None, None, None, None, _deltas(e[a:b]), _packed(own[a:b]), None))
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _SENT_TYPES, strict=True)], _SENT)
+            return _sent_rows(rows)
 
         for b in batches:
             for a in range(0, b.num_rows, 512):
                 some = b.slice(a, 512)
-                for i, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
-                    held.append((row, i, shingles(text, memory)))
-                    row += 1
-                    size += len(held[-1][2])
+                for x in sets(some, row):
+                    held.append(x)
+                    size += len(x[-1])
                     if size > KEEP:
                         yield flush()
                         size = 0
+                        batch += 1
+                row += some.num_rows
         if held:
             yield flush()
 
@@ -169,63 +181,106 @@ def _send(ranges: int):
 
 
 def _receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents as they came, and for each document its shingles that another sender holds too, one hash range at a time."""
-    by: dict[int, list[tuple[bytes, bytes, bytes]]] = {}
-    for b in batches:
-        kind = b.column(0).to_numpy()
-        docs = b.filter(pa.array(kind == 0))
-        if docs.num_rows:
-            yield pa.RecordBatch.from_arrays([docs.column(_SENT.index(c)) for c in _MET], _MET)
-        for r in b.filter(pa.array(kind == 1)).select(["part", "marks", "met", "docs"]).to_pylist():
-            by.setdefault(r["part"], []).append((r["marks"], r["met"], r["docs"]))
-    for part in sorted(by):
-        marks, docs = [], []
-        for m, met, place in by.pop(part):
-            marks.append(_from_deltas(m))
-            docs.append(np.frombuffer(met, "<i8")[np.frombuffer(place, "<u2" if len(place) == 2 * len(marks[-1]) else "<u4")])
-        e, d = np.concatenate(marks), np.concatenate(docs)
+    """Rows in the order of their range -> documents as they came, and for each list its shingles that another document has, with their levels.
+
+    One range is held at a time.
+    """
+    part, lists = -1, []
+
+    def answer() -> Iterator[pa.RecordBatch]:
+        if not lists:
+            return
+        es, ds = [_from_deltas(r["marks"]) for r in lists], [_unpacked(r["docs"]) for r in lists]
+        e = np.concatenate(es)
+        n = np.concatenate([np.where(d < 0, 1 << np.minimum(-d, 40), 1) for d in ds])
         order = np.argsort(e, kind="stable")
-        e, d = e[order], d[order]
-        many = np.diff(np.append(np.flatnonzero(np.concatenate([[True], e[1:] != e[:-1]])), len(e)))
-        own = np.repeat(many > 1, many) & (d != _SHARED)
-        e, d = e[own], d[own]
-        order = np.argsort(d, kind="stable")
-        e, d = e[order], d[order]
-        rows, at = np.unique(d, return_index=True)
-        cuts = np.append(at, len(d))
-        for a in range(0, len(rows), 20_000):
-            some = range(a, min(a + 20_000, len(rows)))
-            none = pa.array([None] * len(some), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(rows[a : a + 20_000]), none, none, none, none, pa.array([e[cuts[k] : cuts[k + 1]].tobytes() for k in some], pa.binary())], _MET)
-
-
-def _sketch(sets: DataFrame, parts: int) -> np.ndarray:
-    """For each slot of a shingle's hash: how many sets hold one of the slot's shingles, as 0, 1, or 1 + its logarithm to base 2, rounded up.
-
-    Counts are never too small, so a shingle in a slot that counts 1 is in one set only.
+        first = _first(e[order])
+        total = np.add.reduceat(n[order], np.flatnonzero(first))
+        level = np.zeros(len(e), np.uint8)
+        level[order] = np.where(total > 1, _level(np.maximum(total, 2)), 0)[np.cumsum(first) - 1]
+        a, rows = 0, []
+        for r, x, d in zip(lists, es, ds, strict=True):
+            own = level[a : a + len(x)]
+            a += len(x)
+            if own.any():
+                at = own > 0
+                rows.append((part, r["batch"], None, None, None, None, None, None, _deltas(x[at]), _packed(d[at]), own[at].tobytes()))
+        lists.clear()
+        for a in range(0, len(rows), 1000):
+            yield _sent_rows(rows[a : a + 1000])
+
+    for b in batches:
+        doc = b.column(_SENT_NAMES.index("row")).is_valid()
+        yield b.filter(doc)
+        for r in b.filter(pc.invert(doc)).select(["part", "batch", "marks", "docs"]).to_pylist():
+            if r["part"] != part:
+                yield from answer()
+                part = r["part"]
+            lists.append(r)
+    yield from answer()
+
+
+def _gather(use: Callable[[int, int, int, np.ndarray, np.ndarray], tuple | None], names: list[str], types: list[pa.DataType], chosen: bool):
+    """Rows in the order of their batch -> one row for each document that `use` takes.
+
+    use: of a document's row, size (v2), copies (v3), shared shingles, ascending, and their levels. chosen: only documents that another row
+    without marks names are looked at, with that row's values. One batch is held at a time.
     """
-    names = ["chunk", "slots", "counts"]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            blobs = b.column(0).to_pylist()
-            slot, n = np.unique(np.frombuffer(b"".join(blobs), "<u8") & np.uint64(SLOTS - 1), return_counts=True)
-            at = np.searchsorted(slot, np.arange(0, SLOTS + 1, _CHUNK, dtype=np.uint64))
-            full = [k for k in range(len(at) - 1) if at[k + 1] > at[k]]
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([(slot[at[k] : at[k + 1]] % np.uint64(_CHUNK)).astype("<u2").tobytes() for k in full], pa.binary()), pa.array([n[at[k] : at[k + 1]].astype("<u4").tobytes() for k in full], pa.binary())], names)
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batch, held = None, []
+
+        def meet() -> Iterator[pa.RecordBatch]:
+            docs = [r for r in held if r["place"] is not None and r["marks"] is not None]
+            lists = [r for r in held if r["place"] is None]
+            only = {r["place"]: r for r in held if r["place"] is not None and r["marks"] is None}
+            held.clear()
+            if not docs or not lists:
+                return
+            e, level, d = np.concatenate([_from_deltas(r["marks"]) for r in lists]), np.concatenate([np.frombuffer(r["levels"], np.uint8) for r in lists]), np.concatenate([_unpacked(r["docs"]) for r in lists])
+            order = np.argsort(e, kind="stable")
+            e, level, d = e[order], level[order], d[order]
+            one = np.flatnonzero(d >= 0)
+            one = one[np.argsort(d[one], kind="stable")]
+            cuts = {p: (a, b) for p, a, b in zip(*_runs(d[one]), strict=True)}
+            out = []
+            for r in docs:
+                v = only.get(r["place"]) if chosen else r
+                if v is None:
+                    continue
+                a, b = cuts.get(r["place"], (0, 0))
+                at = np.concatenate([one[a:b], np.searchsorted(e, np.frombuffer(r["marks"], "<u8"))])
+                at.sort()
+                got = use(r["row"], v["v2"], v["v3"], e[at], level[at])
+                if got is not None:
+                    out.append(got)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+
         for b in batches:
-            for chunk, slots, counts in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                np.add.at(sums.setdefault(chunk, np.zeros(_CHUNK, np.int64)), np.frombuffer(slots, "<u2"), np.frombuffer(counts, "<u4"))
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.where(x > 0, 1 + np.ceil(np.log2(np.maximum(x, 1))), 0).astype(np.uint8).tobytes() for x in sums.values()], pa.binary())], ["chunk", "level"])
-
-    out = np.zeros(SLOTS, np.uint8)
-    sums = sets.select("marks").mapInArrow(count, "chunk int, slots binary, counts binary").repartition(parts, "chunk").mapInArrow(add, "chunk int, level binary")
-    for r in sums.toLocalIterator():  # SLOTS bytes in all
-        out[r["chunk"] * _CHUNK : (r["chunk"] + 1) * _CHUNK] = np.frombuffer(r["level"], np.uint8)
-    return out
+            for r in b.to_pylist():
+                if r["batch"] != batch:
+                    yield from meet()
+                    batch = r["batch"]
+                held.append(r)
+        yield from meet()
+
+    return run
+
+
+def _runs(x: np.ndarray) -> tuple[list[int], list[int], list[int]]:
+    """Values, starts and ends of the runs of a sorted array."""
+    at = np.flatnonzero(_first(x)) if len(x) else np.empty(0, int)
+    return x[at].tolist(), at.tolist(), np.append(at[1:], len(x)).tolist() if len(x) else []
+
+
+def _exchanged(sent: DataFrame, parts: int) -> DataFrame:
+    """The documents and answers to the lists of `sent`, written."""
+    return cut(sent.repartitionById(parts, F.col("part") % parts).sortWithinPartitions("part").mapInArrow(_receive, _SENT), "shared-shingles")
+
+
+def _met(rows: DataFrame, parts: int) -> DataFrame:
+    return rows.select(*_SENT_NAMES).repartition(parts, "batch").sortWithinPartitions("batch")
 
 
 def search(index: list[np.ndarray], sizes: np.ndarray, queries: list[np.ndarray], query_sizes: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -330,39 +385,37 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sent = rows.mapInArrow(_send(parts), _ddl(_SENT, _SENT_TYPES))
-    met = cut(sent.repartitionById(parts, F.col("part")).mapInArrow(_receive, _ddl(_MET, [_SENT_TYPES[_SENT.index(c)] for c in _MET])), "shared-shingles")
-    every = met.where("n is not null").select("row", "id", "n", "d1", "d2")
-    held = met.groupBy("row").agg(*[F.max(c).alias(c) for c in ("id", "n", "d1", "d2")], F.sum(F.length("marks") / 8).cast("long").alias("shared"), F.collect_list("marks").alias("m"))
-
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [np.sort(np.frombuffer(b"".join(x), "<u8")).tobytes() for x in b.column(5).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(sets, pa.binary())], _MET)
-
-    near = held.where(f"n > 0 and 100 * shared >= {LEAST} * n").select("row", "id", "n", "d1", "d2", "m")
-    near = cut(near.mapInArrow(merged, _ddl(_MET, [_SENT_TYPES[_SENT.index(c)] for c in _MET])), "near-documents")
-    classes = cut(near.groupBy("d1", "d2").agg(F.min("row").alias("row"), F.min("id").alias("least"), F.count("*").alias("copies"), F.first("n").alias("n")), "shingle-classes")
-    sets = cut(near.select("row", "marks").join(classes.select("row", "n", "copies"), "row").select("row", "n", "copies", "marks"), "shingle-sets")
-    uncut(near)
-    level = spark.sparkContext.broadcast(_sketch(sets, parts))
-
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sets without shingles that no other set holds, if enough are left, and their rarest ones."""
-        for b in batches:
-            out: list[tuple] = []
-            for r, n, c, blob in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                x = np.frombuffer(blob, "<u8")
-                lv = level.value[x & np.uint64(SLOTS - 1)]
-                x, lv = x[lv > 1], lv[lv > 1]
-                spare = len(x) - -(-LEAST * n // 100)
-                if spare >= 0:
-                    out.append((r, n, c, x.tobytes(), x[np.lexsort((x, lv))[: spare + 1]].view("<i8").tolist()))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())), strict=True)], ["row", "n", "copies", "marks", "rare"])
-
-    one = cut(sets.mapInArrow(rare, "row long, n long, copies long, marks binary, rare array<long>"), "near-sets")
-    uncut(sets)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = parts * max(1, -(-size // (parts * RANGE)))
+
+    def texts(b: pa.RecordBatch, row: int) -> Iterator[_Set]:
+        for k, (i, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+            h = shingles(text)
+            d1, d2 = np.frombuffer(hashlib.blake2b(h.tobytes(), digest_size=16).digest(), "<i8").tolist() if len(h) else (None, None)
+            yield row + k, i, len(h), d1, d2, h if i is not None else h[:0]
+
+    def near(r: int, n: int, copies: int, x: np.ndarray, level: np.ndarray) -> tuple | None:
+        return (r, n, copies, x.tobytes()) if 100 * len(x) >= LEAST * n else None
+
+    def classed(b: pa.RecordBatch, row: int) -> Iterator[_Set]:
+        for r, n, copies, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            yield r, None, n, copies, None, np.frombuffer(blob, "<u8")
+
+    def rare(r: int, n: int, copies: int, x: np.ndarray, level: np.ndarray) -> tuple | None:
+        spare = len(x) - -(-LEAST * n // 100)
+        return (r, n, copies, x.tobytes(), x[np.lexsort((x, level))[: spare + 1]].view("<i8").tolist()) if spare >= 0 else None
+
+    met = _exchanged(rows.mapInArrow(_send(ranges, texts), _SENT), parts)
+    every = met.where("row is not null").select("row", F.col("v1").alias("id"), F.col("v2").alias("n"), F.col("v3").alias("d1"), F.col("v4").alias("d2"), "batch", "place")
+    classes = every.where("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min(F.struct("row", "batch", "place", "n")).alias("first"), F.min("id").alias("least"), F.count("*").alias("copies"))
+    classes = cut(classes.select("d1", "d2", "first.*", "least", "copies"), "shingle-classes")
+    none = F.lit(None).cast("long")
+    named = classes.select(F.lit(0).alias("part"), "batch", "place", "row", none.alias("v1"), F.col("n").alias("v2"), F.col("copies").alias("v3"), none.alias("v4"), *[F.lit(None).cast("binary").alias(c) for c in ("marks", "docs", "levels")])
+    set_names, set_types = ["row", "n", "copies", "marks"], [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    sets = cut(_met(met.unionByName(named), parts).mapInArrow(_gather(near, set_names, set_types, True), "row long, n long, copies long, marks binary"), "near-sets")
+    again = _exchanged(sets.mapInArrow(_send(ranges, classed), _SENT), parts)
+    one = cut(_met(again, parts).mapInArrow(_gather(rare, [*set_names, "rare"], [*set_types, pa.list_(pa.int64())], False), "row long, n long, copies long, marks binary, rare array<long>"), "shared-sets")
+    uncut(sets, again)
     flat = one.select("row", F.explode("rare").alias("mark"))
     heads = flat.groupBy("mark").agg(F.min("row").alias("head"), F.count("*").alias("m")).where("m > 1").select("mark", "head")
     cohorts = components(flat.join(heads, "mark").where("row <> head").select(F.col("row").alias("u"), F.col("head").alias("v")).distinct())
@@ -370,11 +423,11 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     found = cut(dealt.groupBy("gkey", "sa", "ba", "sb", "bb").applyInArrow(_compare, "row long, links long, peer long"), "shingle-links")
     comp = components(found.select(F.col("row").alias("u"), F.col("peer").alias("v")))
     links = found.groupBy("row").agg(F.sum("links").alias("links"))
-    named = classes.join(comp.withColumnRenamed("node", "row"), "row", "left").join(links, "row", "left").withColumn("root", F.coalesce("component", "row"))
+    named = classes.join(comp.withColumnRenamed("node", "row"), "row", "left").join(links, "row", "left").where("copies > 1 or component is not null").withColumn("root", F.coalesce("component", "row"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_class = cut(named.join(least, "root").select("d1", "d2", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "class-components")
     uncut(one, cohorts, found, comp)
-    out = every.join(by_class, ["d1", "d2"], "left")
+    out = every.select("id", "n", "d1", "d2").join(by_class, ["d1", "d2"], "left")
     known = F.col("id").isNotNull()
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(known, F.coalesce("component_id", "id")).alias("component_id"), F.when(known, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"))
 
