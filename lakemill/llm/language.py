@@ -99,19 +99,24 @@ class Machine:
     b: float
 
 
-def fit_machine(x: np.ndarray, y: np.ndarray, c: float = 10.0, rounds: int = 20, seed: int = 0) -> Machine:
+#: A feature vector: buckets and values.
+Sparse = tuple[np.ndarray, np.ndarray]
+
+
+def fit_machine(x: list[Sparse], y: np.ndarray, c: float = 10.0, rounds: int = 20, seed: int = 0) -> Machine:
     """Dual coordinate descent for hinge loss; y is 1 or -1. The bias is a constant feature."""
-    w, bias, alpha, norm = np.zeros(x.shape[1]), 0.0, np.zeros(len(x)), np.einsum("ij,ij->i", x, x) + 1
+    w, bias, alpha, norm = np.zeros(BUCKETS), 0.0, np.zeros(len(x)), np.asarray([float(v @ v) for _, v in x]) + 1
     rng = np.random.default_rng(seed)
     # Both sides weigh the same in sum.
     cap = c * np.where(y > 0, len(y) / (2 * max((y > 0).sum(), 1)), len(y) / (2 * max((y < 0).sum(), 1)))
     for _ in range(rounds):
         moved = 0.0
         for i in rng.permutation(len(x)):
-            g = y[i] * (float(w @ x[i]) + bias) - 1
+            at, v = x[i]
+            g = y[i] * (float(w[at] @ v) + bias) - 1
             new = min(max(alpha[i] - g / norm[i], 0), cap[i])
             if new != alpha[i]:
-                w += (new - alpha[i]) * y[i] * x[i]
+                w[at] += (new - alpha[i]) * y[i] * v
                 bias += (new - alpha[i]) * y[i]
                 moved = max(moved, abs(new - alpha[i]))
                 alpha[i] = new
@@ -146,11 +151,11 @@ class Discriminator:
         return best, p[np.arange(n), best]
 
 
-def _discriminator(classes: list[str], x: np.ndarray, y: np.ndarray) -> Discriminator:
+def _discriminator(classes: list[str], x: list[Sparse], y: np.ndarray) -> Discriminator:
     out = Discriminator(classes)
     for i, j in combinations(range(len(classes)), 2):
         own = np.flatnonzero((y == classes[i]) | (y == classes[j]))
-        out.machines[i, j] = fit_machine(x[own], np.where(y[own] == classes[i], 1, -1))
+        out.machines[i, j] = fit_machine([x[k] for k in own], np.where(y[own] == classes[i], 1, -1))
     return out
 
 
@@ -216,58 +221,51 @@ def _least(own: list[tuple[str, tuple[np.ndarray, np.ndarray]]], noise: list[tup
     return float(at[(LOSS * lost + passed).argmin()])
 
 
-def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fit on the rows of train that have a language and a letter. No such rows: a model that answers 'und'."""
-    rows = train.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text is not null")
+def _blob(v: Sparse) -> bytes:
+    return v[0].astype("<u2").tobytes() + v[1].astype("<f4").tobytes()
+
+
+def _vector(blob: bytes) -> Sparse:
+    k = len(blob) // 6
+    return np.frombuffer(blob, "<u2", k), np.frombuffer(blob, "<f4", offset=2 * k)
+
+
+def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+    """Fit on the rows of train that have a language and a letter. No such rows: a model that answers 'und'.
+
+    The sample is drawn by a hash of id and text, at a rate that gives each language its share; rows that are equal in both are drawn together, so
+    at most twice SAMPLE rows, those of the smallest hashes, reach the driver, as sparse vectors.
+    """
+    rows = train.select(F.xxhash64(F.col(id_col), F.col(text_col), F.lit(11)).alias("h"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text is not null")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return Model(Discriminator([]), {})
     each = max(2, min(SAMPLE_A_LANGUAGE, SAMPLE // len(counts)))
-    # A share of each language by the hash of the text: nothing is sorted or gathered to draw the sample.
     rate = F.lit(0.0)
     for lang, n in counts.items():
         rate = F.when(F.col("lang") == lang, F.lit(min(1.0, each / n))).otherwise(rate)
-    drawn = rows.where(F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1 << 30)) < rate * (1 << 30))
+    drawn = rows.withColumn("h", F.pmod("h", F.lit(1 << 30))).where(F.col("h") < rate * (1 << 30))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            langs, blobs, kinds = [], [], []
-            put = lambda lang, kind, at, v: (langs.append(lang), kinds.append(kind), blobs.append(at.astype("<u2").tobytes() + v.astype("<f4").tobytes()))  # noqa: B023, E731
-            for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            out = []
+            for h, text, lang in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if any(map(str.isalpha, text)):
                     mid = len(text) // 2
-                    for part in (text, text[mid : mid + 60]):
-                        if any(map(str.isalpha, part)):
-                            f = features(part)
-                            at = np.flatnonzero(f)
-                            put(lang, 0, at, f[at])
-                            put(lang, 1, *_shares(part))
-                    put(lang, 2, *_shares(_shuffled(text)))
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(blobs, pa.binary()), pa.array(kinds, pa.int32())], ["lang", "blob", "kind"])
-
-    got: dict[str, list[bytes]] = {}
-    own, noise = [], []
-    for r in sorted(drawn.mapInArrow(run, "lang string, blob binary, kind int").collect()):
-        blob, k = bytes(r["blob"]), len(r["blob"]) // 6
-        if r["kind"] == 0:
-            got.setdefault(r["lang"], []).append(blob)
-        else:
-            v = np.frombuffer(blob[: 2 * k], "<u2"), np.frombuffer(blob[2 * k :], "<f4")
-            (own.append((r["lang"], v)) if r["kind"] == 1 else noise.append(v))
-    x, y = [], []
-    for lang in sorted(got):
-        for blob in sorted(got[lang])[: 3 * each]:
-            k = len(blob) // 6
-            row = np.zeros(BUCKETS, np.float32)
-            row[np.frombuffer(blob[: 2 * k], "<u2")] = np.frombuffer(blob[2 * k :], "<f4")
-            x.append(row)
-            y.append(lang)
-    if not x:
+                    parts = [p for p in (text, text[mid : mid + 60]) if any(map(str.isalpha, p))]
+                    out.append((h, lang, [_blob((at, f[at])) for f in map(features, parts) for at in [np.flatnonzero(f)]], [_blob(_shares(p)) for p in parts], _blob(_shares(_shuffled(text)))))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.binary()), strict=True)], ["h", "lang", "x", "own", "noise"])
+
+    got = drawn.mapInArrow(run, "h long, lang string, x array<binary>, own array<binary>, noise binary").orderBy("h", "lang", "noise").limit(2 * SAMPLE).collect()
+    if not got:
         return Model(Discriminator([]), {})
-    x, y = np.stack(x), np.asarray(y)
+    x, y = [_vector(bytes(v)) for r in got for v in r["x"]], np.asarray([r["lang"] for r in got for _ in r["x"]])
+    own, noise = [(r["lang"], _vector(bytes(v))) for r in got for v in r["own"]], [_vector(bytes(r["noise"])) for r in got]
     fam = np.asarray([family_of(v) for v in y])
     names = sorted({*fam})
-    within = {f: _discriminator(sorted({*y[fam == f]}), x[fam == f], y[fam == f]) for f in names}
+    members = lambda f: np.flatnonzero(fam == f)
+    within = {f: _discriminator(sorted({*y[fam == f]}), [x[k] for k in members(f)], y[fam == f]) for f in names}
     return Model(_discriminator(names, x, fam), within, _profiles(own, sorted({lang for lang, _ in own})), _least(own, noise))
 
 
