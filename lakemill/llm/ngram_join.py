@@ -97,7 +97,7 @@ def _from_deltas(blob: bytes) -> np.ndarray:
 
 
 #: Shingles of one batch.
-KEEP = 1_500_000
+KEEP = 500_000
 #: Bytes of text whose shingles one hash range takes, about.
 RANGE = 16_000_000
 
@@ -257,12 +257,11 @@ def _gather(use: Callable[[int, int, int, np.ndarray, np.ndarray], tuple | None]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
-        for b in batches:
-            for r in b.to_pylist():
-                if r["batch"] != batch:
-                    yield from meet()
-                    batch = r["batch"]
-                held.append(r)
+        for r in (r for b in batches for a in range(0, b.num_rows, 500) for r in b.slice(a, 500).to_pylist()):
+            if r["batch"] != batch:
+                yield from meet()
+                batch = r["batch"]
+            held.append(r)
         yield from meet()
 
     return run
