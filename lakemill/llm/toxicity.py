@@ -1,15 +1,15 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words and word beginnings. The examples are a bounded sample of labelled rows (SAMPLE a class), the vocabulary is
-all terms of the sample that mark the label: in five examples or more, and in over three times as large a share of the toxic ones
-as of the others. Other words of a text take no part. Document frequencies are counted over all documents. A text's nearest K examples vote with weights that fall with distance; votes are calibrated by a logistic
-curve fitted to the examples themselves, each left out of its own vote.
+Terms are words and word beginnings. The examples are a bounded sample of labelled rows (SAMPLE a class). The vocabulary is every term that a
+hundredth (LEAST_SHARE) of the examples of either class have, and every example is indexed with all of them. A term weighs
+(1 + log tf) * idf * (FLOOR + |log of the ratio of the classes' smoothed shares|): document frequencies are counted over all documents, and terms that
+both classes have alike count little, but count. A text's nearest K examples vote with weights that fall with distance; votes are calibrated
+by a logistic curve fitted to the examples themselves, each left out of its own vote.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -20,98 +20,156 @@ from pyspark.sql import functions as F
 
 from .common import cut, fold, uncut
 
-#: Labelled rows of each class that the examples are drawn from, at most.
-SAMPLE = 3000
+#: Labelled documents of each class that are examples, about, at most.
+SAMPLE = 1000
+#: A term of the vocabulary is in this share of the examples of a class at least.
+LEAST_SHARE = 0.01
+#: What a term weighs that both classes have alike, and what each class's share of a term is smoothed by.
+FLOOR, SMOOTH = 0.05, 0.01
 K = 25
 BLOCK = 64
+#: Lists that are in over this share of the examples are kept as rows of a matrix.
+LONG = 1 / 8
+#: Texts that are searched for together.
+TOGETHER = 256
+#: Words whose terms are remembered.
+MEMORY = 300_000
 
 _WORD = re.compile(r"[^\W\d_]+")
+_STEMS = (4, 5, 6)
 
 
-def term_counts(text: str) -> Counter:
-    """Words and, marked, their first 4 to 6 letters where longer."""
-    out: Counter = Counter()
-    for w, n in Counter(_WORD.findall(text.lower())).items():
-        out[w] += n
-        for k in (4, 5, 6):
-            if len(w) > k:
-                out[f"^{w[:k]}"] += n
-    return out
+def words(text: str) -> list[str]:
+    return _WORD.findall(text.lower())
+
+
+def terms_of(word: str) -> list[str]:
+    """The word and, marked, its first 4 to 6 letters where it is longer."""
+    return [word, *(f"^{word[:k]}" for k in _STEMS if len(word) > k)]
+
+
+class _Words(dict):
+    """Row of a word in a table of its terms' numbers (-1: none)."""
+
+    def __init__(self, terms: dict[str, int]) -> None:
+        super().__init__()
+        self.terms = terms
+        self.table = np.full((1 << 12, 1 + len(_STEMS)), -1, np.int32)
+
+    def __missing__(self, word: str) -> int:
+        at = self[word] = len(self)
+        if at == len(self.table):
+            self.table = np.concatenate([self.table, np.full_like(self.table, -1)])
+        for k, t in enumerate(terms_of(word)):
+            self.table[at, k] = self.terms.get(t, -1)
+        return at
 
 
 @dataclass
 class Vectorizer:
-    """TF-IDF over a fixed vocabulary. idf by term number."""
+    """TF-IDF over a fixed vocabulary. weight: of each term number."""
 
     terms: dict[str, int]
-    idf: np.ndarray | None = None
+    weight: np.ndarray | None = None
 
     def __post_init__(self) -> None:
-        self._seen: dict[str, tuple[int, ...]] = {}
+        self._words = _Words(self.terms)
 
     def __getstate__(self) -> dict:
-        return {"terms": self.terms, "idf": self.idf, "_seen": {}}
-
-    def _of(self, word: str) -> tuple[int, ...]:
-        if len(self._seen) > 200_000:
-            self._seen.clear()
-        ids = [word, *(f"^{word[:k]}" for k in (4, 5, 6) if len(word) > k)]
-        out = self._seen[word] = tuple(self.terms[t] for t in ids if t in self.terms)
-        return out
-
-    def counts(self, text: str | None) -> dict[int, int]:
-        out: dict[int, int] = {}
-        if text:
-            seen = self._seen
-            for w, n in Counter(_WORD.findall(text.lower())).items():
-                ids = seen.get(w)
-                for t in self._of(w) if ids is None else ids:
-                    out[t] = out.get(t, 0) + n
-        return out
-
-    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Term numbers, ascending, and weights of length one; both empty if the text has no term."""
-        c = sorted(self.counts(text).items())
-        ids = np.asarray([t for t, _ in c], np.int64)
-        w = (1 + np.log(np.asarray([n for _, n in c], float))) * self.idf[ids] if c else np.empty(0)
+        return {"terms": self.terms, "weight": self.weight}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.__post_init__()
+
+    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Term numbers, ascending, and how often the text has each."""
+        ws = words(text) if text else []
+        if len(self._words) > MEMORY:
+            self._words = _Words(self.terms)
+        rows = np.fromiter(map(self._words.__getitem__, ws), np.int64, len(ws))
+        t = self._words.table[rows].ravel()
+        n = np.bincount(t[t >= 0], minlength=1)
+        ids = np.flatnonzero(n)
+        return ids, n[ids]
+
+    def weigh(self, ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Term numbers and weights of length one; both empty if there is no term."""
+        w = (1 + np.log(n)) * self.weight[ids]
         norm = np.sqrt((w * w).sum())
         return (ids, w / norm) if norm > 0 else (ids[:0], w[:0])
 
+    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        return self.weigh(*self.counts(text))
+
 
 class BlockMaxIndex:
-    """Inverted lists over examples in blocks of BLOCK, with each list's largest weight in each block."""
+    """Inverted lists over examples in blocks of BLOCK.
+
+    Long lists are rows of a matrix, with each list's largest weight in each block; short ones are read whole. What the short lists
+    give and the long lists' largest weights bound a block's cosines, and only blocks that may hold one of the nearest are computed.
+    """
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int) -> None:
         # Examples that share their strongest term are neighbours, so a block's bounds are tight.
-        lead = [(int(i[w.argmax()]), -float(w.max())) for i, w in vectors]
-        self.order = np.asarray(sorted(range(len(vectors)), key=lambda k: (*lead[k], k)), np.int64)
-        self.blocks = -(-len(vectors) // BLOCK)
-        by: list[list[tuple[int, float]]] = [[] for _ in range(terms)]
-        for at, k in enumerate(self.order):
-            for t, w in zip(*vectors[k], strict=True):
-                by[t].append((at, w))
-        self.ids = [np.asarray([a for a, _ in x], np.int64) for x in by]
-        self.weights = [np.asarray([w for _, w in x]) for x in by]
-        self.most = np.zeros((terms, self.blocks))
-        for t in range(terms):
-            np.maximum.at(self.most[t], self.ids[t] // BLOCK, self.weights[t])
-        self.cuts = [np.searchsorted(x, np.arange(self.blocks + 1) * BLOCK) for x in self.ids]
-
-    def search(self, ids: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and cosines of the k nearest examples, exact; equal cosines by number. Cosine 0 is no neighbour."""
-        bound = w @ self.most[ids]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best) == k and bound[b] < -best[-1][0]:
-                break
-            score = np.zeros(BLOCK)
-            for t, q in zip(ids, w, strict=True):
-                s, e = self.cuts[t][b], self.cuts[t][b + 1]
-                if e > s:
-                    score[self.ids[t][s:e] - b * BLOCK] += q * self.weights[t][s:e]
-            at = np.flatnonzero(score)
-            best = sorted([*best, *((-float(score[i]), int(self.order[b * BLOCK + i])) for i in at)])[:k]
-        return np.asarray([i for _, i in best], np.int64), np.asarray([-s for s, _ in best])
+        lead = [(int(i[w.argmax()]), -float(w.max())) if len(i) else (-1, 0.0) for i, w in vectors]
+        self.n = len(vectors)
+        self.order = np.asarray(sorted(range(self.n), key=lambda k: (*lead[k], k)), np.int64)
+        self.blocks = -(-self.n // BLOCK)
+        none = (np.empty(0, np.int64), np.empty(0))
+        every = [vectors[k] for k in self.order] or [none]
+        at = np.repeat(np.arange(len(every)), [len(i) for i, _ in every])
+        ids, w = np.concatenate([i for i, _ in every]), np.concatenate([w for _, w in every])
+        df = np.bincount(ids, minlength=terms)
+        self.row = np.full(terms, -1, np.int64)
+        long = np.flatnonzero(df > max(LONG * self.n, BLOCK // 8))
+        self.row[long] = np.arange(len(long))
+        self.dense = np.zeros((len(long), self.blocks * BLOCK))
+        own = self.row[ids] >= 0
+        self.dense[self.row[ids[own]], at[own]] = w[own]
+        self.most = self.dense.reshape(len(long), self.blocks, BLOCK).max(2) if self.n else np.zeros((len(long), 0))
+        by = np.argsort(ids[~own], kind="stable")
+        self.at, self.weights = at[~own][by].astype(np.int32), w[~own][by]
+        self.start = np.searchsorted(ids[~own][by], np.arange(terms + 1))
+
+    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Numbers and cosines of each query's k nearest examples, exact; equal cosines by number. Cosine 0 is no neighbour."""
+        none = (np.empty(0, np.int64), np.empty(0))
+        if not self.n or not queries:
+            return [none] * len(queries)
+        m, width = len(queries), self.blocks * BLOCK
+        score, long = np.zeros((m, width)), np.zeros((m, len(self.dense)))
+        for q, (ids, w) in enumerate(queries):
+            row = self.row[ids]
+            long[q, row[row >= 0]] = w[row >= 0]
+            ids, w = ids[row < 0], w[row < 0]
+            s, n = self.start[ids], self.start[ids + 1] - self.start[ids]
+            places = np.repeat(s - np.cumsum(n) + n, n) + np.arange(n.sum())
+            if len(places):
+                score[q] = np.bincount(self.at[places], self.weights[places] * np.repeat(w, n), width)
+        # A hair more, for the rounding of sums.
+        bound = score.reshape(m, self.blocks, BLOCK).max(2) + long @ self.most + 1e-9
+        done = np.zeros((m, self.blocks), bool)
+        kth = np.zeros(m) if k > width else np.partition(score, width - k, 1)[:, width - k]
+        # The most promising block first: its cosines raise the k-th, which then rules out others.
+        for ask in (np.arange(self.blocks)[None] == bound.argmax(1)[:, None], None):
+            need = ask if ask is not None else ~done & (bound >= kth[:, None])
+            for b in np.flatnonzero(need.any(0)):
+                own = np.flatnonzero(need[:, b])
+                part = slice(b * BLOCK, (b + 1) * BLOCK)
+                score[own, part] += long[own] @ self.dense[:, part]
+            done |= need
+            if k <= width:
+                kth = np.partition(score, width - k, 1)[:, width - k]
+        out = []
+        for q in range(m):
+            own = np.repeat(done[q], BLOCK)
+            at = np.flatnonzero(own & (score[q] >= max(kth[q] - 1e-9, 1e-12)))
+            at = at[at < self.n]
+            number, cos = self.order[at], score[q, at]
+            best = np.lexsort((number, -np.round(cos, 9)))[:k]
+            out.append((number[best], cos[best]))
+        return out
 
 
 @dataclass
@@ -124,34 +182,24 @@ class Model:
     base: float
     curve: tuple[float, float] = (1.0, 0.0)
 
-    def __post_init__(self) -> None:
-        self._votes: dict[bytes, tuple] = {}
+    def votes(self, vectors: list[tuple[np.ndarray, np.ndarray]], own: bool = False) -> list[tuple[float, np.ndarray]]:
+        """Log-odds of the distance-weighted votes, and the voters, nearest first. own: the vectors are the examples, which don't vote on themselves."""
+        out = []
+        for a in range(0, len(vectors), TOGETHER):
+            for q, (at, cos) in enumerate(self.index.search(vectors[a : a + TOGETHER], K + own)):
+                if own:
+                    at, cos = at[at != a + q][:K], cos[at != a + q][:K]
+                v = self.weights[at] * cos**2
+                p = (v[self.labels[at] == 1].sum() + self.base * 0.1) / (v.sum() + 0.1)
+                out.append((float(np.log(p / (1 - p))), at))
+        return out
 
-    def __getstate__(self) -> dict:
-        return {**self.__dict__, "_votes": {}}
-
-    def vote(self, ids: np.ndarray, w: np.ndarray, without: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
-        """Log-odds of the distance-weighted votes, and the voters."""
-        if len(ids):
-            at, cos = self.index.search(ids, w, K + 1)
-            own = at != without
-            at, cos = at[own][:K], cos[own][:K]
-        if not len(ids) or not len(at):
-            return float(np.log(self.base / (1 - self.base))), np.empty(0, np.int64), np.empty(0)
-        v = self.weights[at] * cos**2
-        p = (v[self.labels[at] == 1].sum() + self.base * 0.1) / (v.sum() + 0.1)
-        return float(np.log(p / (1 - p))), at, cos
-
-    def score(self, text: str | None) -> tuple[float, np.ndarray, np.ndarray]:
-        ids, w = self.vectorizer.vector(text)
-        key = ids.tobytes() + w.tobytes()
-        if key not in self._votes:
-            if len(self._votes) > 20_000:
-                self._votes.clear()
-            z, at, cos = self.vote(ids, w)
-            a, b = self.curve
-            self._votes[key] = (float(1 / (1 + np.exp(-np.clip(a * z + b, -50, 50)))), at[:3], cos[:3])
-        return self._votes[key]
+    def score(self, texts: list[str | None]) -> list[tuple[float, np.ndarray]]:
+        """Score and voters of each text; equal texts of the list are searched for once."""
+        once = list(dict.fromkeys(texts))
+        a, b = self.curve
+        got = {t: (float(1 / (1 + np.exp(-np.clip(a * z + b, -50, 50)))) if len(at) else self.base, at) for t, (z, at) in zip(once, self.votes([self.vectorizer.vector(t) for t in once]), strict=True)}
+        return [got[t] for t in texts]
 
 
 def _fit_curve(z: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
@@ -172,8 +220,8 @@ def _fit_curve(z: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, floa
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on labels (doc_id, toxic) for documents (doc_id, text).
 
-    Rows with a null doc_id or label are ignored; a document labelled twice counts as toxic if any label says so; a document in several rows
-    is that many examples. Without a labelled example of each class every score is the share of toxic labels, or 0 without labels.
+    Rows with a null doc_id or label are ignored; a document labelled twice counts as toxic if any label says so; of a document in several rows
+    the one with the smallest text is the example. Without examples every score is the share of toxic labels, or 0 without labels.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
@@ -184,45 +232,43 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     rate = F.when(F.col("toxic") == 1, F.lit(min(1.0, SAMPLE / max(pos, 1)))).otherwise(F.lit(min(1.0, SAMPLE / max(neg, 1))))
     drawn = marked.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) < rate * (1 << 30))
     # About SAMPLE rows of two numbers a class, so the broadcast is bounded.
-    sample = cut(rows.join(F.broadcast(drawn), "doc_id").select("doc_id", "toxic", F.coalesce("text", F.lit("")).alias("text")), "toxic-sample")
+    sample = cut(rows.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")), "toxic-sample")
+    size = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    p, q = size.get(1, 0), size.get(0, 0)
 
     def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             seen: dict[str, list[int]] = {}
             for y, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for t in term_counts(text):
+                for t in {t for w in {*words(text)} for t in terms_of(w)}:
                     seen.setdefault(t, [0, 0])[y == 1] += 1
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array([x[1] for x in seen.values()], pa.int64()), pa.array([x[0] for x in seen.values()], pa.int64())], ["term", "pos", "neg"])
 
-    size = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    a, c = F.col("pos"), F.col("neg")
-    p, q = size.get(1, 0), size.get(0, 0)
-    # A lone term's rarity in one class is no evidence of the other: only terms that mark the label are kept, with their near ties.
-    terms = sample.select("toxic", "text").mapInArrow(presence, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where((a + c >= 5) & (a * q > 3 * c * p)).select("term").collect()
-    vec = Vectorizer({r["term"]: k for k, r in enumerate(sorted(terms, key=lambda r: r["term"]))})
-    vec.idf = _idf(rows, vec)
+    # A hundredth of the terms of SAMPLE texts a class, at most a hundred texts' worth, so what reaches the driver is bounded.
+    frequent = (F.col("pos") >= max(LEAST_SHARE * p, 1)) | (F.col("neg") >= max(LEAST_SHARE * q, 1))
+    terms = sample.select("toxic", "text").mapInArrow(presence, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where(frequent).collect()
+    terms = sorted((r["term"], r["pos"], r["neg"]) for r in terms)
+    vec = Vectorizer({t: k for k, (t, _, _) in enumerate(terms)})
+    ratio = np.asarray([np.log((a / max(p, 1) + SMOOTH) / (c / max(q, 1) + SMOOTH)) for _, a, c in terms])
+    vec.weight = _idf(rows, vec) * (FLOOR + np.abs(ratio))
     sent = spark.sparkContext.broadcast(vec)
 
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [sent.value.vector(t) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([i.tolist() for i, _ in out], pa.list_(pa.int64())), pa.array([w.tolist() for _, w in out], pa.list_(pa.float64()))], ["doc_id", "toxic", "ids", "w"])
+            out = [sent.value.counts(t) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([x[k].astype("<u4").tobytes() for x in out], pa.binary()) for k in (0, 1))], ["doc_id", "toxic", "ids", "n"])
 
-    got = sorted(sample.mapInArrow(vectors, "doc_id long, toxic int, ids array<long>, w array<double>").collect(), key=lambda r: (r["doc_id"], r["toxic"], r["ids"], r["w"]))
+    got = sorted((r["doc_id"], r["toxic"], bytes(r["ids"]), bytes(r["n"])) for r in sample.mapInArrow(counted, "doc_id long, toxic int, ids binary, n binary").collect())
     uncut(sample)
+    vs = [vec.weigh(np.frombuffer(i, "<u4").astype(np.int64), np.frombuffer(c, "<u4")) for _, _, i, c in got]
     scale = {1: pos / max(p, 1), 0: neg / max(q, 1)}
-    bare = [r for r in got if not r["ids"]]
-    full = [r for r in got if r["ids"]]
-    weigh = lambda rs, y: sum(scale[r["toxic"]] for r in rs if r["toxic"] == y)
-    base = (weigh(bare, 1) + share) / (weigh(bare, 1) + weigh(bare, 0) + 1)
-    base = min(max(base, 1e-6), 1 - 1e-6)
-    vs = [(np.asarray(r["ids"], np.int64), np.asarray(r["w"])) for r in full]
-    y = np.asarray([r["toxic"] for r in full], int)
-    w = np.asarray([scale[r["toxic"]] for r in full])
-    model = Model(vec, BlockMaxIndex(vs, len(vec.terms)), y, w, [r["doc_id"] for r in full], base)
+    y, w = np.asarray([r[1] for r in got], int), np.asarray([scale[r[1]] for r in got])
+    bare = np.asarray([not len(i) for i, _ in vs], bool)
+    base = (w[bare & (y == 1)].sum() + share) / (w[bare].sum() + 1) if len(got) else share
+    model = Model(vec, BlockMaxIndex(vs, len(vec.terms)), y, w, [r[0] for r in got], min(max(base, 1e-6), 1 - 1e-6))
     if len({*y}) == 2:
-        z = np.asarray([model.vote(*v, without=k)[0] for k, v in enumerate(vs)])
-        model.curve = _fit_curve(np.append(z, np.log(base / (1 - base))), np.append(y, base), np.append(w / w.mean(), max(len(bare), 1)))
+        z = np.asarray([z for z, _ in model.votes(vs, own=True)])
+        model.curve = _fit_curve(z[~bare], y[~bare], (w / w.mean())[~bare])
     return model
 
 
@@ -233,10 +279,11 @@ def _idf(rows: DataFrame, vec: Vectorizer) -> np.ndarray:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, n = np.zeros(len(sent.value.terms), np.int64), 0
         for b in batches:
-            for text in b.column(0).to_pylist():
-                n += 1
-                for t in sent.value.counts(text):
-                    seen[t] += 1
+            for a in range(0, b.num_rows, TOGETHER):
+                texts = b.column(0).slice(a, TOGETHER).to_pylist()
+                n += len(texts)
+                for text in texts:
+                    seen[sent.value.counts(text)[0]] += 1
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array([-1, *at.tolist()], pa.int64()), pa.array([n, *seen[at].tolist()], pa.int64())], ["term", "n"])
 
@@ -246,10 +293,10 @@ def _idf(rows: DataFrame, vec: Vectorizer) -> np.ndarray:
 
 
 def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns `keep`, then score, predicted (1 if score >= 0.5) and evidence: ids of the nearest examples that voted.
+    """The columns `keep`, then score, predicted (1 if score >= 0.5) and evidence: ids of the examples that voted, nearest first.
 
-    Null and empty texts and texts without any known term get the calibrated share of toxic ones among such examples. Rows are
-    scored one by one. The model's broadcast is bounded by the examples' size, SAMPLE rows a class.
+    Null and empty texts and texts without any known term get the share of toxic ones among such examples. Rows are
+    scored one by one. The model's broadcast is bounded by the examples' size, SAMPLE documents a class.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*keep, F.col(text_col).alias("__text"))
@@ -258,9 +305,11 @@ def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for b in batches:
-            got = [m.score(t) for t in b.column(b.num_columns - 1).to_pylist()]
-            cols = [pa.array([g[0] for g in got], pa.float64()), pa.array([int(g[0] >= 0.5) for g in got], pa.int32()), pa.array([[m.ids[i] for i in g[1]] for g in got], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols], [*keep, "score", "predicted", "evidence"])
+            for a in range(0, b.num_rows, TOGETHER):
+                part = b.slice(a, TOGETHER)
+                got = m.score(part.column(part.num_columns - 1).to_pylist())
+                cols = [pa.array([g[0] for g in got], pa.float64()), pa.array([int(g[0] >= 0.5) for g in got], pa.int32()), pa.array([[m.ids[i] for i in g[1]] for g in got], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *cols], [*keep, "score", "predicted", "evidence"])
 
     return rows.mapInArrow(run, schema)
 
@@ -272,7 +321,9 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array([sent.value.score(t)[0] < 0.5 for t in b.column(at).to_pylist()], pa.bool_()))
+            for a in range(0, b.num_rows, TOGETHER):
+                part = b.slice(a, TOGETHER)
+                yield part.filter(pa.array([s < 0.5 for s, _ in sent.value.score(part.column(at).to_pylist())], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

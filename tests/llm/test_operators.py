@@ -372,18 +372,23 @@ def test_block_max_search_is_exact():
     rng = np.random.default_rng(2)
     vs = []
     for _ in range(500):
-        ids = np.unique(rng.integers(0, 50, rng.integers(1, 8)))
-        w = rng.random(len(ids))
+        # Half of the terms are in most examples, half in few; some examples are equal, and one is empty.
+        ids = np.unique(np.concatenate([rng.integers(0, 25, rng.integers(4, 20)), rng.integers(25, 400, rng.integers(1, 6))]))
+        w = rng.random(len(ids)) * np.where(ids < 25, 0.2, 1)
         vs.append((ids, w / np.linalg.norm(w)))
-    index = toxicity.BlockMaxIndex(vs, 50)
-    dense = np.zeros((500, 50))
+    vs = [*vs, *vs[:60], (np.empty(0, np.int64), np.empty(0))]
+    index = toxicity.BlockMaxIndex(vs, 400)
+    assert len(index.dense) and len(index.at)
+    dense = np.zeros((len(vs), 400))
     for k, (i, w) in enumerate(vs):
         dense[k, i] = w
-    for q in range(0, 500, 25):
-        at, cos = index.search(*vs[q], 10)
-        s = dense @ dense[q]
-        want = sorted(range(500), key=lambda k: (-round(s[k], 12), k))[:10]
-        assert np.allclose(cos, s[want]) and np.allclose(s[at], s[want])
+    for k in (10, 25, 1000):
+        for (at, cos), (i, w) in zip(index.search(vs[::25], k), vs[::25], strict=True):
+            s = np.zeros(len(vs))
+            for t, x in zip(i, w, strict=True):
+                s += x * dense[:, t]
+            want = [j for j in sorted(range(len(vs)), key=lambda j: (-round(s[j], 9), j))[:k] if s[j] > 0]
+            assert at.tolist() == want and np.allclose(cos, s[want])
 
 
 def test_toxicity(spark, odd, none):
@@ -408,14 +413,55 @@ def test_toxicity(spark, odd, none):
     assert not rows(toxicity.score(none, model, ["doc_id"]))
 
 
-def test_every_term_that_marks_the_label_is_indexed(spark):
-    # 1500 words that mark the label, each in five toxic texts.
+def test_scores_are_those_of_all_cosines(spark, sf_dir):
+    """The registered query against TF-IDF vectors as dictionaries, all cosines, votes and curve."""
+    docs = [(r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    label = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5}
+    text = dict(docs)
+    marked = sorted(i for i in label if i in text)
+    terms = {i: Counter(t for w in re.findall(r"[^\W\d_]+", x.lower()) for t in [w, *(f"^{w[:k]}" for k in (4, 5, 6) if len(w) > k)]) for i, x in docs}
+    size = Counter(label[i] for i in marked)
+    has = {y: Counter(t for i in marked if label[i] == y for t in terms[i]) for y in (0, 1)}
+    vocabulary = {t for y in (0, 1) for t, n in has[y].items() if n >= max(0.01 * size[y], 1)}
+    df = Counter(t for i, _ in docs for t in terms[i] if t in vocabulary)
+    weight = {t: (math.log((1 + len(docs)) / (1 + df[t])) + 1) * (0.05 + abs(math.log((has[1][t] / size[1] + 0.01) / (has[0][t] / size[0] + 0.01)))) for t in vocabulary}
+    vectors = {}
+    for i, own in terms.items():
+        v = {t: (1 + math.log(n)) * weight[t] for t, n in own.items() if t in vocabulary}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        vectors[i] = {t: x / norm for t, x in v.items()} if norm else {}
+    share = sum(label.values()) / len(label)
+    scale = {y: sum(v == y for v in label.values()) / size[y] for y in (0, 1)}
+    bare = [i for i in marked if not vectors[i]]
+    base = (sum(scale[label[i]] for i in bare if label[i]) + share) / (sum(scale[label[i]] for i in bare) + 1)
+
+    def votes(i, others):
+        cos = sorted(((sum(x * vectors[j].get(t, 0) for t, x in vectors[i].items()), j) for j in others), key=lambda c: (-round(c[0], 9), c[1]))
+        near = [(c, j) for c, j in cos if c > 0][:25]
+        v = [scale[label[j]] * c * c for c, j in near]
+        p = (sum(x for x, (_, j) in zip(v, near, strict=True) if label[j]) + base * 0.1) / (sum(v) + 0.1)
+        return math.log(p / (1 - p)), [j for _, j in near]
+
+    full = [i for i in marked if vectors[i]]
+    w = np.asarray([scale[label[i]] for i in marked])
+    a, b = toxicity._fit_curve(np.asarray([votes(i, [j for j in marked if j != i])[0] for i in full]), np.asarray([label[i] for i in full]), np.asarray([scale[label[i]] for i in full]) / w.mean())
+    got = {r["doc_id"]: r for r in queries.op7_toxicity(spark, sf_dir).collect()}
+    assert len(got) == len(docs)
+    for i, _ in docs[::4]:
+        z, near = votes(i, marked)
+        assert got[i]["score"] == pytest.approx(1 / (1 + math.exp(-(a * z + b))) if near else base, abs=1e-6)
+        assert got[i]["predicted"] == int(got[i]["score"] >= 0.5) and got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0)
+        assert len(got[i]["evidence"]) == len(near)
+
+
+def test_every_text_with_a_frequent_word_has_neighbours(spark):
     name = lambda k: "".join(chr(97 + k // 26**i % 26) for i in range(3))
     data = [(i, " ".join(name(k) for k in range(1500) if k % 60 == i % 60), 1) for i in range(300)] + [(300 + i, "plain text", 0) for i in range(300)]
     docs = spark.createDataFrame([(i, t) for i, t, _ in data], "doc_id long, text string")
     labels = spark.createDataFrame([(i, 1, y) for i, _, y in data], "doc_id long, quality int, toxic int")
     model = toxicity.fit(docs, labels)
-    assert {name(k) for k in range(1500)} == set(model.vectorizer.terms)
+    assert {*map(name, range(1500)), "plain", "text", "^plai"} == set(model.vectorizer.terms)
+    assert all(len(r["evidence"]) == toxicity.K for r in toxicity.score(docs, model, []).collect())
 
 
 # 9
