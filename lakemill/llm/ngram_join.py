@@ -221,48 +221,35 @@ def _receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _gather(use: Callable[[int, int, int, np.ndarray, np.ndarray], tuple | None], names: list[str], types: list[pa.DataType], chosen: bool):
-    """Rows in the order of their batch -> one row for each document that `use` takes.
+    """The documents of one batch and the answers to its lists -> a row for each document that `use` takes.
 
     use: of a document's row, size (v2), copies (v3), shared shingles, ascending, and their levels. chosen: only documents that another row
-    without marks names are looked at, with that row's values. One batch is held at a time.
+    without marks names are looked at, with that row's values.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batch, held = None, []
-
-        def meet() -> Iterator[pa.RecordBatch]:
-            docs = [r for r in held if r["place"] is not None and r["marks"] is not None]
-            lists = [r for r in held if r["place"] is None]
-            only = {r["place"]: r for r in held if r["place"] is not None and r["marks"] is None}
-            held.clear()
-            if not docs or not lists:
-                return
+    def run(t: pa.Table) -> pa.Table:
+        held = t.to_pylist()
+        docs = [r for r in held if r["place"] is not None and r["marks"] is not None]
+        lists = [r for r in held if r["place"] is None]
+        only = {r["place"]: r for r in held if r["place"] is not None and r["marks"] is None}
+        out = []
+        if docs and lists and (only or not chosen):
             e, level, d = np.concatenate([_from_deltas(r["marks"]) for r in lists]), np.concatenate([np.frombuffer(r["levels"], np.uint8) for r in lists]), np.concatenate([_unpacked(r["docs"]) for r in lists])
             order = np.argsort(e, kind="stable")
             e, level, d = e[order], level[order], d[order]
             one = np.flatnonzero(d >= 0)
             one = one[np.argsort(d[one], kind="stable")]
             cuts = {p: (a, b) for p, a, b in zip(*_runs(d[one]), strict=True)}
-            out = []
             for r in docs:
                 v = only.get(r["place"]) if chosen else r
-                if v is None:
-                    continue
-                a, b = cuts.get(r["place"], (0, 0))
-                at = np.concatenate([one[a:b], np.searchsorted(e, np.frombuffer(r["marks"], "<u8"))])
-                at.sort()
-                got = use(r["row"], v["v2"], v["v3"], e[at], level[at])
-                if got is not None:
-                    out.append(got)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
-
-        for r in (r for b in batches for a in range(0, b.num_rows, 500) for r in b.slice(a, 500).to_pylist()):
-            if r["batch"] != batch:
-                yield from meet()
-                batch = r["batch"]
-            held.append(r)
-        yield from meet()
+                if v is not None:
+                    a, b = cuts.get(r["place"], (0, 0))
+                    at = np.concatenate([one[a:b], np.searchsorted(e, np.frombuffer(r["marks"], "<u8"))])
+                    at.sort()
+                    got = use(r["row"], v["v2"], v["v3"], e[at], level[at])
+                    if got is not None:
+                        out.append(got)
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * len(types), types, strict=True)], names)
 
     return run
 
@@ -278,10 +265,6 @@ def _exchanged(sent: DataFrame, parts: int) -> DataFrame:
     return cut(sent.repartitionById(parts, F.col("part") % parts).sortWithinPartitions("part").mapInArrow(_receive, _SENT), "shared-shingles")
 
 
-def _met(rows: DataFrame, parts: int) -> DataFrame:
-    return rows.select(*_SENT_NAMES).repartition(parts, "batch").sortWithinPartitions("batch")
-
-
 def search(index: list[np.ndarray], sizes: np.ndarray, queries: list[np.ndarray], query_sizes: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Places (query, indexed) of linked documents. Sets hold what may be shared; sizes are of the whole sets. same: each pair once."""
     every = np.concatenate(index) if index else np.empty(0, np.uint64)
@@ -385,7 +368,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = parts * max(1, -(-size // (parts * RANGE)))
+    # Beyond a few shingles of a batch a range, more ranges only make more rows.
+    ranges = parts * max(1, -(-min(size // RANGE, KEEP // 32) // parts))
 
     def texts(b: pa.RecordBatch, row: int) -> Iterator[_Set]:
         for k, (i, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
@@ -411,9 +395,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     none = F.lit(None).cast("long")
     named = classes.select(F.lit(0).alias("part"), "batch", "place", "row", none.alias("v1"), F.col("n").alias("v2"), F.col("copies").alias("v3"), none.alias("v4"), *[F.lit(None).cast("binary").alias(c) for c in ("marks", "docs", "levels")])
     set_names, set_types = ["row", "n", "copies", "marks"], [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-    sets = cut(_met(met.unionByName(named), parts).mapInArrow(_gather(near, set_names, set_types, True), "row long, n long, copies long, marks binary"), "near-sets")
+    sets = cut(met.unionByName(named).groupBy("batch").applyInArrow(_gather(near, set_names, set_types, True), "row long, n long, copies long, marks binary"), "near-sets")
     again = _exchanged(sets.mapInArrow(_send(ranges, classed), _SENT), parts)
-    one = cut(_met(again, parts).mapInArrow(_gather(rare, [*set_names, "rare"], [*set_types, pa.list_(pa.int64())], False), "row long, n long, copies long, marks binary, rare array<long>"), "shared-sets")
+    one = cut(again.groupBy("batch").applyInArrow(_gather(rare, [*set_names, "rare"], [*set_types, pa.list_(pa.int64())], False), "row long, n long, copies long, marks binary, rare array<long>"), "shared-sets")
     uncut(sets, again)
     flat = one.select("row", F.explode("rare").alias("mark"))
     heads = flat.groupBy("mark").agg(F.min("row").alias("head"), F.count("*").alias("m")).where("m > 1").select("mark", "head")
