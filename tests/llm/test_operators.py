@@ -1,6 +1,7 @@
 """Every operator against a brute-force version, with nulls, empty and repeated rows, empty tables and clashing names."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -518,27 +519,47 @@ def judged(url):
 
 def test_path_rules(spark):
     pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(URLS)], "page_id long, url string, host string")
-    got = {r["page_id"]: r for r in url_rules.judge(pages, queries.PATH_RULES, []).collect()}
+    got = {r["page_id"]: r for r in url_rules.judge(pages, queries.PATH_RULES).collect()}
     for i, u in enumerate(URLS):
         assert (got[i]["host"], got[i]["path"], got[i]["rule"], got[i]["verdict"]) == judged(u), u
-    assert not rows(url_rules.judge(pages.limit(0), queries.PATH_RULES, []))
+    assert not rows(url_rules.judge(pages.limit(0), queries.PATH_RULES))
 
 
-def test_mined_rules(spark):
+def tokens_of(url):
+    host, path, _, _ = judged(url)
+    labels = host.split(".")
+    out = {"host:" + ".".join(labels[k:]) for k in range(len(labels))} | {"word:" + w for w in re.split("[.-]", host) if w}
+    out |= {"path:" + re.sub("[0-9]+", "#", p) for p in path.split("/") if p}
+    query = re.match(r"(?s)[^?#]*(?:\?([^#]*))?", url)[1] or ""
+    out |= {"key:" + k.split("=")[0] for k in query.split("&") if k}
+    end = re.search(r"\.[A-Za-z0-9]+$", path)
+    return (out | ({"ending:" + end[0]} if end else set()) | ({"fragment"} if "#" in url else set())) if host else set()
+
+
+def rules_by_counting(data, support, confidence, least_rows, longest=4):
+    """All minimal rules of up to `longest` tokens: {tokens: (confidence, support)}."""
+    sets = [(frozenset(tokens_of(u)), y) for u, y in data if u is not None and y is not None and tokens_of(u)]
+    least = max(support * len(sets), least_rows)
+    bad = Counter(frozenset(c) for t, y in sets if y for k in range(1, longest + 1) for c in itertools.combinations(sorted(t), k))
+    all_ = Counter(frozenset(c) for t, _ in sets for k in range(1, longest + 1) for c in itertools.combinations(sorted(t), k) if frozenset(c) in bad and bad[frozenset(c)] >= least)
+    good = {c: (bad[c] / all_[c], bad[c] / len(sets)) for c in all_ if bad[c] / all_[c] >= confidence}
+    return {c: v for c, v in good.items() if not any(frozenset(p) in good and good[frozenset(p)][0] >= v[0] for k in range(1, len(c)) for p in itertools.combinations(c, k))}
+
+
+def test_mined_rules_are_those_of_counting(spark):
     rng = random.Random(6)
     data = []
     for i in range(600):
-        host, key, seg = rng.choice(["a.com", "b.com", "c.net"]), rng.choice(["ref", "id", "page"]), rng.choice(["buy", "read"])
-        data.append((i, f"http://{host}/{seg}/{i}?{key}=1", int(host == "b.com" and seg == "buy")))
-    pages = spark.createDataFrame(data + [(None, None, 1), (900, "http://z.com/", None)], "page_id long, url string, blocked int")
-    mined = url_rules.mine(pages)
-    assert mined and all(r.confidence >= 0.9 for r in mined)
-    for r in mined:  # support and confidence by counting
-        hit = [y for _, u, y in data if all(_has(u, t) for t in r.tokens)]
-        assert r.confidence == pytest.approx(sum(hit) / len(hit)) and r.support == pytest.approx(sum(hit) / len(data))
-    got = {r["page_id"]: r["verdict"] for r in url_rules.judge(pages.where("blocked is not null"), [], mined).collect()}
-    assert all((got[i] == "block") == bool(y) for i, _, y in data)
-    assert url_rules.mine(pages.limit(0)) == []
+        host, key, seg = rng.choice(["a.com", "b.com", "c-d.net"]), rng.choice(["ref", "id", "page"]), rng.choice(["buy", "read", "see"])
+        data.append((f"http://{host}/{seg}/{i}?{key}=1", int(host == "b.com" and seg == "buy" or seg == "see" and key == "id" and rng.random() < 0.95)))
+    data += [(None, 1), ("http://z.com/", None), ("no scheme", 1), ("", 0)] + data[:5]
+    pages = spark.createDataFrame([(i, u, y) for i, (u, y) in enumerate(data)], "page_id long, url string, blocked int")
+    for confidence in (0.5, 0.9):
+        mined = url_rules.mine(pages, confidence=confidence)
+        want = rules_by_counting(data, 0.005, confidence, 20)
+        assert want and any(len(c) > 1 for c in want)
+        assert {frozenset(r.tokens): (pytest.approx(r.confidence), pytest.approx(r.support)) for r in mined} == want and len(mined) == len(want)
+    assert url_rules.mine(pages.limit(0)) == [] and url_rules.mine(pages.where("blocked = 0")) == []
 
 
 def test_mining_is_not_capped(spark, monkeypatch):
@@ -548,20 +569,31 @@ def test_mining_is_not_capped(spark, monkeypatch):
     data += [(100 + i, f"http://{h}.net/{p}", int(h == "b" and p == "buy")) for i, (h, p) in enumerate([("a", "buy"), ("b", "read"), ("a", "read"), ("b", "buy")] * 40)]
     pages = spark.createDataFrame(data, "page_id long, url string, blocked int")
     mined = url_rules.mine(pages)
-    assert {r.tokens for r in mined} == {(t,) for t in ["host:x.io", "host:io", *(f"path:{p}" for p in long.split("/"))]} | {("host:b.net", "path:buy")}
+    assert {r.tokens for r in mined} == {(t,) for t in ["host:x.io", "host:io", "word:x", "word:io", *(f"path:{p}" for p in long.split("/"))]} | {("host:b.net", "path:buy"), ("path:buy", "word:b")}
     assert all(r.confidence == 1 and r.support == pytest.approx((60 if len(r.tokens) == 1 else 40) / len(data)) for r in mined)
     table = url_rules.mine_rules(pages)
-    want = sorted(rows(url_rules.judge(pages, [], mined)), key=str)
+    got = sorted(rows(url_rules.judge(pages, [], table)))
+    assert {r[0] for r in got if "block" in r} == {i for i, _, y in data if y}
     monkeypatch.setattr(url_rules, "MAX_RULES", 10)
-    got = sorted(rows(url_rules.judge(pages, [], table).select(*url_rules.judge(pages, [], mined).columns)), key=str)
-    assert got == want and {r[0] for r in got if "block" in r} == {i for i, _, y in data if y}
-
-
-def _has(url, token):
-    kind, _, v = token.partition(":")
-    host = url.split("/")[2]
-    path, _, query = url.split(host, 1)[1].partition("?")
-    return {"host": host == v or host.endswith("." + v), "path": v in [re.sub("[0-9]+", "#", s) for s in path.split("/")], "key": query.split("=")[0] == v, "ending": path.endswith(v)}.get(kind, False)
+    assert sorted(rows(url_rules.judge(pages, [], table))) == got
+
+
+def test_url_query_is_that_of_counting(spark, sf_dir):
+    """The registered query on the given pages, all of them, and on odd urls."""
+    pages = {r["page_id"]: r["url"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
+    label = lambda u: None if not judged(u)[0] else int(bool({*re.split("[.-]", judged(u)[0])} & {*queries.SEED_WORDS}))
+    rules = rules_by_counting([(u, label(u)) for u in pages.values() if u], 0.005, 0.9, 20, longest=3)
+    got = {r["page_id"]: r for r in queries.op10_url_rules(spark, sf_dir).collect()}
+    assert got.keys() == pages.keys()
+    for i, u in pages.items():
+        host, path, rule, verdict = judged(u)
+        hit = any(c <= tokens_of(u) for c in rules)
+        assert (got[i]["host"], got[i]["path"], got[i]["rule"]) == (host, path, rule)
+        assert (got[i]["token_rule"] is not None) == hit and got[i]["verdict"] == (verdict if rule else "block" if hit else "allow")
+    # Repeated rows, a very long url and no url at all stay rows of their own.
+    odd = spark.createDataFrame([(1, "http://a.com/" + "x/" * 50_000), (1, "http://a.com/" + "x/" * 50_000), (2, None), (None, "http://b.io")], "page_id long, url string")
+    rule = spark.createDataFrame([(["host:a.com", "path:x"], 1.0, 0.5, "path:x")], "tokens array<string>, confidence double, support double, rarest string")
+    assert sorted((r["page_id"] or 0, r["verdict"]) for r in url_rules.judge(odd, [], rule).collect()) == [(0, "allow"), (1, "block"), (1, "block"), (2, "allow")]
 
 
 # queries
