@@ -11,10 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, row_parts
+from .common import cut
 from .tokens import encoder
 
-#: Pieces that one task packs, about. A partly filled last sequence in each costs under a thousandth.
+#: Pieces that one task packs, about. A task's partly filled last sequence is under a thousandth of its own, so few pieces go to one task.
 PIECES_A_TASK = 100_000
 
 
@@ -112,7 +112,6 @@ def pack(pieces: DataFrame, cap: Capacity = Capacity(), score: str = "norm") ->
 
     A piece longer than cap.tokens or costlier than cap.attention fits nowhere and raises ValueError. No pieces give no rows.
     """
-    spark = pieces.sparkSession
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
     rows = cut(pieces.select(*names), "pieces")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", sequence_id long, offset long"
@@ -130,7 +129,7 @@ def pack(pieces: DataFrame, cap: Capacity = Capacity(), score: str = "norm") ->
             base = TaskContext.get().partitionId() << 40
             yield from t.append_column("sequence_id", pa.array(where + base)).append_column("offset", pa.array(offset)).to_batches(50_000)
 
-    many = row_parts(spark, rows.count(), PIECES_A_TASK)
+    many = max(1, -(-rows.count() // PIECES_A_TASK))
     return rows.repartition(many, F.xxhash64(*names)).mapInArrow(run, schema)
 
 

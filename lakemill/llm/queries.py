@@ -176,6 +176,10 @@ PATH_RULES = [
 SEED_WORDS = "ad ads adult bet bets betting casino cheap loan loans lottery pills poker porn sex spam track tracker viagra warez xxx".split()
 
 
+#: A rule's least share of the labelled pages, confidence and pages.
+MINE_SUPPORT, MINE_CONFIDENCE, MINE_ROWS = 0.0005, 0.9, 5
+
+
 def op10_labels(pages: DataFrame) -> DataFrame:
     """Weak labels of pages (url): blocked if a word of the host is a seed word. Rows without a host have none."""
     seeds = F.array(*[F.lit(w) for w in SEED_WORDS])
@@ -185,7 +189,7 @@ def op10_labels(pages: DataFrame) -> DataFrame:
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's url judged by path rules, then by rules mined from weakly labelled pages."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    mined = url_rules.mine_rules(op10_labels(pages))
+    mined = url_rules.mine_rules(op10_labels(pages), MINE_SUPPORT, MINE_CONFIDENCE, MINE_ROWS)
     return url_rules.judge(pages, PATH_RULES, mined).select("page_id", "host", "path", "rule", "verdict", "token_rule")
 
 

@@ -9,6 +9,7 @@ and renamed when complete, so a repeated or speculative task leaves the same fil
 
 from __future__ import annotations
 
+import json
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -66,13 +67,26 @@ def _get(uri: str, name: str, dtype: str) -> np.ndarray:
         return np.frombuffer(f.read(), dtype)
 
 
-def write(docs: DataFrame, tokenizer: str, end_id: int, width: int = 2, spaces: str = "dropped", id_col: str = "doc_id", text_col: str = "text") -> TokenFiles:
+def id_width(tokenizer: str, end_id: int) -> int:
+    """Bytes of an id: 2 if the whole vocabulary and end_id fit, else 4."""
+    with open(tokenizer, encoding="utf-8") as f:
+        file = json.load(f)
+    largest = max(end_id, *file["model"]["vocab"].values(), *(t["id"] for t in file["added_tokens"]))
+    return 2 if largest < 1 << 16 else 4
+
+
+def write(docs: DataFrame, tokenizer: str, end_id: int, width: int | None = None, spaces: str = "dropped", id_col: str = "doc_id", text_col: str = "text") -> TokenFiles:
     """Encode every text, append end_id, and write the files in ascending id order.
 
     Null texts count as empty and still get end_id. Rows with a null id come first; rows with equal ids
     follow one another in the order of their texts. An empty table gives a folder without documents. Other columns are not read.
     Partitions are ranges of ids, dealt by a sample; each task holds one Arrow batch and one file's lengths.
+    width: bytes of an id, by default as few as the vocabulary needs; ValueError if that is more.
     """
+    need = id_width(tokenizer, end_id)
+    width = width or need
+    if width < need:
+        raise ValueError("the vocabulary does not fit into this width")
     spark = docs.sparkSession
     folder = new_path(spark, "tokens")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

@@ -165,27 +165,70 @@ def test_token_files(spark, odd, none):
     assert not rows(token_files.read(token_files.write(none, public_tokenizers.path("word_bpe_49k.json"), 2), spark))
 
 
-def test_packing(spark, odd, none):
-    out = packing.pack_documents(odd, public_tokenizers.path("byte_bpe_50k.json"), 0).collect()
+def pieces_of(docs, size=2048):
+    """(doc_id, piece, start, length, ids_crc32) by the tokenizers library on whole texts."""
+    out = []
+    for i, text in docs:
+        ids = [*reference_ids("byte_bpe_50k.json", text), 0]
+        first = len(ids) % size or size if len(ids) > size else len(ids)
+        for k, s in enumerate([0, *range(first, len(ids), size)]):
+            own = ids[s : first if k == 0 else s + size]
+            out.append((i, k, s, len(own), zlib.crc32(np.asarray(own, "<u4").tobytes())))
+    return sorted(out, key=str)
+
+
+def check_packed(out, docs):
     bins = defaultdict(list)
-    docs = Counter()
     for r in out:
         bins[r["sequence_id"]].append((r["offset"], r["length"]))
-        docs[r["doc_id"]] += r["length"]
-        assert r["piece"] == 0 or r["length"] == 2048
     for placed in bins.values():
         at = 0
         for o, n in sorted(placed):
             assert o == at
             at += n
         assert at <= 2048
-    want = Counter()
-    for r in ODD:
-        want[r[0]] += len(reference_ids("byte_bpe_50k.json", r[1])) + 1
-    assert docs == want
+    assert sorted(((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in out), key=str) == pieces_of(docs)
+    return len(bins), math.ceil(sum(r["length"] for r in out) / 2048)
+
+
+def test_packing(spark, odd, none):
+    check_packed(packing.pack_documents(odd, public_tokenizers.path("byte_bpe_50k.json"), 0).collect(), [(r[0], r[1]) for r in ODD])
     assert not rows(packing.pack_documents(none, public_tokenizers.path("byte_bpe_50k.json"), 0))
 
 
+def test_packing_query(spark, sf_dir):
+    """The registered query: every piece, and hardly more sequences than tokens need, at any number of shuffle partitions."""
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in ("4", "200"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            used, least = check_packed(queries.op8_packing(spark, sf_dir).collect(), docs)
+            assert used <= 1.01 * least + 1
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
+def test_token_file_query(spark, sf_dir):
+    docs = sorted((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect())
+    got = {r["doc_id"]: r for r in queries.op3_token_files(spark, sf_dir).collect()}
+    start = 0
+    for i, text in docs:
+        ids = [*reference_ids("word_bpe_49k.json", text), 2]
+        assert (got[i]["start"], got[i]["n_tokens"], got[i]["ids_crc32"]) == (start, len(ids), zlib.crc32(np.asarray(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
+def test_token_width_follows_the_vocabulary(spark, odd, tmp_path):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert token_files.id_width(path, 0) == 2 and token_files.id_width(path, 70_000) == 4
+    files = token_files.write(odd, path, 70_000, spaces="leading")
+    want = sorted(zlib.crc32(np.asarray([*reference_ids("byte_bpe_50k.json", r[1]), 70_000], "<u4").tobytes()) for r in ODD)
+    assert files.width == 4 and sorted(r["ids_crc32"] for r in token_files.read(files, spark).collect()) == want
+    with pytest.raises(ValueError):
+        token_files.write(odd, path, 70_000, width=2)
+
+
 @pytest.mark.parametrize("score", ["norm", "dot"])
 def test_best_fit_keeps_every_capacity(score):
     rng = np.random.default_rng(0)
@@ -580,9 +623,11 @@ def test_mining_is_not_capped(spark, monkeypatch):
 
 def test_url_query_is_that_of_counting(spark, sf_dir):
     """The registered query on the given pages, all of them, and on odd urls."""
+    sf_dir = sf_dir.replace("0.001", "0.01")
     pages = {r["page_id"]: r["url"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
     label = lambda u: None if not judged(u)[0] else int(bool({*re.split("[.-]", judged(u)[0])} & {*queries.SEED_WORDS}))
-    rules = rules_by_counting([(u, label(u)) for u in pages.values() if u], 0.005, 0.9, 20, longest=3)
+    rules = rules_by_counting([(u, label(u)) for u in pages.values() if u], queries.MINE_SUPPORT, queries.MINE_CONFIDENCE, queries.MINE_ROWS, longest=3)
+    assert rules
     got = {r["page_id"]: r for r in queries.op10_url_rules(spark, sf_dir).collect()}
     assert got.keys() == pages.keys()
     for i, u in pages.items():
