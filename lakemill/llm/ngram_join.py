@@ -83,17 +83,17 @@ def _parts(h: np.ndarray, parts: int) -> np.ndarray:
 
 
 def _deltas(h: np.ndarray) -> bytes:
-    """Ascending hashes as one byte for the width, the first hash, and the gaps in that many bytes each."""
-    gaps = np.diff(h, prepend=h[:1])
-    width = next(w for w in (4, 5, 6, 7) if w == 7 or gaps.max() < 1 << (8 * w))
-    return bytes([width]) + h[:1].tobytes() + gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    """Ascending hashes as gaps: the count, all low halves, then a byte each for the high ones; 255 stands for one in the list that ends it."""
+    gaps = np.diff(h, prepend=np.uint64(0))
+    high = (gaps >> np.uint64(32)).astype("<u4")
+    return np.uint32(len(h)).tobytes() + gaps.astype("<u4").tobytes() + np.minimum(high, 255).astype(np.uint8).tobytes() + high[high >= 255].tobytes()
 
 
 def _from_deltas(blob: bytes) -> np.ndarray:
-    width, body = blob[0], np.frombuffer(blob, np.uint8)[9:]
-    wide = np.zeros((len(body) // width, 8), np.uint8)
-    wide[:, :width] = body.reshape(-1, width)
-    return np.cumsum(wide.view("<u8").ravel(), dtype=np.uint64) + np.frombuffer(blob[1:9], "<u8")[0]
+    n = int.from_bytes(blob[:4], "little")
+    high = np.frombuffer(blob, np.uint8, n, 4 + 4 * n).astype(np.uint64)
+    high[high == 255] = np.frombuffer(blob, "<u4", offset=4 + 5 * n)
+    return np.cumsum((high << np.uint64(32)) + np.frombuffer(blob, "<u4", n, 4), dtype=np.uint64)
 
 
 #: Shingles of one batch.
@@ -115,14 +115,25 @@ def _level(count: np.ndarray) -> np.ndarray:
     return np.ceil(np.log2(count)).astype(np.int64)
 
 
+#: Added to whole numbers that are packed: levels are above minus this.
+_BIAS = 64
+
+
 def _packed(x: np.ndarray) -> bytes:
-    """Whole numbers in 16 bits where all fit, else 32, after a byte that says which."""
-    small = not len(x) or -32768 <= x.min() and x.max() < 32768
-    return bytes([2 if small else 4]) + x.astype("<i2" if small else "<i4").tobytes()
+    """Whole numbers in 12 bits where all fit, else 32, after their count."""
+    v = x + _BIAS
+    if len(v) and v.max() >= 1 << 12:
+        return np.int32(-len(v)).tobytes() + v.astype("<u4").tobytes()
+    a, b = (np.append(v, 0) if len(v) % 2 else v).astype(np.uint16).reshape(-1, 2).T
+    return np.int32(len(v)).tobytes() + np.concatenate([a & 255, a >> 8 | (b & 15) << 4, b >> 4]).astype(np.uint8).tobytes()
 
 
 def _unpacked(blob: bytes) -> np.ndarray:
-    return np.frombuffer(blob, f"<i{blob[0]}", offset=1).astype(np.int64)
+    n = int.from_bytes(blob[:4], "little", signed=True)
+    if n < 0:
+        return np.frombuffer(blob, "<u4", offset=4).astype(np.int64) - _BIAS
+    x, y, z = np.frombuffer(blob, np.uint8, offset=4).astype(np.int64).reshape(3, -1)
+    return np.column_stack([x | (y & 15) << 8, y >> 4 | z << 4]).ravel()[:n] - _BIAS
 
 
 #: Row, v1 to v4, and the sorted distinct shingles.
@@ -132,7 +143,7 @@ _Set = tuple[int, int | None, int | None, int | None, int | None, np.ndarray]
 def _send(ranges: int, sets: Callable[[pa.RecordBatch, int], Iterable[_Set]]):
     """Batches -> documents and lists. sets: those of a batch, whose first row has the number given.
 
-    A document: place in its batch, row, v1 to v4, marks: its shingles that the batch has met twice. A list: of one hash range the
+    A document: place in its batch, row, v1 to v4, docs: its shingles that the batch has met twice, as places among all such. A list: of one hash range the
     batch's shingles, ascending, and for each the place of its document or, if the batch has met it twice, minus its count's level.
     """
 
@@ -150,10 +161,10 @@ def _send(ranges: int, sets: Callable[[pa.RecordBatch, int], Iterable[_Set]]):
             first = _first(e)
             many = np.diff(np.append(np.flatnonzero(first), len(e)))
             twice = np.repeat(many > 1, many)
-            shared, owner = e[twice], d[twice]
+            owner = d[twice]
             by = np.argsort(owner, kind="stable")
-            shared, cuts = shared[by], np.searchsorted(owner[by], np.arange(len(held) + 1))
-            rows: list[tuple] = [((batch + k) % ranges, batch, k, *x[:-1], shared[cuts[k] : cuts[k + 1]].tobytes(), None, None) for k, x in enumerate(held)]
+            shared, cuts = (np.cumsum(first & twice) - 1)[twice][by], np.searchsorted(owner[by], np.arange(len(held) + 1))
+            rows: list[tuple] = [((batch + k) % ranges, batch, k, *x[:-1], None, _packed(np.diff(shared[cuts[k] : cuts[k + 1]], prepend=0)), None) for k, x in enumerate(held)]
             own = np.where(many > 1, -_level(np.maximum(many, 2)), d[first])
             e = e[first]
             at = np.searchsorted(_parts(e, ranges), np.arange(ranges + 1))
@@ -224,27 +235,27 @@ def _gather(use: Callable[[int, int, int, np.ndarray, np.ndarray], tuple | None]
     """The documents of one batch and the answers to its lists -> a row for each document that `use` takes.
 
     use: of a document's row, size (v2), copies (v3), shared shingles, ascending, and their levels. chosen: only documents that another row
-    without marks names are looked at, with that row's values.
+    without docs names are looked at, with that row's values.
     """
 
     def run(t: pa.Table) -> pa.Table:
         held = t.to_pylist()
-        docs = [r for r in held if r["place"] is not None and r["marks"] is not None]
+        docs = [r for r in held if r["place"] is not None and r["docs"] is not None]
         lists = [r for r in held if r["place"] is None]
-        only = {r["place"]: r for r in held if r["place"] is not None and r["marks"] is None}
+        only = {r["place"]: r for r in held if r["place"] is not None and r["docs"] is None}
         out = []
         if docs and lists and (only or not chosen):
             e, level, d = np.concatenate([_from_deltas(r["marks"]) for r in lists]), np.concatenate([np.frombuffer(r["levels"], np.uint8) for r in lists]), np.concatenate([_unpacked(r["docs"]) for r in lists])
             order = np.argsort(e, kind="stable")
             e, level, d = e[order], level[order], d[order]
-            one = np.flatnonzero(d >= 0)
+            many, one = np.flatnonzero(d < 0), np.flatnonzero(d >= 0)  # of the former none is missing: they are shared
             one = one[np.argsort(d[one], kind="stable")]
             cuts = {p: (a, b) for p, a, b in zip(*_runs(d[one]), strict=True)}
             for r in docs:
                 v = only.get(r["place"]) if chosen else r
                 if v is not None:
                     a, b = cuts.get(r["place"], (0, 0))
-                    at = np.concatenate([one[a:b], np.searchsorted(e, np.frombuffer(r["marks"], "<u8"))])
+                    at = np.concatenate([one[a:b], many[np.cumsum(_unpacked(r["docs"]))]])
                     at.sort()
                     got = use(r["row"], v["v2"], v["v3"], e[at], level[at])
                     if got is not None:

@@ -367,6 +367,18 @@ def test_repeated_rows_are_kept_once(spark):
     assert got == Counter([(1, text), (3, data[3][1]), (3, data[4][1]), (4, None), (None, text), (None, text)])
 
 
+def test_shingle_lists_come_back():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 2, 7, 5000):
+        h = np.unique(rng.integers(0, 1 << 56, n, dtype=np.uint64))
+        assert ngram_join._from_deltas(ngram_join._deltas(h)).tolist() == h.tolist()
+        for most in (4000, 5000):
+            x = rng.integers(-40, most, n)
+            assert ngram_join._unpacked(ngram_join._packed(x)).tolist() == x.tolist()
+    dense = np.arange(1000, dtype=np.uint64) * np.uint64(3)
+    assert ngram_join._from_deltas(ngram_join._deltas(dense)).tolist() == dense.tolist()
+
+
 def test_search_is_exact():
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 60, rng.integers(5, 60))).astype(np.uint64) for _ in range(120)]
