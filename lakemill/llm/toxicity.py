@@ -33,7 +33,7 @@ LONG = 1 / 8
 #: Texts that are searched for together.
 TOGETHER = 256
 #: Words whose terms are remembered.
-MEMORY = 300_000
+MEMORY = 600_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 _STEMS = (4, 5, 6)
@@ -54,14 +54,15 @@ class _Words(dict):
     def __init__(self, terms: dict[str, int]) -> None:
         super().__init__()
         self.terms = terms
+        self.stems = {t[1:]: k for t, k in terms.items() if t[0] == "^"}
         self.table = np.full((1 << 12, 1 + len(_STEMS)), -1, np.int32)
 
     def __missing__(self, word: str) -> int:
         at = self[word] = len(self)
         if at == len(self.table):
             self.table = np.concatenate([self.table, np.full_like(self.table, -1)])
-        for k, t in enumerate(terms_of(word)):
-            self.table[at, k] = self.terms.get(t, -1)
+        stem = self.stems.get
+        self.table[at] = (self.terms.get(word, -1), *[stem(word[:k], -1) if len(word) > k else -1 for k in _STEMS])
         return at
 
 
