@@ -279,6 +279,20 @@ def mbr_intersects(a: Column, b: Column) -> Column:
     return ((p[0] <= q[1]) & (q[0] <= p[1]) & (p[2] <= q[3]) & (q[2] <= p[3])).cast("int")
 
 
+def locate(p: Column, g: Column) -> Column:
+    """Where a point is in an area: 1 inside, 0 on its boundary, -1 outside; null if either is null or empty."""
+    x, y = coordinate(p, "x"), coordinate(p, "y")
+
+    def at(part: Column) -> Column:
+        edges = F.flatten(F.transform(part, lambda r: _edges(r, lambda a, b: F.struct(a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2")))))
+        on = lambda e: ((e["x2"] - e["x1"]) * (y - e["y1"]) == (e["y2"] - e["y1"]) * (x - e["x1"])) & x.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"])) & y.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"]))
+        # A ray to the right meets the boundary an odd number of times from inside.
+        right = lambda e: ((e["y1"] > y) != (e["y2"] > y)) & F.coalesce(x < F.try_divide((e["x2"] - e["x1"]) * (y - e["y1"]), e["y2"] - e["y1"]) + e["x1"], F.lit(False))
+        return F.when(F.exists(edges, on), 0).when(F.size(F.filter(edges, right)) % 2 == 1, 1).otherwise(-1)
+
+    return _filled(p, _filled(g, F.array_max(F.transform(g["parts"], at))))
+
+
 def point_distance(a: Column, b: Column, unit: str | None = None) -> Column:
     """Between two points."""
     m = check_unit(unit)

@@ -165,11 +165,15 @@ class GeoFrame(Frame):
         a, b = self._sides(other)
         return Frame(a.crossJoin(b).select("INDEXERIDA1", "INDEXERIDA2", of(F.col("g1"), F.col("g2")).alias("RESULT")))
 
-    def matching(self, other: GeoFrame, predicate: str, cell: float) -> Frame:
-        """The pairs for which a predicate (not disjoint) holds: rows meet where their boxes share a square of a grid with side `cell`."""
+    def matching(self, other: GeoFrame, predicate: str, cell: float | None = None) -> Frame:
+        """The pairs for which a predicate (not disjoint) holds: rows meet where their boxes share a square of a grid with side `cell`.
+
+        Without a side, it is twice the mean extent of the side whose boxes are larger.
+        """
         if predicate not in PREDICATES or predicate == "disjoint":
             raise ValueError(f"not a predicate of meeting geometries: {predicate}")
         a, b = self._sides(other)
+        cell = cell or max(_extent(a, "g1"), _extent(b, "g2")) * 2 or 1.0
 
         def gridded(d: DataFrame, g: str, k: int) -> DataFrame:
             at = lambda axis, hi: F.floor(G.extreme(F.col(g), axis, hi) / cell)
@@ -179,7 +183,8 @@ class GeoFrame(Frame):
         met = gridded(a, "g1", 1).join(gridded(b, "g2", 2), ["x", "y"])
         # A pair that shares many squares is taken in the first of them.
         met = met.where((F.col("x") == F.greatest("x1", "x2")) & (F.col("y") == F.greatest("y1", "y2")) & (G.mbr_intersects(F.col("g1"), F.col("g2")) == 1))
-        return Frame(met.where(_predicate(predicate)(F.col("g1"), F.col("g2")) == 1).select("INDEXERIDA1", "INDEXERIDA2"))
+        holds = _predicate(predicate, _kinds(a, "g1"), _kinds(b, "g2"))
+        return Frame(met.where(holds(F.col("g1"), F.col("g2")) == 1).select("INDEXERIDA1", "INDEXERIDA2"))
 
     def distance(self, other: GeoFrame, unit: str | None = None) -> Frame:
         m = G.check_unit(unit)
@@ -199,7 +204,30 @@ class GeoFrame(Frame):
         return self._pairs(other, G.mbr_intersects)
 
 
-def _predicate(which: str):
+def _extent(d: DataFrame, g: str) -> float:
+    """The mean of the larger sides of the boxes."""
+    side = lambda axis: G.extreme(F.col(g), axis, True) - G.extreme(F.col(g), axis, False)
+    return d.agg(F.avg(F.greatest(side("x"), side("y")))).first()[0] or 0.0
+
+
+def _kinds(d: DataFrame, g: str) -> set[str]:
+    """The geometry types of a column; an empty geometry counts as a type of its own."""
+    kind = F.when(G.is_empty(F.col(g)) == 1, F.lit("EMPTY")).otherwise(F.col(g)["gtype"])
+    return {r[0] for r in d.where(F.col(g).isNotNull()).select(kind).distinct().collect()}  # a few types
+
+
+#: What the place of a point in an area (1 inside, 0 on the boundary, -1 outside) says, for the point as first operand.
+_OF_PLACE = {"within": lambda at: at == 1, "intersects": lambda at: at >= 0, "touches": lambda at: at == 0, "disjoint": lambda at: at == -1}
+_CONVERSE = {"within": "contains", "contains": "within"}
+
+
+def _predicate(which: str, kinds1: set[str], kinds2: set[str]):
+    """Points against areas natively; of the rest, pairs whose boxes meet in Python."""
+    if kinds1 <= {"POINT"} and kinds2 <= {*AREAS} or kinds2 <= {"POINT"} and kinds1 <= {*AREAS}:
+        swap = not kinds1 <= {"POINT"}
+        test = _OF_PLACE.get(_CONVERSE.get(which, which) if swap else which)
+        return lambda a, b: (test(G.locate(b, a) if swap else G.locate(a, b)) if test else F.when(a.isNotNull() & b.isNotNull(), F.lit(False))).cast("int")
+
     def of(a: Column, b: Column) -> Column:
         full = _udf(partial(O.predicate, which), "int")(a, b)
         if which == "disjoint":
@@ -209,7 +237,12 @@ def _predicate(which: str):
     return of
 
 
+def _holds(self: GeoFrame, other: GeoFrame, which: str) -> Frame:
+    a, b = self._sides(other)
+    return self._pairs(other, _predicate(which, _kinds(a, "g1"), _kinds(b, "g2")))
+
+
 for _p in PREDICATES:
-    setattr(GeoFrame, _p, lambda self, other, p=_p: self._pairs(other, _predicate(p)))
+    setattr(GeoFrame, _p, lambda self, other, p=_p: _holds(self, other, p))
 for _o in ("intersection", "union", "difference"):
     setattr(GeoFrame, _o, lambda self, other, o=_o: self._pairs(other, _udf(partial(O.combine, o))))
