@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.shared import written
 from .estimator import Estimator
 from .stats import name
 
@@ -41,7 +42,7 @@ class AssociationRules(Estimator):
         schema = "items array<string>, freq long"
         spark = df.sparkSession
         found = FPGrowth(itemsCol="items", minSupport=min(share, 1.0)).fit(baskets).freqItemsets if self.n else spark.createDataFrame([], schema)
-        self.patterns = found.where(F.size("items") <= self.maxlen).select(F.array_sort("items").alias("items"), "freq").cache()
+        self.patterns = written(found.where(F.size("items") <= self.maxlen).select(F.array_sort("items").alias("items"), "freq"), "patterns")
         self.rules = self._rules().withColumn("PRUNED", F.lit(False))
         return self
 
@@ -98,17 +99,17 @@ class AssociationRules(Estimator):
             raise ValueError("type must be 'rules' or 'patterns'")
         self.transaction_id, self.item_id = transaction_id or self.transaction_id, item_id or self.item_id
         if type == "rules":
-            cand = self.rules.where(~F.col("PRUNED")).withColumns({"need": F.col("body"), "key": F.concat_ws("|", F.array_join("body", ","), F.array_join("head", ","))})
+            cand = self.rules.where(~F.col("PRUNED")).withColumns({"need": F.col("body"), "key": F.to_json(F.struct("body", "head")), "text": F.concat_ws("|", F.array_join("body", ","), F.array_join("head", ","))})
             keys = sort or "support;confidence;length"
         else:
-            cand = self._pattern_lift().withColumns({"need": F.col("items"), "key": F.array_join("items", ",")})
+            cand = self._pattern_lift().withColumns({"need": F.col("items"), "key": F.to_json(F.struct("items")), "text": F.array_join("items", ",")})
             keys = sort or "support;lift;length"
         order = [F.desc(k) for k in keys.split(";")]
         rows = self._rows(df).distinct()
         index = cand.select("key", F.size("need").alias("k"), F.explode("need").alias("item"))
         hits = rows.join(index, "item").groupBy("tid", "key", "k").agg(F.count("*").alias("c")).where("c = k").select("tid", "key")
-        best = hits.join(cand.drop("need"), "key").withColumn("rank", F.row_number().over(W.partitionBy("tid").orderBy(*order, "key")))
-        return best.where(F.col("rank") <= limit).drop("key", "PRUNED")
+        best = hits.join(cand.drop("need"), "key").withColumn("rank", F.row_number().over(W.partitionBy("tid").orderBy(*order, "text", "key")))
+        return best.where(F.col("rank") <= limit).drop("key", "text", "PRUNED")
 
     def _pattern_lift(self) -> DataFrame:
         n = float(max(self.n, 1))

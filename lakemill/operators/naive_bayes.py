@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.shared import written
 from .discretize import apply_cuts, cuts
 from .estimator import Estimator
 from .stats import categorical, name, numeric
@@ -46,7 +47,7 @@ class NaiveBayes(Estimator):
         return {"MODEL": model, "DISCRANGES": self.fitted.sparkSession.createDataFrame(rows, "COLNAME string, BREAK double")}
 
     def predict_log(self, df: DataFrame, column_id: str | None = None, mestimation: bool = False) -> DataFrame:
-        """ID, CLASS, LOGPROB for every class.
+        """__row (a number of the row), ID, CLASS, LOGPROB for every class. A row whose inputs are all null has the classes' own frequencies.
 
         Without m-estimation a value that a class never has counts as half a row; with it every probability is (n + m p) / (N + m) with
         m the number of the attribute's values and p = 1/m.
@@ -62,24 +63,28 @@ class NaiveBayes(Estimator):
         seen = F.log((F.col("CLASSVALCOUNT") + 1.0) / (F.col("N") + F.col("M"))) if mestimation else F.log(F.col("CLASSVALCOUNT").cast("double") / F.col("N"))
         unseen = by.select("ATTRIBUTE", "CLASS", none.alias("L0"))
         diff = self.counts.join(by, ["ATTRIBUTE", "CLASS"]).select("ATTRIBUTE", "VAL", F.col("CLASS"), (seen - none).alias("D"))
-        flat = self._flat(df, [id_])
-        base = flat.join(unseen, "ATTRIBUTE").groupBy("ID", "CLASS").agg(F.sum("L0").alias("L"))
-        more = flat.join(diff, ["ATTRIBUTE", "VAL"]).groupBy("ID", "CLASS").agg(F.sum("D").alias("D"))
+        # Rows are told apart by a number, which has to stay the same in all that follows: equal ids are rows of their own.
+        rows = written(df.select(id_, *[name(c) for c in self.inputs]).withColumn("__row", F.monotonically_increasing_id()), "bayes-rows")
+        flat = self._flat(rows, [F.col("__row")])
+        base = flat.join(unseen, "ATTRIBUTE").groupBy("__row", "CLASS").agg(F.sum("L0").alias("L"))
+        more = flat.join(diff, ["ATTRIBUTE", "VAL"]).groupBy("__row", "CLASS").agg(F.sum("D").alias("D"))
         prior = F.log(F.col("CLASSCOUNT").cast("double"))
-        return base.join(more, ["ID", "CLASS"], "left").join(self.classes, "CLASS").select("ID", "CLASS", (F.col("L") + F.coalesce("D", F.lit(0.0)) + prior).alias("LOGPROB"))
+        every = rows.select("__row", "ID").crossJoin(F.broadcast(self.classes))  # a few classes
+        sums = every.join(base, ["__row", "CLASS"], "left").join(more, ["__row", "CLASS"], "left")
+        return sums.select("__row", "ID", "CLASS", (F.coalesce("L", F.lit(0.0)) + F.coalesce("D", F.lit(0.0)) + prior).alias("LOGPROB"))
 
     def predict(self, df: DataFrame, column_id: str | None = None, mestimation: bool = False) -> DataFrame:
         """ID, CLASS: the most probable class, the first by name of equals (to nine digits)."""
         best = F.min(F.struct((-F.round("LOGPROB", 9)).alias("l"), F.col("CLASS").alias("c")))["c"]
-        return self.predict_log(df, column_id, mestimation).groupBy("ID").agg(best.alias("CLASS"))
+        return self.predict_log(df, column_id, mestimation).groupBy("__row", "ID").agg(best.alias("CLASS")).drop("__row")
 
     def predict_proba(self, df: DataFrame, column_id: str | None = None, mestimation: bool = False) -> DataFrame:
         """ID, CLASS, PROB."""
         from pyspark.sql import Window as W
 
         logs = self.predict_log(df, column_id, mestimation)
-        top = F.col("LOGPROB") - F.max("LOGPROB").over(W.partitionBy("ID"))
-        return logs.withColumn("e", F.exp(top)).select("ID", "CLASS", (F.col("e") / F.sum("e").over(W.partitionBy("ID"))).alias("PROB"))
+        top = F.col("LOGPROB") - F.max("LOGPROB").over(W.partitionBy("__row"))
+        return logs.withColumn("e", F.exp(top)).select("ID", "CLASS", (F.col("e") / F.sum("e").over(W.partitionBy("__row"))).alias("PROB"))
 
     def fit_predict(self, df: DataFrame, target: str, column_id: str = "ID") -> DataFrame:
         return self.fit(df, target, column_id).predict(df)

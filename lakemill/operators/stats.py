@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame
@@ -113,10 +113,10 @@ def percentiles(df: DataFrame, qs: Sequence[float], columns: Sequence[str] | Non
 
 
 def describe(df: DataFrame, qs: Sequence[float] = (0.25, 0.5, 0.75), columns: Sequence[str] | None = None) -> DataFrame:
-    """A row for each numeric column: column, count, mean, std, min, a column 'q%' for each q, max."""
+    """A row for each numeric column: column, count, mean, std, min, a column 'q%' for each q, max. Without any, as describe_text() does."""
     cols = need_numeric(df, columns)
     if not cols:
-        raise NotImplementedError("no numeric column to describe")
+        return describe_text(df)
     one = df.agg(*[F.struct(F.count(name(c)).alias("count"), F.avg(name(c)).alias("mean"), F.stddev_samp(name(c)).alias("std"), F.min(name(c)).cast("double").alias("min"), F.max(name(c)).cast("double").alias("max"), F.lit(c).alias("column")).alias(f"c{k}") for k, c in enumerate(cols)])
     rows = one.select(F.explode(F.array(*[F.col(f"c{k}") for k in range(len(cols))])).alias("s")).select("s.*")
     labels = [f"{q * 100:g}%" for q in qs]
@@ -124,6 +124,35 @@ def describe(df: DataFrame, qs: Sequence[float] = (0.25, 0.5, 0.75), columns: Se
     return rows.join(wide, "column", "left").select("column", "count", "mean", "std", "min", *[name(n) for n in labels], "max")
 
 
+def describe_text(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """A row for each text column: column, count, unique (distinct values), top (the most frequent, the first of equals) and freq (its rows)."""
+    cols = list(columns or categorical(df))
+    if not cols:
+        raise TypeError("no text column")
+    flat = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), name(c).cast("string").alias("v")) for c in cols])).alias("s")).select("s.*")
+    counts = flat.groupBy("column", "v").agg(F.count("v").alias("n"))
+    best = F.min(F.when(F.col("v").isNotNull(), F.struct((-F.col("n")).alias("n"), F.col("v").alias("v"))))
+    by = counts.groupBy("column").agg(F.sum("n").alias("count"), F.count("v").alias("unique"), best.alias("best"))
+    return by.select("column", "count", "unique", F.col("best.v").alias("top"), (-F.col("best.n")).alias("freq"))
+
+
+#: What grouped() can compute.
+AGGREGATES = {"count": F.count, "nunique": F.count_distinct, "sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max, "std": F.stddev_samp, "var": F.var_samp, "median": F.median}
+
+
+def grouped(df: DataFrame, by: Sequence[str], of: Mapping[str, str | Sequence[str]]) -> DataFrame:
+    """A row for each group, rows with a null key too: the keys, then a column 'name_function' for each column and function asked for."""
+    if unknown := [c for c in [*by, *of] if c not in df.columns]:
+        raise ValueError(f"unknown columns: {unknown}")
+    asked = [(c, f) for c, fs in of.items() for f in ([fs] if isinstance(fs, str) else fs)]
+    for c, f in asked:
+        if f not in AGGREGATES:
+            raise ValueError(f"no such function: {f}")
+        if f in ("sum", "mean", "std", "var", "median"):
+            need_numeric(df, [c])
+    return df.groupBy(*map(name, by)).agg(*[AGGREGATES[f](name(c)).alias(f"{c}_{f}") for c, f in asked])
+
+
 def _pairs(df: DataFrame, columns: Sequence[str] | None) -> list[tuple[str, str]]:
     cols = need_numeric(df, columns)
     if len(cols) < 2:

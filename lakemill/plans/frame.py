@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..operators import features, stats
 from ..operators.stats import name
-from .shared import numbered
+from .shared import numbered, running
 
 
 class LakemillError(Exception):
@@ -225,8 +225,13 @@ class Frame:
         out = d.orderBy(*by(last)).limit(nrow)
         return out.orderBy(*by(False)).drop(*[f"__key{k}" for k in range(len(keys))])
 
-    def sort(self, columns: str | Sequence[str] | None = None, axis: int = 0, ascending: bool = True) -> Frame:
-        """axis 0: sort rows by columns, in one direction, nulls last ascending; no columns remove the order. axis 1: sort the columns' names."""
+    def sort(self, columns: str | Sequence[str] | None = None, axis: int = 0, ascending: bool = True, nulls: str | None = None) -> Frame:
+        """axis 0: sort rows by columns, in one direction; no columns remove the order. axis 1: sort the columns' names.
+
+        nulls: 'first' or 'last'; by default last ascending and first descending.
+        """
+        if nulls not in (None, "first", "last"):
+            raise ValueError("nulls must be 'first' or 'last'")
         if axis == 1:
             return self._new(cols={c: self.cols[c] for c in sorted(self.cols, reverse=not ascending)})
         if axis != 0:
@@ -234,7 +239,9 @@ class Frame:
         names = self.columns if columns is None and isinstance(self, Series) else [columns] if isinstance(columns, str) else list(columns or [])
         if unknown := [c for c in names if c not in self.cols]:
             raise ValueError(f"unknown columns: {unknown}")
-        return self._new(order=[(self.cols[c], ascending) for c in names])
+        ends = [] if nulls is None else [(self.cols[c].isNull(), nulls == "last") for c in names]
+        keys = [(self.cols[c], ascending) for c in names]
+        return self._new(order=[k for pair in zip(ends, keys, strict=True) for k in pair] if ends else keys)
 
     def add_column_id(self, column_id: str = "ID", order: Sequence[str] | None = None) -> Frame:
         """Number the rows from 0 in the order of the given columns (all by default), as first column and index."""
@@ -339,6 +346,66 @@ class Frame:
     def describe(self, percentiles: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
         return stats.describe(self.df, percentiles)
 
+    def describe_text(self) -> DataFrame:
+        return stats.describe_text(self.df)
+
+    def groupby(self, by: str | Sequence[str]) -> Grouped:
+        return Grouped(self, [by] if isinstance(by, str) else list(by))
+
+    def _running(self, kind: str, value: Callable[[Column], Column] = lambda e: e) -> Frame:
+        """The frame's numeric columns replaced by running aggregates in the frame's order, else its index's, else that of all columns."""
+        own = stats.numeric(self.df)
+        if not own:
+            raise TypeError("no numeric column")
+        keys = list(self.order) or [(e, True) for c, e in self.cols.items() if self._index in (None, c)]
+        d = self.base.select(*[e.alias(c) for c, e in self.cols.items()], *[e.alias(f"__key{k}") for k, (e, _) in enumerate(keys)])
+        order = [F.col(f"__key{k}").asc_nulls_last() if up else F.col(f"__key{k}").desc_nulls_first() for k, (_, up) in enumerate(keys)]
+        own = [c for c in own if c != self._index]
+        done = running(d, order, {f"__run{k}": (kind, value(name(c))) for k, c in enumerate(own)})
+        cols = {c: F.col(f"__run{own.index(c)}") if c in own else name(c) for c in self.cols}
+        return self._new(base=done, cols=cols, order=[(F.col(f"__key{k}"), up) for k, (_, up) in enumerate(keys)], series=isinstance(self, Series))
+
+    cumsum = lambda self: self._running("sum")
+    cummax = lambda self: self._running("max")
+    cummin = lambda self: self._running("min")
+
+    def cumprod(self) -> Frame:
+        """Products as doubles."""
+        return self._running("prod", lambda e: e.cast("double"))
+
+    def cummean(self) -> Frame:
+        """The mean of the values so far."""
+        return self._running("mean", lambda e: e.cast("double"))
+
+    def info(self) -> DataFrame:
+        """column, type, count of values that are not null."""
+        d = self.df
+        one = stats.stat(d, "count")
+        return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.lit(t).alias("type"), name(c).alias("count")) for c, t in d.dtypes])).alias("s")).select("s.*")
+
+    # The table that a frame of a catalog stands on
+
+    def _table(self):
+        if getattr(self, "table", None) is None:
+            raise FrameError("the frame is not one of a catalog's tables or views")
+        return self.database, self.table
+
+    def exists(self) -> bool:
+        database, table = self._table()
+        return database.exists_table_or_view(table)
+
+    def is_view(self) -> bool:
+        database, table = self._table()
+        return database.is_view(table)
+
+    def is_table(self) -> bool:
+        database, table = self._table()
+        return database.is_table(table)
+
+    def get_primary_key(self) -> str | None:
+        database, table = self._table()
+        return database.get_primary_key(table)
+
     def unique(self, column: str | None = None) -> DataFrame:
         return stats.unique(self.df, column or self.columns[0])
 
@@ -396,6 +463,26 @@ class Frame:
         return features.pearson(self.df, other)
 
 
+class Grouped:
+    """Groups of a frame: agg() with functions by column, or one function of all numeric columns."""
+
+    def __init__(self, frame: Frame, by: list[str]) -> None:
+        self.frame, self.by = frame, by
+
+    def agg(self, of: dict[str, str | Sequence[str]]) -> DataFrame:
+        return stats.grouped(self.frame.df, self.by, of)
+
+    def size(self) -> DataFrame:
+        return stats.count_groupby(self.frame.df, self.by)
+
+    def _all(self, function: str) -> DataFrame:
+        return self.agg({c: function for c in stats.numeric(self.frame.df) if c not in self.by})
+
+
+for _f in stats.AGGREGATES:
+    setattr(Grouped, _f, lambda self, f=_f: self._all(f))
+
+
 class Series(Frame):
     """A frame of one column. Its reductions are scalars."""
 

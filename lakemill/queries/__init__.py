@@ -37,4 +37,4 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def register() -> None:
-    from . import frames, geo, learning, relevance, statistics  # noqa: F401
+    from . import catalogs, frames, geo, learning, relevance, statistics  # noqa: F401

@@ -215,3 +215,9 @@ def _(t):
 @query("rank", "SELECT p_partkey, p_size, rank() OVER (ORDER BY p_size) AS rank FROM part")
 def _(t):
     return t("part")[["p_partkey", "p_size"]].rank("p_size")
+
+
+query("sort_nulls_first", f"SELECT o_orderkey, x FROM {NULLS} ORDER BY x NULLS FIRST, o_orderkey NULLS FIRST LIMIT 10")(lambda t: _with_nulls(t)[["o_orderkey", "x"]].sort(["x", "o_orderkey"], nulls="first")[0:9].df)
+query("sort_nulls_last", f"SELECT o_orderkey, x FROM {NULLS} ORDER BY x DESC NULLS LAST, o_orderkey DESC NULLS LAST LIMIT 10")(lambda t: _with_nulls(t)[["o_orderkey", "x"]].sort(["x", "o_orderkey"], ascending=False, nulls="last")[0:9].df)
+query("corrwith", "SELECT 'l_quantity' AS feature, 'l_extendedprice' AS target, round(corr(l_quantity, l_extendedprice), 6) AS pearson FROM lineitem UNION ALL SELECT 'l_tax', 'l_extendedprice', round(corr(l_tax, l_extendedprice), 6) FROM lineitem")(lambda t: rounded((lambda f: f.corrwith("l_extendedprice").where("feature <> target"))(t("lineitem")[["l_quantity", "l_extendedprice", "l_tax"]])))
+query("arith_pos", "SELECT l_quantity FROM lineitem")(lambda t: +t("lineitem")["l_quantity"])

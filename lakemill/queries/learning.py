@@ -80,3 +80,45 @@ def _(t):
 @query("kmeans_clusters")
 def _(t):
     return KMeans(4, distance="norm_euclidean").fit(t("customer").df.select("c_custkey", "c_acctbal", "c_mktsegment"), "c_custkey").tables()["CLUSTERS"]
+
+
+@query("assoc_prune", f"{_RULES} SELECT body, head, NOT (support >= 0.2 AND round(lift, 9) >= 0.9) AS \"PRUNED\" FROM r")
+def _(t):
+    out = _rules(t).prune(minsupport=0.2, minlift=0.9).rules
+    return out.select(F.array_join("body", ",").alias("body"), F.array_join("head", ",").alias("head"), "PRUNED")
+
+
+@query("assoc_predict_patterns", f"""WITH {_FREQ}, p AS (SELECT items, freq / n::DOUBLE AS support, len(items) AS length, CASE WHEN len(items) = 1 THEN 1.0 ELSE freq / n::DOUBLE / ((SELECT freq FROM f1 WHERE items[1] = f.items[1]) / n::DOUBLE * (SELECT freq FROM f1 WHERE items[1] = f.items[2]) / n::DOUBLE) END AS lift FROM f, n WHERE freq >= 0.05 * n),
+h AS (SELECT b.tid, p.* FROM b JOIN p ON list_contains(p.items, b.item)), w AS (SELECT tid, items, support, length, lift FROM h GROUP BY ALL HAVING count(*) = length)
+SELECT tid, items, round(support, 6) AS support, length::INT AS length FROM (SELECT tid, array_to_string(items, ',') AS items, support, length, row_number() OVER (PARTITION BY tid ORDER BY support DESC, round(lift, 9) DESC, length DESC, array_to_string(items, ',')) AS k FROM w) WHERE k = 1""")
+def _(t):
+    out = _rules(t).predict(t("orders").df, type="patterns")
+    return rounded(out.select("tid", F.array_join("items", ",").alias("items"), "support", "length"))
+
+
+@query("assoc_items", f"WITH {_FREQ} SELECT items[1] AS \"ITEM\", freq AS \"COUNT\" FROM f1, n WHERE freq >= 0.05 * n")
+def _(t):
+    return _rules(t).tables()["ITEMS"]
+
+
+@query("nb_m_estimate", f"""WITH {_NB}, v AS (SELECT a, count(DISTINCT v) AS m FROM m GROUP BY 1), l AS (SELECT x.p_partkey, k.p_type, sum(ln((coalesce(m.n, 0) + 1)::DOUBLE / (k.n + v.m))) + ln(any_value(k.n)) AS l
+FROM x CROSS JOIN k JOIN v ON v.a = x.a LEFT JOIN m ON m.a = x.a AND m.v = x.v AND m.p_type = k.p_type GROUP BY 1, 2) SELECT p_partkey AS "ID", p_type AS "CLASS", round(exp(l) / sum(exp(l)) OVER (PARTITION BY p_partkey), 6) AS "PROB" FROM l""")
+def _(t):
+    return rounded(_bayes(t).predict_proba(t("part").df, mestimation=True))
+
+
+@query("nb_labels", f"{_LOGS} SELECT p_partkey AS \"ID\", arg_min(p_type, (-round(l, 9), p_type)) AS \"CLASS\" FROM l GROUP BY 1")
+def _(t):
+    return _bayes(t).labels_
+
+
+@query("kmeans_nominal", "SELECT c_custkey AS \"ID\", dense_rank() OVER (ORDER BY c_mktsegment)::INT AS segment, 0.0::DOUBLE AS \"DISTANCE\" FROM customer")
+def _(t):
+    """As many clusters as segments, with the segment as only input: a cluster is a segment, whatever its number."""
+    rows = t("customer").df.select("c_custkey", "c_mktsegment")
+    out = KMeans(5, max_iter=50).fit_predict(rows, "c_custkey").join(rows, F.col("ID") == F.col("c_custkey"))
+    first = out.groupBy("CLUSTER_ID").agg(F.min("c_mktsegment").alias("s"))
+    from pyspark.sql import Window as W
+
+    named = first.withColumn("segment", F.dense_rank().over(W.orderBy("s")))
+    return rounded(out.join(named, "CLUSTER_ID").select("ID", "segment", "DISTANCE"))

@@ -63,3 +63,36 @@ query("pivot_avg", "SELECT l_returnflag, 'l_quantity' AS value, round(avg(l_quan
 query("pivot_multi", " UNION ALL ".join(f"SELECT l_returnflag, l_linestatus, '{c}' AS value, round(avg({c}), 6) AS result FROM lineitem GROUP BY ALL" for c in ("l_quantity", "l_tax")))(lambda t: rounded(t("lineitem").pivot_table(["l_quantity", "l_tax"], ["l_returnflag", "l_linestatus"], aggfunc="avg")))
 query("level_table", "SELECT 'p_brand' AS \"column\", 'string' AS type, count(DISTINCT p_brand) AS factors, CASE WHEN count(DISTINCT p_brand) > 20 THEN 'STRING' ELSE 'CATEGORICAL' END AS valtype FROM part UNION ALL SELECT 'p_size', 'int', count(DISTINCT p_size), CASE WHEN count(DISTINCT p_size) > 20 THEN 'NUMERIC' ELSE 'CATEGORICAL' END FROM part")(lambda t: stats.level_table(t("part").df.select("p_brand", "p_size")))
 query("mode", "SELECT (SELECT p_brand FROM part GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS p_brand, (SELECT p_size FROM part GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS p_size")(lambda t: t("part")[["p_brand", "p_size"]].mode())
+query("groupby_agg", "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 4) AS l_quantity_sum, round(avg(l_quantity), 4) AS l_quantity_mean, count(DISTINCT l_linenumber) AS l_linenumber_nunique, max(l_shipdate) AS l_shipdate_max FROM lineitem GROUP BY ALL")(
+    lambda t: rounded(t("lineitem").groupby(["l_returnflag", "l_linestatus"]).agg({"l_quantity": ["sum", "mean"], "l_linenumber": "nunique", "l_shipdate": "max"}), 4)
+)
+query("groupby_std", "SELECT o_orderpriority, round(stddev_samp(o_orderkey), 4) AS o_orderkey_std, round(stddev_samp(o_custkey), 4) AS o_custkey_std, round(stddev_samp(o_totalprice), 4) AS o_totalprice_std FROM orders GROUP BY ALL")(lambda t: rounded(t("orders").groupby("o_orderpriority").std(), 4))
+query("groupby_size", "SELECT n_regionkey, count(*) AS count FROM nation GROUP BY ALL")(lambda t: t("nation").groupby("n_regionkey").size())
+query("describe_text", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({c}) AS count, count(DISTINCT {c}) AS \"unique\", (SELECT {c} FROM {s} WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS top, (SELECT count(*) FROM {s} WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY 1 DESC LIMIT 1) AS freq FROM {s}" for s, c in (("part", "p_brand"), ("part", "p_type"))))(lambda t: t("part")[["p_brand", "p_type"]].describe())
+query("describe_text_nulls", f"SELECT 's' AS \"column\", count(s) AS count, count(DISTINCT s) AS \"unique\", (SELECT s FROM {NULLS} WHERE s IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS top, (SELECT count(*) FROM {NULLS} WHERE s IS NOT NULL GROUP BY s ORDER BY 1 DESC LIMIT 1) AS freq FROM {NULLS}")(lambda t: _with_nulls(t)[["s"]].describe_text())
+query("info", "SELECT 'n_nationkey' AS \"column\", 'int' AS type, count(n_nationkey) AS count FROM nation UNION ALL SELECT 'n_name', 'string', count(n_name) FROM nation")(lambda t: t("nation")[["n_nationkey", "n_name"]].info())
+
+
+def _indexed(t, cols=("o_totalprice",)):
+    f = t("orders")[["o_orderkey", *cols]]
+    f.index = "o_orderkey"
+    return f
+
+
+for _k, _sql in {"cumsum": "round(sum(o_totalprice) OVER (ORDER BY o_orderkey), 2)", "cummax": "max(o_totalprice) OVER (ORDER BY o_orderkey)", "cummin": "min(o_totalprice) OVER (ORDER BY o_orderkey)", "cummean": "round(avg(o_totalprice) OVER (ORDER BY o_orderkey), 2)"}.items():
+    query(_k, f"SELECT o_orderkey, {_sql} AS o_totalprice FROM orders")(lambda t, k=_k: rounded(getattr(_indexed(t), k)().df, 2))
+query("cumsum_nulls", f"SELECT o_orderkey, round(sum(x) OVER (ORDER BY o_orderkey), 2) AS x FROM {NULLS} WHERE o_orderkey IS NOT NULL")(lambda t: rounded(_null_sums(t).df, 2))
+query("cumprod", "SELECT r_regionkey, product(r_regionkey + 1) OVER (ORDER BY r_regionkey) AS n FROM region")(lambda t: _products(t).df)
+
+
+def _null_sums(t):
+    f = _with_nulls(t).delete_na("o_orderkey")[["o_orderkey", "x"]]
+    f.index = "o_orderkey"
+    return f.cumsum()
+
+
+def _products(t):
+    f = t("region")[["r_regionkey"]]
+    f["n"] = f["r_regionkey"] + 1
+    f.index = "r_regionkey"
+    return f.cumprod()

@@ -5,6 +5,7 @@ There are no transactions: commit() and rollback() do nothing. Table names have
 
 from __future__ import annotations
 
+import math
 import re
 import uuid
 
@@ -62,7 +63,12 @@ class Database:
     def close(self) -> None:
         """The session stays: others may use it."""
 
-    reconnect = commit = rollback = close
+    commit = rollback = close
+
+    def reconnect(self) -> None:
+        """Go on with the running session, or with a new one of the same settings if it has ended."""
+        if self.spark.sparkContext._jsc is None or self.spark.sparkContext._jsc.sc().isStopped():
+            self.spark = SparkSession.builder.getOrCreate()
 
     # Catalog
 
@@ -124,7 +130,60 @@ class Database:
     def frame(self, table: str, index: str | None = None) -> Frame:
         if self._kind(table) is None:
             raise NameError(f"{table} does not exist")
-        return Frame(self.spark.table(table), index=index)
+        out = Frame(self.spark.table(table), index=index)
+        out.database, out.table = self, table
+        return out
+
+    def get_primary_key(self, table: str) -> str | None:
+        """The key that upload() was given, from the table's properties."""
+        self._need(table, "table")
+        return self._properties(table).get("lakemill.primary_key")
+
+    def _properties(self, table: str) -> dict[str, str]:
+        return {r["key"]: r["value"] for r in self.spark.sql(f"SHOW TBLPROPERTIES {checked(table)}").collect()}  # a few settings
+
+    def analyze(self, table: str, buckets: int = 254) -> None:
+        """Let the catalog keep statistics of the table and all its columns, with histograms."""
+        self._need(table, "table")
+        was = {k: self.spark.conf.get(k) for k in ("spark.sql.statistics.histogram.enabled", "spark.sql.statistics.histogram.numBins")}
+        try:
+            self.spark.conf.set("spark.sql.statistics.histogram.enabled", "true")
+            self.spark.conf.set("spark.sql.statistics.histogram.numBins", str(buckets))
+            self.spark.sql(f"ANALYZE TABLE {table} COMPUTE STATISTICS FOR ALL COLUMNS")
+        finally:
+            for k, v in was.items():
+                self.spark.conf.set(k, v)
+
+    def entropy_stats(self, table: str, columns: list[str] | None = None, mode: str = "normal") -> DataFrame:
+        """column, entropy: from the catalog's statistics alone, without reading the table (analyze() makes them).
+
+        An approximation from above: the values of a histogram's bin, or of a column without one, count as equally frequent. Columns without
+        statistics have a null.
+        """
+        if mode not in ("normal", "raw"):
+            raise ValueError("mode must be 'normal' or 'raw'")
+        self._need(table, "table")
+        about = self.spark.sql(f"DESCRIBE EXTENDED {table}").where("col_name = 'Statistics'").first()
+        rows = int((about and re.search(r"(\d+) rows", about["data_type"]) or "00")[1])
+        out = []
+        for c in columns or self.spark.table(table).columns:
+            kept = {r["info_name"]: r["info_value"] for r in self.spark.sql(f"DESCRIBE EXTENDED {table} `{c}`").collect()}
+            distinct, nulls = kept.get("distinct_count"), kept.get("num_nulls")
+            if distinct in (None, "NULL") or not rows:
+                out.append((c, None))
+                continue
+            n = rows - int(nulls)
+            text = "\n".join(f"{k} {v}" for k, v in kept.items())
+            height = re.search(r"height: ([0-9.Ee+-]+)", text)
+            sizes: dict[tuple, float] = {}
+            for k, (low, high, d) in enumerate(re.findall(r"lower_bound: (\S+), upper_bound: (\S+), distinct_count: (\d+)", text)):
+                # A value that fills several bins is one value.
+                key = (low,) if low == high else (low, high, k, max(int(d), 1))
+                sizes[key] = sizes.get(key, 0.0) + float(height[1])
+            groups = [(m / k[3], k[3]) if len(k) > 1 else (m, 1) for k, m in sizes.items()] or [(n / max(int(distinct), 1), int(distinct))]
+            raw = -sum(many * a * math.log(a) for a, many in groups if a > 0)
+            out.append((c, raw if mode == "raw" else (raw / n + math.log(n)) / math.log(2) if n else 0.0))
+        return self.spark.createDataFrame(out, "column string, entropy double")
 
     def query(self, sql: str, first_row_only: bool = False):
         """A frame, a series for one column, or the first row as a tuple."""
@@ -153,6 +212,9 @@ class Database:
             raise PrimaryKeyError(f"{primary_key} is not unique")
         self._free(table, clear_existing)
         self._from_pandas(pdf).write.saveAsTable(checked(table))
+        if primary_key is not None:
+            key = primary_key.replace("'", "\\'")
+            self.spark.sql(f"ALTER TABLE {table} SET TBLPROPERTIES ('lakemill.primary_key' = '{key}')")
         return self.frame(table, index or primary_key)
 
     def _from_pandas(self, pdf, schema: T.StructType | None = None) -> DataFrame:

@@ -1,3 +1,5 @@
+import math
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -5,7 +7,9 @@ from pyspark.sql import functions as F
 from lakemill.operators.association import AssociationRules
 from lakemill.operators.kmeans import KMeans
 from lakemill.operators.naive_bayes import NaiveBayes
+from lakemill.plans.frame import LakemillError
 from lakemill.sources.catalog import Database, PrimaryKeyError
+from lakemill.sources.samples import read_sample
 
 
 @pytest.fixture()
@@ -102,3 +106,41 @@ def test_association_rules(spark):
     assert m.predict(d, type="patterns", sort="length;support").where("tid = 0").first()["length"] == 3
     with pytest.raises(ValueError):
         AssociationRules(minconf=2)
+
+
+def test_keys_statistics_and_samples(db, tmp_path):
+    pdf = pd.DataFrame({"id": range(64), "v": [i % 8 for i in range(64)], "s": ["ab"[i % 2] for i in range(64)]})
+    f = db.upload(pdf, "t_key", clear_existing=True, primary_key="id")
+    assert f.get_primary_key() == "id" and f.exists() and f.is_table() and not f.is_view()
+    assert [r["entropy"] for r in db.entropy_stats("t_key").collect()] == [None, None, None]
+    db.analyze("t_key")
+    got = {r["column"]: r["entropy"] for r in db.entropy_stats("t_key").collect()}
+    assert got["s"] == pytest.approx(1) and got["v"] == pytest.approx(3, abs=0.3) and got["id"] > 5.7
+    assert db.entropy_stats("t_key", ["s"], "raw").first()["entropy"] == pytest.approx(-64 * math.log(32))
+    db.drop_table("t_key")
+    db.reconnect()
+    assert db.scalar_query("SELECT 1") == 1
+    with pytest.raises(LakemillError):
+        db.query("SELECT 1 AS a, 2 AS b").exists()
+    (tmp_path / "iris.csv").write_text("sepal_length,sepal_width,petal_length,petal_width,species\n5.1,3.5,1.4,0.2,setosa\n")
+    assert read_sample(db.spark, "iris", str(tmp_path / "iris.csv")).df.first()["species"] == "setosa"
+    with pytest.raises(ValueError):
+        read_sample(db.spark, "other", "x")
+
+
+def test_rows_without_inputs_have_a_result(spark):
+    d = spark.createDataFrame([(1, 1.0, "a", "L"), (2, 9.0, "b", "H"), (2, 9.5, "b", "H"), (3, None, None, "H"), (3, 1.0, "a", "L")], "ID long, x double, s string, t string")
+    got = sorted((r["ID"], r["CLASS"]) for r in NaiveBayes(bins=2).fit(d, "t").predict(d).collect())
+    assert got == [(1, "L"), (2, "H"), (2, "H"), (3, "H"), (3, "L")]
+    k = KMeans(2).fit(d, "ID", ["x", "s"])
+    rows = k.predict(d).collect()
+    assert len(rows) == 5 and [r["ID"] for r in rows if r["CLUSTER_ID"] is None] == [3]
+    by = {r["s"]: r["CLUSTER_ID"] for r in KMeans(2, max_iter=20).fit(d, "ID", ["s"]).predict(d).join(d, "ID").where("ID < 3").collect()}
+    assert len(by) == len(set(by.values())) == 2
+
+
+def test_items_with_commas_are_kept_apart(spark):
+    rows = [(t, i) for t in range(10) for i in (["a,b", "c"] if t % 2 else ["a", "b,c"])]
+    m = AssociationRules(minsupport=0.1, minconf=0.5).fit(spark.createDataFrame(rows, "tid long, item string"), "tid", "item")
+    got = m.predict(spark.createDataFrame(rows, "tid long, item string"), limit=10)
+    assert got.groupBy("tid").count().agg(F.max("count")).first()[0] == 2

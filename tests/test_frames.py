@@ -1,6 +1,7 @@
 """Frames, statistics and relevance against Pandas on small tables with nulls, ties and constants."""
 
 import math
+import random
 
 import pandas as pd
 import pytest
@@ -152,3 +153,60 @@ def test_cuts_by_description_length_lie_between_neighbours(spark):
     # More distinct values than were looked at before; the class changes between 7000 and 7001, and at 12345.
     d = spark.range(20_000).select(F.col("id").cast("double").alias("v"), F.when(F.col("id") <= 7000, "a").when(F.col("id") <= 12_345, "b").alias("c"))
     assert discretize.cuts(d, ["v"], "em", target="c") == {"v": [7000.5, 12345.5]}
+
+
+def test_running_aggregates(spark):
+    rng = random.Random(8)
+    data = [(i, None if rng.random() < 0.3 else rng.randint(1, 9), rng.random()) for i in range(200)]
+    f = Frame(spark.createDataFrame(data, "id long, x int, y double").repartition(7), index="id")
+    want, so_far = {}, []
+    for i, x, _ in data:
+        so_far += [x] if x is not None else []
+        want[i] = (sum(so_far), max(so_far), sum(so_far) / len(so_far)) if so_far else (None, None, None)
+    got = [{r["id"]: r["x"] for r in of.df.collect()} for of in (f.cumsum(), f.cummax(), f.cummean())]
+    for i, values in want.items():
+        assert tuple(g[i] for g in got) == pytest.approx(values)
+    back = f.sort("y", ascending=False)["x"].cumsum()
+    assert [r["x"] for r in back.spark().collect()][-1] == sum(x for _, x, _ in data if x is not None)
+    with pytest.raises(TypeError):
+        Frame(spark.createDataFrame([("a",)], "s string")).cumsum()
+
+
+def test_grouping_and_text(spark):
+    f = Frame(spark.createDataFrame([("a", 1, None), ("a", 3, "u"), (None, 5, "u"), ("b", None, "v")], "k string, x int, s string"))
+    got = {r["k"]: (r["x_sum"], r["s_nunique"]) for r in f.groupby("k").agg({"x": "sum", "s": ["nunique"]}).collect()}
+    assert got == {"a": (4, 1), None: (5, 1), "b": (None, 1)}
+    assert {r["k"]: r["count"] for r in f.groupby(["k"]).size().collect()} == {"a": 2, None: 1, "b": 1}
+    for bad in ({"nope": "sum"}, {"x": "nope"}):
+        with pytest.raises(ValueError):
+            f.groupby("k").agg(bad)
+    with pytest.raises(TypeError):
+        f.groupby("k").agg({"s": "mean"})
+    text = {r["column"]: tuple(r)[1:] for r in f[["k", "s"]].describe().collect()}
+    assert text == {"k": (3, 2, "a", 2), "s": (3, 2, "u", 2)}
+    assert {r["column"]: r["count"] for r in f.info().collect()} == {"k": 3, "x": 3, "s": 3}
+
+
+def test_null_order(spark):
+    f = Frame(spark.createDataFrame([(i, x) for i, x in enumerate([3, None, 1, None, 2])], "id int, x int"))
+    order = lambda **k: [r["x"] for r in f.sort("x", **k).spark().collect()]
+    assert order() == [1, 2, 3, None, None] and order(nulls="first") == [None, None, 1, 2, 3]
+    assert order(ascending=False) == [None, None, 3, 2, 1] and order(ascending=False, nulls="last") == [3, 2, 1, None, None]
+    with pytest.raises(ValueError):
+        f.sort("x", nulls="middle")
+
+
+def test_tools(spark, capsys):
+    from lakemill.plans import tools
+
+    f = Frame(spark.range(700).toDF("id"))
+    assert len(tools.to_nk(f, 1)) == 1000 and len(tools.to_nk(Frame(spark.range(1500).toDF("id")), 1)) == 1000
+    assert tools.to_nk(f, 1).df.distinct().count() == 700
+    assert tools.extend_dataset(f, 2).columns == ["id", "id_extended_2", "id_extended_1"]
+    assert [list(x) for x in tools.chunklist([1, 2, 3], 2)] == [[1, 2], [3]]
+    tools.set_verbose(True)
+    assert tools.timed(lambda: 5)() == 5 and "seconds" in capsys.readouterr().out
+    assert tools.silent(tools.timed(lambda: 6))() == 6 and not capsys.readouterr().out
+    tools.set_verbose(False)
+    with pytest.raises(ValueError):
+        tools.set_autocommit(1)
