@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import cut, is_empty, new_path, row_parts
 from .tokens import encoder
 
+#: Words whose ids a task remembers, in each of two generations.
+WORDS = 400_000
 #: Documents of one token file, about.
 DOCS_A_FILE = 100_000
 
@@ -98,7 +100,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, width: int | None = None
         part, lengths, ids = TaskContext.get().partitionId(), [], []
 
         def chunks() -> Iterator[bytes]:
-            enc, end = encoder(tokenizer, spaces), np.asarray([end_id], "<u4").tobytes()
+            enc, end = encoder(tokenizer, spaces, WORDS), np.asarray([end_id], "<u4").tobytes()
             for b in batches:
                 ids.append(b.column(0))
                 for a in range(0, b.num_rows, 256):

@@ -11,8 +11,8 @@ from array import array
 from collections.abc import Callable
 from functools import lru_cache
 
-#: Words kept in one generation of the memory; two generations are held.
-MEMORY = 400_000
+#: Words kept in one generation of the memory; two generations are held, about 250 bytes a word each.
+MEMORY = 200_000
 
 #: Texts with other white space, control characters or the start of a special token are encoded in one piece.
 _PLAIN = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f\x85\xa0  -     　]|<\\|")
@@ -52,7 +52,7 @@ class _Memory(dict):
 class Encoder:
     """Ids as little-endian unsigned 32-bit bytes. path: a tokenizers file; spaces: a key of _WORDS."""
 
-    def __init__(self, path: str, spaces: str) -> None:
+    def __init__(self, path: str, spaces: str, memory: int = MEMORY) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -61,17 +61,20 @@ class Encoder:
         self.plain = re.compile(f" ?{_LETTERS}").fullmatch
         self.letters = _byte_letters()
         self.find = _WORDS[spaces].findall
-        self.words = _Memory(self._ids, {})
+        self.words, self.most = _Memory(self._ids, {}), memory
 
     def _ids(self, text: str) -> bytes:
         """Words of Latin letters go to the merges at once, without the search for word boundaries; others to the whole tokenizer."""
-        if not self.plain(text):
-            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        key = text.lower() if self.lower else text
-        if key.isascii():
-            key = key.replace(" ", "\u0120")
-        else:
-            key = key.encode().decode("latin-1").translate(self.letters)
+        spaced = text[0] == " "
+        bare = text[1:] if spaced else text
+        if bare.isascii() and bare.isalpha():
+            key = f"\u0120{bare}" if spaced else bare
+            return self._merged(key.lower() if self.lower else key)
+        if self.plain(text):
+            return self._merged((text.lower() if self.lower else text).encode().decode("latin-1").translate(self.letters))
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _merged(self, key: str) -> bytes:
         return array("I", [t.id for t in self.merge(key)]).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -83,7 +86,7 @@ class Encoder:
             elif _PLAIN.search(text):
                 out.append(array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes())
             else:
-                if len(self.words) > MEMORY:
+                if len(self.words) > self.most:
                     self.words.before = {}
                     self.words = _Memory(self._ids, self.words)
                 out.append(b"".join(map(self.words.__getitem__, self.find(text))))
@@ -91,9 +94,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, spaces: str) -> Encoder:
+def encoder(path: str, spaces: str, memory: int = MEMORY) -> Encoder:
     """One encoder a worker."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return Encoder(path, spaces)
+    return Encoder(path, spaces, memory)

@@ -10,7 +10,7 @@ by a logistic curve fitted to the examples themselves, each left out of its own
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Collection, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,10 +33,10 @@ LONG = 1 / 8
 #: Texts that are searched for together.
 TOGETHER = 256
 #: Words whose terms are remembered.
-MEMORY = 600_000
+MEMORY = 250_000
 
 _WORD = re.compile(r"[^\W\d_]+")
-_STEMS = (4, 5, 6)
+_STEMS = (4, 6)
 
 
 def words(text: str) -> list[str]:
@@ -44,7 +44,7 @@ def words(text: str) -> list[str]:
 
 
 def terms_of(word: str) -> list[str]:
-    """The word and, marked, its first 4 to 6 letters where it is longer."""
+    """The word and, marked, its first 4 and 6 letters where it is longer."""
     return [word, *(f"^{word[:k]}" for k in _STEMS if len(word) > k)]
 
 
@@ -83,9 +83,15 @@ class Vectorizer:
         self.__dict__.update(state)
         self.__post_init__()
 
+    def present(self, text: str | None) -> np.ndarray:
+        """Numbers of the terms that the text has, ascending."""
+        return self._counted({*words(text)} if text else ())[0]
+
     def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Term numbers, ascending, and how often the text has each."""
-        ws = words(text) if text else []
+        return self._counted(words(text) if text else ())
+
+    def _counted(self, ws: Collection[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self._words) > MEMORY:
             self._words = _Words(self.terms)
         rows = np.fromiter(map(self._words.__getitem__, ws), np.int64, len(ws))
@@ -203,14 +209,18 @@ class Model:
         return [got[t] for t in texts]
 
 
+#: The pull of the calibration's slope to 1 and its offset to 0, in examples.
+RIDGE = 1.0
+
+
 def _fit_curve(z: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
-    """Logistic regression in one variable with a small ridge, by Newton steps. The slope is never negative."""
+    """Logistic regression in one variable with a ridge, by Newton steps. The slope is never negative."""
     a, b = 1.0, 0.0
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * z + b, -50, 50)))
-        g = np.asarray([(w * (p - y) * z).sum() + 1e-2 * (a - 1), (w * (p - y)).sum() + 1e-2 * b])
+        g = np.asarray([(w * (p - y) * z).sum() + RIDGE * (a - 1), (w * (p - y)).sum() + RIDGE * b])
         r = w * p * (1 - p)
-        h = np.asarray([[(r * z * z).sum() + 1e-2, (r * z).sum()], [(r * z).sum(), r.sum() + 1e-2]])
+        h = np.asarray([[(r * z * z).sum() + RIDGE, (r * z).sum()], [(r * z).sum(), r.sum() + RIDGE]])
         step = np.linalg.solve(h, g)
         a, b = a - step[0], b - step[1]
         if abs(step).max() < 1e-8:
@@ -284,7 +294,7 @@ def _idf(rows: DataFrame, vec: Vectorizer) -> np.ndarray:
                 texts = b.column(0).slice(a, TOGETHER).to_pylist()
                 n += len(texts)
                 for text in texts:
-                    seen[sent.value.counts(text)[0]] += 1
+                    seen[sent.value.present(text)] += 1
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array([-1, *at.tolist()], pa.int64()), pa.array([n, *seen[at].tolist()], pa.int64())], ["term", "n"])
 
@@ -301,7 +311,7 @@ def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text"
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*keep, F.col(text_col).alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", score double, predicted int, evidence array<long>"
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]], "score double, predicted int, evidence array<long>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
