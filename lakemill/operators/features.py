@@ -146,6 +146,10 @@ def pearson(df: DataFrame, target=None, features=None, index: str | None = None)
     return one.select(F.explode(F.array(*[F.struct(F.lit(x).alias("feature"), F.lit(y).alias("target"), F.col(f"p{k}").alias("pearson")) for k, (x, y) in enumerate(pairs)])).alias("s")).select("s.*")
 
 
+#: Distinct values of a column whose ranks (16 bytes each) are broadcast.
+BROADCAST_VALUES = 500_000
+
+
 def spearman(df: DataFrame, target: str, features: Sequence[str] | None = None, ties: str = "min") -> DataFrame:
     """feature, target, spearman: Pearson's correlation of ranks; equal values share the smallest rank ('min') or the mean one ('average').
 
@@ -168,6 +172,7 @@ def spearman(df: DataFrame, target: str, features: Sequence[str] | None = None,
         before = F.coalesce(F.sum("n").over(W.partitionBy("part").orderBy("v").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + F.col("base")
         rank = before + 1 if ties == "min" else before + (F.col("n") + 1) / 2
         ranks = dealt.join(base, "part").select(F.col("v").alias(v), rank.cast("double").alias(f"r{k}"))
-        out = out.join(ranks, v, "left")
+        # Ranks of up to a bounded number of values go to every task; beyond it both sides meet by value, where AQE splits values that many rows have.
+        out = out.join(F.broadcast(ranks) if dealt.count() <= BROADCAST_VALUES else ranks, v, "left")
     one = out.agg(*[correlation(F.col(f"r{k + 1}"), F.col("r0")).alias(f"p{k}") for k in range(len(cols))])
     return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(target).alias("target"), F.col(f"p{k}").alias("spearman")) for k, c in enumerate(cols)])).alias("s")).select("s.*")

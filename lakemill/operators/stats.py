@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 #: Ranks that an approximate percentile may be off by, as a share: exact percentiles sort only that much of a column.
 ACCURACY = 2000
+#: Values that are sorted for one percentile, at most, unless few distinct ones hold more.
+IN_BRACKET = 100_000
 
 
 def name(c: str) -> Column:
@@ -71,8 +73,8 @@ def stat(df: DataFrame, which: str, columns: Sequence[str] | None = None) -> Dat
 def percentiles(df: DataFrame, qs: Sequence[float], columns: Sequence[str] | None = None, interpolation: str = "midpoint") -> DataFrame:
     """A row for each column and q: column, q, value.
 
-    With n values in order and p = q(n-1)+1, 'midpoint' is the mean of those at floor(p) and ceil(p); 'linear' weighs them. An approximate
-    percentile brackets each place first, so only values within its error bound, counted by value, are sorted. Small columns are their own bracket.
+    With n values in order and p = q(n-1)+1, 'midpoint' is the mean of those at floor(p) and ceil(p); 'linear' weighs them. Approximate
+    percentiles bracket each place, again and again until at most IN_BRACKET values are inside; only those, counted by value, are sorted.
     """
     for q in qs:
         if isinstance(q, bool) or not isinstance(q, (int, float)):
@@ -82,34 +84,55 @@ def percentiles(df: DataFrame, qs: Sequence[float], columns: Sequence[str] | Non
     cols = need_numeric(df, columns)
     if not cols:
         raise TypeError("no numeric column")
-    slack = 2.0 / ACCURACY
-    ends = [max(0.0, q - slack) for q in qs] + [min(1.0, q + slack) for q in qs]
-    got = df.agg(*[F.struct(F.count(name(c)).alias("n"), F.percentile_approx(name(c).cast("double"), F.lit(ends), ACCURACY * 2).alias("at")).alias(f"c{k}") for k, c in enumerate(cols)]).first()
-    places = []
-    for k, c in enumerate(cols):
-        n, at = got[f"c{k}"]["n"], got[f"c{k}"]["at"]
-        for j, q in enumerate(qs):
-            if n:
-                p = q * (n - 1) + 1
-                # The bound holds for ranks; below two ranks it says nothing.
-                low, high = (at[j], at[len(qs) + j]) if n * slack >= 2 else (-math.inf, math.inf)
-                places.append((c, float(q), math.floor(p), math.ceil(p), p - math.floor(p), low, high))
-            else:
-                places.append((c, float(q), None, None, None, None, None))
+    # Columns as c0, c1, ...: what follows is written as SQL text, which is built much faster than many small expressions.
+    d = df.select(*[name(c).cast("double").alias(f"c{k}") for k, c in enumerate(cols)])
+    counts = d.selectExpr(*[f"count(c{k})" for k in range(len(cols))]).first()
+    places = [_Place(k, float(q), n) for k, n in enumerate(counts) for q in qs]
+    while wide := [p for p in places if p.inside > IN_BRACKET]:
+        ends = d.selectExpr(*[f"percentile_approx(CASE WHEN {p.holds()} THEN c{p.col} END, array({p.ends()}), {2 * ACCURACY})" for p in wide]).first()
+        kept = d.selectExpr(*[f"count_if(c{p.col} < {_sql(e[0])})" for p, e in zip(wide, ends, strict=True)], *[f"count_if(c{p.col} >= {_sql(e[0])} AND c{p.col} <= {_sql(e[1])})" for p, e in zip(wide, ends, strict=True)]).first()
+        for p, (low, high), below, inside in zip(wide, ends, kept[: len(wide)], kept[len(wide) :], strict=True):
+            p.narrow(low, high, below, inside)
     spark = df.sparkSession
-    schema = "column string, q double, lo long, hi long, part double, low double, high double"
-    # Counts below each bracket and by value inside it: the rows that reach the shuffle are those inside.
-    inside = F.flatten(F.array(*[F.array(F.struct(F.lit(i).alias("i"), F.when(name(c).cast("double") >= lo_v, name(c).cast("double")).alias("v"), F.lit(hi_v).alias("high"))) if lo_v is not None else F.array().cast("array<struct<i:int,v:double,high:double>>") for i, (c, _, _, _, _, lo_v, hi_v) in enumerate(places)]))
-    null = F.flatten(F.array(*[F.when(name(c).isNotNull(), F.array(F.lit(i))).otherwise(F.array().cast("array<int>")) for i, (c, *_) in enumerate(places)]))
-    flat = df.select(inside.alias("x"), null.alias("has")).select(F.explode(F.filter("x", lambda s: F.array_contains(F.col("has"), s["i"]) & (s["v"].isNull() | (s["v"] <= s["high"])))).alias("s"))
-    counts = flat.groupBy(F.col("s.i").alias("i"), F.col("s.v").alias("v")).agg(F.count("*").alias("n"))
-    upto = W.partitionBy("i").orderBy(F.col("v").asc_nulls_first())
-    ranked = counts.withColumn("upto", F.sum("n").over(upto)).where("v is not null")
-    ks = spark.createDataFrame([(i, *p) for i, p in enumerate(places)], f"i int, {schema}")
-    hit = ranked.join(F.broadcast(ks.drop("column", "q")), "i").groupBy("i").agg(F.min(F.when(F.col("upto") >= F.col("lo"), F.col("v"))).alias("a"), F.min(F.when(F.col("upto") >= F.col("hi"), F.col("v"))).alias("b"))
-    out = ks.join(hit, "i", "left")
+    asked = [p for p in places if p.n]
+    schema = "i int, column string, q double, lo long, hi long, part double, value double"
+    known = spark.createDataFrame([(i, cols[p.col], p.q, p.lo - p.below, p.hi - p.below, p.part, p.low if p.low == p.high else None) for i, p in enumerate(places)], schema)
+    search = [(i, p) for i, p in enumerate(places) if p in asked and p.low != p.high]
+    if not search:
+        return known.select("column", "q", "value")
+    flat = d.where(" OR ".join(f"({p.holds()})" for _, p in search)).selectExpr("inline(array_compact(array(" + ", ".join(f"CASE WHEN {p.holds()} THEN struct({i} AS i, c{p.col} AS v) END" for i, p in search) + ")))")
+    ranked = flat.groupBy("i", "v").agg(F.count("*").alias("n")).withColumn("upto", F.sum("n").over(W.partitionBy("i").orderBy("v")))
+    hit = ranked.join(F.broadcast(known.drop("column", "q", "value")), "i").groupBy("i").agg(F.min(F.when(F.col("upto") >= F.col("lo"), F.col("v"))).alias("a"), F.min(F.when(F.col("upto") >= F.col("hi"), F.col("v"))).alias("b"))
     value = (F.col("a") + F.col("b")) / 2 if interpolation == "midpoint" else F.col("a") + (F.col("b") - F.col("a")) * F.col("part")
-    return out.select("column", "q", value.alias("value"))
+    return known.join(hit, "i", "left").select("column", "q", F.coalesce("value", value).alias("value"))
+
+
+def _sql(v: float) -> str:
+    return f"double('{v!r}')"
+
+
+class _Place:
+    """Where the q-th value of a column with n values is: ranks lo and hi, of which `below` are less than low, in the bracket low to high."""
+
+    def __init__(self, col: int, q: float, n: int) -> None:
+        p = q * (n - 1) + 1
+        self.col, self.q, self.n, self.lo, self.hi, self.part = col, q, n, math.floor(p), math.ceil(p), p - math.floor(p)
+        self.low, self.high, self.below, self.inside = -math.inf, math.inf, 0, n
+
+    def holds(self) -> str:
+        return " AND ".join([f"c{self.col} IS NOT NULL", *([f"c{self.col} >= {_sql(self.low)}"] if self.low > -math.inf else []), *([f"c{self.col} <= {_sql(self.high)}"] if self.high < math.inf else [])])
+
+    def ends(self) -> str:
+        """Shares of the values inside between which the place is: an approximate percentile is off by one ACCURACY-th at most."""
+        slack = 2.0 / ACCURACY
+        return f"{max(0.0, (self.lo - self.below) / self.inside - slack):.17f}D, {min(1.0, (self.hi - self.below) / self.inside + slack):.17f}D"
+
+    def narrow(self, low: float, high: float, below: int, inside: int) -> None:
+        """A bracket that many equal values fill can't be narrowed: it ends where they are all that is left, or stays as it is."""
+        if not below < self.lo or below + inside < self.hi or (low, high) == (self.low, self.high):
+            self.inside = 0
+            return
+        self.low, self.high, self.below, self.inside = low, high, below, inside if low < high else 0
 
 
 def describe(df: DataFrame, qs: Sequence[float] = (0.25, 0.5, 0.75), columns: Sequence[str] | None = None) -> DataFrame:
@@ -160,19 +183,24 @@ def _pairs(df: DataFrame, columns: Sequence[str] | None) -> list[tuple[str, str]
     return list(combinations_with_replacement(cols, 2))
 
 
+def _quoted(c: str) -> str:
+    return "`" + c.replace("`", "``") + "`"
+
+
 def _long(df: DataFrame, pairs: list[tuple[str, str]], of, label: str) -> DataFrame:
-    """One aggregate for all pairs, then a row for each ordered pair."""
-    one = df.agg(*[of(a, b).alias(f"p{k}") for k, (a, b) in enumerate(pairs)])
-    cells = [F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.col(f"p{k}").alias(label)) for k, (a, b) in enumerate(pairs) for x, y in dict.fromkeys([(a, b), (b, a)])]
-    return one.select(F.explode(F.array(*cells)).alias("s")).select("s.*")
+    """One aggregate for all pairs, then a row for each ordered pair. of: SQL text for two quoted columns."""
+    one = df.selectExpr(*[f"{of(_quoted(a), _quoted(b))} AS p{k}" for k, (a, b) in enumerate(pairs)])
+    text = lambda v: "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    cells = [f"struct({text(x)} AS x, {text(y)} AS y, p{k} AS {label})" for k, (a, b) in enumerate(pairs) for x, y in dict.fromkeys([(a, b), (b, a)])]
+    return one.selectExpr(f"inline(array({', '.join(cells)}))")
 
 
 def cov(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """x, y, cov: the population covariance of complete pairs, times m/(m-1) with m the smaller count of values."""
 
-    def of(a: str, b: str) -> Column:
-        m = F.least(F.count(name(a)), F.count(name(b)))
-        return F.try_multiply(F.covar_pop(name(a).cast("double"), name(b).cast("double")), F.try_divide(m, m - 1))
+    def of(a: str, b: str) -> str:
+        m = f"least(count({a}), count({b}))" if a != b else f"count({a})"
+        return f"try_multiply(covar_pop(double({a}), double({b})), try_divide({m}, {m} - 1))"
 
     return _long(df, _pairs(df, columns), of, "cov")
 
@@ -186,7 +214,14 @@ def correlation(a: Column, b: Column) -> Column:
 
 def corr(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """x, y, corr: 1 on the diagonal, null where undefined."""
-    return _long(df, _pairs(df, columns), lambda a, b: F.lit(1.0) if a == b else correlation(name(a), name(b)), "corr")
+
+    def of(a: str, b: str) -> str:
+        if a == b:
+            return "1.0D"
+        x, y = f"CASE WHEN {b} IS NOT NULL THEN double({a}) END", f"CASE WHEN {a} IS NOT NULL THEN double({b}) END"
+        return f"try_divide(covar_pop({x}, {y}), stddev_pop({x}) * stddev_pop({y}))"
+
+    return _long(df, _pairs(df, columns), of, "corr")
 
 
 def mad(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

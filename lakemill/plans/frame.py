@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from ..operators import features, stats
 from ..operators.stats import name
@@ -457,7 +458,8 @@ class Frame:
         from .shared import prefix_sums
 
         ranks = prefix_sums(placed, "__p", "__c", "rank").select("__v", (F.col("rank") + 1).alias("rank"))
-        return Frame(d.join(ranks, name(c).eqNullSafe(F.col("__v"))).drop("__v"))
+        few = isinstance(d.schema[c].dataType, NumericType) and placed.count() <= features.BROADCAST_VALUES
+        return Frame(d.join(F.broadcast(ranks) if few else ranks, name(c).eqNullSafe(F.col("__v"))).drop("__v"))
 
     def corrwith(self, other: str) -> DataFrame:
         return features.pearson(self.df, other)

@@ -210,3 +210,17 @@ def test_tools(spark, capsys):
     tools.set_verbose(False)
     with pytest.raises(ValueError):
         tools.set_autocommit(1)
+
+
+@pytest.mark.parametrize("most", [5, 60, 10_000])
+def test_percentiles_by_narrowing(spark, monkeypatch, most):
+    monkeypatch.setattr(stats, "IN_BRACKET", most)
+    rng = random.Random(3)
+    data = [(None if rng.random() < 0.1 else rng.gauss(0, 1), rng.choice([1, 2, 2, 2, 7]), float(i)) for i in range(3000)]
+    pdf = pd.DataFrame(data, columns=["x", "t", "u"])
+    qs = [0.001, 0.25, 0.5, 0.731, 0.999]
+    for how in ("midpoint", "linear"):
+        got = {(r["column"], r["q"]): r["value"] for r in stats.percentiles(spark.createDataFrame(data, "x double, t int, u double").repartition(5), qs, None, how).collect()}
+        for c in pdf:
+            for q in qs:
+                assert got[c, q] == pytest.approx(pdf[c].quantile(q, interpolation=how)), (c, q, how)
