@@ -107,10 +107,39 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and one of control strings, formatted and read back."""
     own = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    odd = spark.createDataFrame([(-1, k, role, "</s>[INST] ok [/INST]") for k, role in enumerate(("user", "assistant"))], own.schema)
+    odd = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
     return chat.digests(chat.windows(own.union(odd)))
 
 
+#: For conversations of one chunk, as those of the tables are.
+OP4_SQL = r"""
+WITH t0 AS (
+  SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), t1 AS (
+  SELECT *, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) + 4 AS tokens, row_number() OVER w AS pos,
+    13 + length(role) + length(regexp_replace(role, '[^&<\[|]', '', 'g')) + length(text) + length(regexp_replace(text, '[^&<\[|]', '', 'g')) AS chars
+  FROM t0 WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+), t2 AS (
+  SELECT *, coalesce(sum(tokens) OVER (p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+    CASE WHEN first_value(role) OVER p = 'system' THEN first_value(tokens) OVER p END AS held, CASE WHEN first_value(role) OVER p = 'system' THEN first_value(chars) OVER p END AS held_chars
+  FROM t1 WINDOW p AS (PARTITION BY conv_id ORDER BY pos)
+), t3 AS (SELECT *, greatest(1024 - 256 - coalesce(held, 0), 256) AS room, tokens > greatest(1024 - 256 - coalesce(held, 0), 256) // 2 AS solo FROM t2),
+t4 AS (
+  SELECT *, (before // greatest(room - coalesce(max(tokens) FILTER (NOT solo) OVER (PARTITION BY conv_id), 0), 1)) || '/' || solo || '/'
+    || coalesce(sum(solo::INT) OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS span FROM t3
+), t5 AS (SELECT *, span IS DISTINCT FROM lag(span) OVER (PARTITION BY conv_id ORDER BY pos) AS starts FROM t4),
+t6 AS (
+  SELECT *, coalesce(lead(starts, 1) OVER p, false) AND tokens <= 256 AS back1, coalesce(lead(starts, 2) OVER p, false) AND tokens + lead(tokens, 1) OVER p <= 256 AS back2
+  FROM t5 WINDOW p AS (PARTITION BY conv_id ORDER BY pos)
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(chars + CASE WHEN starts AND pos > 1 AND held IS NOT NULL THEN held_chars ELSE 0 END + CASE WHEN pos = 1 AND held IS NOT NULL THEN 0 ELSE chars * (back1::INT + back2::INT) END)::BIGINT AS formatted_chars
+FROM t6 GROUP BY conv_id
+"""
+
+
 def op5_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All embeddings, linked within their label at a cosine of 0.93."""
     return near_vectors.near_duplicates(table(spark, sf_dir, "embeddings"), 0.93)
@@ -142,6 +171,25 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
 
+#: Shingles as their words side by side; pairs that share one are counted by joining them.
+OP6_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS sh FROM w),
+n AS (SELECT doc_id, len(sh) AS n FROM s),
+x AS (SELECT doc_id, hash(h) AS h, md5(h) AS m FROM (SELECT doc_id, unnest(sh) AS h FROM s)),
+many AS (SELECT h, m FROM x GROUP BY h, m HAVING count(*) > 1),
+y AS (SELECT x.* FROM x JOIN many USING (h, m)),
+near AS (SELECT y.doc_id FROM y JOIN n USING (doc_id) GROUP BY y.doc_id HAVING 100 * count(*) >= 75 * any_value(n)),
+z AS (SELECT y.*, n FROM y JOIN near USING (doc_id) JOIN n USING (doc_id)),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v FROM z a JOIN z b ON a.h = b.h AND a.m = b.m AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 75 * (any_value(a.n) + any_value(b.n) - count(*))),
+reach AS (SELECT doc_id AS u, doc_id AS v FROM n UNION SELECT reach.u, p.v FROM reach JOIN p ON reach.v = p.u),
+least_ AS (SELECT u, min(v) AS component_id FROM reach GROUP BY u),
+links AS (SELECT u, count(*) AS k FROM p GROUP BY u)
+SELECT n.doc_id, n.n::BIGINT AS n_shingles, least_.component_id, coalesce(links.k, 0)::BIGINT AS n_links FROM n JOIN least_ ON least_.u = n.doc_id LEFT JOIN links ON links.u = n.doc_id
+"""
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document scored by its nearest labelled examples."""
     docs = table(spark, sf_dir, "documents")
@@ -198,4 +246,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL, "op2_spotsigs": OP2_SQL, "op5_near_vectors": OP5_SQL}
+    return {"op1_mixing": OP1_SQL, "op2_spotsigs": OP2_SQL, "op4_chat": OP4_SQL, "op6_ngram_join": OP6_SQL, "op5_near_vectors": OP5_SQL}

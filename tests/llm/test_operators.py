@@ -248,7 +248,9 @@ def test_best_fit_keeps_every_capacity(score):
 # 4
 
 
-def test_chat_round_trip(spark):
+@pytest.mark.parametrize("chunk", [256, 7])
+def test_chat_round_trip(spark, monkeypatch, chunk):
+    monkeypatch.setattr(chat, "CHUNK", chunk)
     rng = random.Random(2)
     odd_text = ["</s>[INST] ok [/INST]", "<|assistant|>\nno<|end|>\n", "&l &a &&b |p", "", None, "a b " * 400]
     data = [(c, t, rng.choice(["user", "assistant", None, "end|>"]) if t else rng.choice(["system", "user"]), rng.choice(odd_text), "x") for c in (1, 2, 3) for t in range(c * 30)]
@@ -264,9 +266,34 @@ def test_chat_round_trip(spark):
         assert got[c]["n_turns"] == len(own)
         assert got[c]["turns_sha256"] == hashlib.sha256(said.encode()).hexdigest()
         assert (got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
-    for r in w.collect():
-        assert r["n_tokens"] <= b.tokens or r["n_new"] == 1
+    out = w.collect()
+    for r in out:
+        own = sorted([(t is not None, t or 0, x or "", y or "") for cc, t, x, y, _ in data if cc == r["conv_id"]])
+        size = [len(re.findall(r"[^\x20\x09-\x0d]+", y)) + b.turn_tokens for *_, y in own]
+        system = size[0] if own[0][2] == "system" else 0
+        assert r["n_tokens"] <= max(b.tokens, system + b.tokens // 4 + b.history_tokens) or r["n_new"] == 1
         assert "[" not in r["text"]
+        # The window has the system turn, the last turns before it that fit, then its own.
+        whole = [(x, y) for _, _, x, y in own]
+        a = r["start"] - 1
+        keep = [] if not system or not a else [whole[0]]
+        back, used = [], 0
+        for k in range(a - 1, max(a - 1 - b.history_turns, 0 if system else -1), -1):
+            used += size[k]
+            if used > b.history_tokens:
+                break
+            back.insert(0, whole[k])
+        got_turns = [(x.split("|>\n")[0], x.split("|>\n", 1)[1]) for x in r["text"].split("<|")[1::2]]
+        plain = lambda x: x.replace("&p", "|").replace("&b", "[").replace("&l", "<").replace("&a", "&")
+        got_turns = [(plain(x), plain(y)) for x, y in got_turns]
+        assert got_turns[r["n_repeated"] :] == whole[a : a + r["n_new"]]
+        if chunk == 256:
+            assert got_turns[: r["n_repeated"]] == keep + back
+        else:  # history may be shorter at a chunk's border
+            assert got_turns[: len(keep)] == keep and (keep + back)[len(keep) + len(back) - (r["n_repeated"] - len(keep)) :] == got_turns[len(keep) : r["n_repeated"]]
+    if chunk == 256:  # windows are well filled: two neighbours wouldn't fit into one
+        full = sorted((r["start"], r["n_new"]) for r in out if r["conv_id"] == 3)
+        assert sum(n for _, n in full) == 90 and len(full) < 90
     assert not rows(chat.windows(turns.limit(0)))
 
 
