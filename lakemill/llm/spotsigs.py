@@ -114,11 +114,12 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return t.select(id_col, "n_chars", "edited", "signatures", "edited_signatures", likeness(F.col("signatures"), F.col("edited_signatures")).alias("near_edited"), likeness(F.col("signatures"), F.col("next_signatures")).alias("near_next"))
 
 
-def near_pairs(docs: DataFrame, least: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Near-duplicate pairs of fingerprints, and membership: (a, b, likeness) between class representatives, (id, representative).
+def near_pairs(docs: DataFrame, least: int = 75, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Near-duplicate pairs of fingerprints, from a likeness of `least` hundredths on, and membership: (a, b, likeness) between class
+    representatives, (id, representative).
 
     Documents with equal fingerprints are one class, whose smallest id represents it; empty fingerprints pair with nothing. Sets are
-    partitioned by length, in steps of the factor 1/least: a set meets only its own partition and the next. Within them
+    partitioned by length, in steps of the factor 100/least: a set meets only its own partition and the next. Within them
     candidates share one of the rarest signatures that likeness `least` makes them share, and are dropped by length before
     their intersection is counted. Rows with a null id are in no class.
     """
@@ -131,10 +132,11 @@ def near_pairs(docs: DataFrame, least: float = 0.75, id_col: str = "doc_id", tex
     common = flat.groupBy("sig").agg(F.count("*").alias("df")).where("df > 1")
     # Only signatures that two sets hold can pair them; a set with too few of those is out.
     ranked = flat.join(common, "sig").withColumns({"at": F.row_number().over(W.partitionBy("id").orderBy("df", "sig")), "shared": F.count("*").over(W.partitionBy("id"))})
-    rare = ranked.where(F.col("at") <= F.col("shared") - F.ceil(F.col("n") * least) + 1).withColumn("step", F.floor(F.log("n") / F.log(F.lit(1 / least))))
+    rare = ranked.where(F.col("at") <= F.col("shared") - F.expr(f"(n * {least} + 99) div 100") + 1).withColumn("step", F.floor(F.log("n") / F.log(F.lit(100 / least))))
     a = rare.select("sig", "step", F.col("id").alias("a"), F.col("n").alias("na"))
     b = rare.select("sig", F.explode(F.array(F.col("step"), F.col("step") - 1)).alias("step"), F.col("id").alias("b"), F.col("n").alias("nb"))
-    met = a.join(b, ["sig", "step"]).where((F.col("a") != F.col("b")) & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))) & (F.col("na") >= F.col("nb") * least)).select("a", "b").distinct()
+    met = a.join(b, ["sig", "step"]).where((F.col("a") != F.col("b")) & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))) & (F.col("na") * 100 >= F.col("nb") * least)).select("a", "b").distinct()
     sets = lambda k: one.select(F.col("id").alias(k), F.col("sigs").alias(f"s{k}"))
-    pairs = met.join(sets("a"), "a").join(sets("b"), "b").withColumn("likeness", likeness(F.col("sa"), F.col("sb"))).where(F.col("likeness") >= least)
+    pairs = met.join(sets("a"), "a").join(sets("b"), "b").withColumn("both", F.size(F.array_intersect("sa", "sb"))).where(F.col("both") * 100 >= (F.size("sa") + F.size("sb") - F.col("both")) * least)
+    pairs = pairs.withColumn("likeness", F.col("both") / (F.size("sa") + F.size("sb") - F.col("both")))
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "likeness"), members

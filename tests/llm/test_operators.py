@@ -309,22 +309,27 @@ def test_near_vectors(spark, monkeypatch):
         v = base[i % 12] + rng.standard_normal(24) * rng.choice([0.05, 0.3])
         data.append((i, v.tolist(), int(i % 3)))
     data += [(200, data[0][1], 0), (201, data[0][1], 0), (202, None, 0), (203, [0.0] * 24, 0), (204, [float("nan")] + [1.0] * 23, 0), (205, data[0][1], None), (206, [None] + [1.0] * 23, 0), (207, [1.0, 2.0], 0), (208, [], 1)]
+    # A repeated id, a null id, and vectors whose squares over- and underflow.
+    data += [(3, data[4][1], 1), (None, data[0][1], 0), (210, [1e300 * x for x in data[1][1]], 1), (211, [1e-300 * x for x in data[1][1]], 1)]
     df = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int").withColumn("id", F.lit("clash"))
-    got = {r["vec_id"]: r for r in near_vectors.near_duplicates(df, 0.93).collect()}
-    good = {i: (np.asarray(v), g) for i, v, g in data if g is not None and v and None not in v and np.isfinite(v).all() and np.any(np.asarray(v))}
+    got = [(r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in near_vectors.near_duplicates(df, 0.93).collect()]
+    unit = lambda v: np.asarray(v) / np.abs(v).max() / np.linalg.norm(np.asarray(v) / np.abs(v).max())
+    good = {k: (unit(v), g) for k, (_, v, g) in enumerate(data) if g is not None and v and None not in v and np.isfinite(v).all() and np.any(np.asarray(v))}
     links = defaultdict(set)
     for i, (v, g) in good.items():
         for j, (u, h) in good.items():
-            if i != j and g == h and len(v) == len(u) and v @ u / math.sqrt((v @ v) * (u @ u)) >= 0.93:
+            if i != j and g == h and len(v) == len(u) and v @ u >= 0.93:
                 links[i].add(j)
-    for i in got:
-        seen, todo = {i}, [i]
+    want = []
+    for k, (i, _, _) in enumerate(data):
+        seen, todo = {k}, [k]
         while todo:
             for j in links[todo.pop()] - seen:
                 seen.add(j)
                 todo.append(j)
-        assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (len(links[i]), min(seen), min(seen) == i)
-    assert len(got) == len(data)
+        least = min(data[j][0] for j in seen if data[j][0] is not None) if i is not None else None
+        want.append((i, len(links[k]), least, i is not None and least == i))
+    assert sorted(got, key=str) == sorted(want, key=str)
     assert not rows(near_vectors.near_duplicates(df.limit(0), 0.93))
 
 
