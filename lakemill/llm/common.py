@@ -65,6 +65,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def filtered(docs: DataFrame, run) -> DataFrame:
+    """docs.mapInArrow(run), whose batches keep their columns. Columns go by place, so their names may be any, dots included."""
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 

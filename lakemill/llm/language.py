@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import filtered
+
 #: Documents that the machines are fitted on, at most, over all languages.
 SAMPLE = 2400
 #: Of one language, at most.
@@ -300,4 +302,4 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
         for b in batches:
             yield b.filter(pa.array([m.known(t) for t in b.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return filtered(docs, run)

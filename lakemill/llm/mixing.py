@@ -147,5 +147,5 @@ def selection(p: Plan, id_col: str = "doc_id") -> DataFrame:
 def mixed(docs: DataFrame, p: Plan, tree: Tree, id_col: str = "doc_id", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """The rows of docs that the plan takes, whole, once for each epoch; columns as in docs."""
     own = leaf_columns(tree, lang_col, source_col)
-    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col(id_col).cast("long").alias("__id"), *[c.alias(k) for k, c in own.items()])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(id_col).cast("long").alias("__id"), *[c.alias(k) for k, c in own.items()])
     return _taken(rows, p).select("__row.*")

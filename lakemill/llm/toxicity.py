@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fold, uncut
+from .common import cut, filtered, fold, uncut
 
 #: Labelled documents of each class that are examples, about, at most.
 SAMPLE = 1000
@@ -336,7 +336,7 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
                 part = b.slice(a, TOGETHER)
                 yield part.filter(pa.array([s < 0.5 for s, _ in sent.value.score(part.column(at).to_pylist())], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return filtered(docs, run)
 
 
 def training_labels(labels: DataFrame) -> DataFrame:

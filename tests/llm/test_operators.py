@@ -501,13 +501,12 @@ def test_toxicity(spark, odd, none):
     assert not rows(toxicity.score(none, model, ["doc_id"]))
 
 
-def test_scores_are_those_of_all_cosines(spark, sf_dir):
-    """The registered query against TF-IDF vectors as dictionaries, all cosines, votes and curve."""
-    docs = [(r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
-    label = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5}
+def plain_toxicity(docs, label):
+    """A text's score and voters, for documents (id, text) and training labels {id: toxic}: vectors as dictionaries, all cosines, votes and curve."""
     text = dict(docs)
     marked = sorted(i for i in label if i in text)
-    terms = {i: Counter(t for w in re.findall(r"[^\W\d_]+", x.lower()) for t in [w, *(f"^{w[:k]}" for k in (4, 6) if len(w) > k)]) for i, x in docs}
+    count = lambda x: Counter(t for w in re.findall(r"[^\W\d_]+", x.lower()) for t in [w, *(f"^{w[:k]}" for k in (4, 6) if len(w) > k)])
+    terms = {i: count(x) for i, x in docs}
     size = Counter(label[i] for i in marked)
     has = {y: Counter(t for i in marked if label[i] == y for t in terms[i]) for y in (0, 1)}
     vocabulary = {t for y in (0, 1) for t, n in has[y].items() if n >= max(0.01 * size[y], 1)}
@@ -533,13 +532,35 @@ def test_scores_are_those_of_all_cosines(spark, sf_dir):
     full = [i for i in marked if vectors[i]]
     w = np.asarray([scale[label[i]] for i in marked])
     a, b = toxicity._fit_curve(np.asarray([votes(i, [j for j in marked if j != i])[0] for i in full]), np.asarray([label[i] for i in full]), np.asarray([scale[label[i]] for i in full]) / w.mean())
+
+    def score(i):
+        z, near = votes(i, marked)
+        return 1 / (1 + math.exp(-(a * z + b))) if near else base, near
+
+    return score
+
+
+def labels_outside(spark, sf_dir, parts=5):
+    return {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect() if zlib.crc32(str(r["doc_id"]).encode()) % parts}
+
+
+def test_scores_are_those_of_all_cosines(spark, sf_dir):
+    docs = [(r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    score = plain_toxicity(docs, labels_outside(spark, sf_dir))
     got = {r["doc_id"]: r for r in queries.op7_toxicity(spark, sf_dir).collect()}
     assert len(got) == len(docs)
-    for i, _ in docs[::4]:
-        z, near = votes(i, marked)
-        assert got[i]["score"] == pytest.approx(1 / (1 + math.exp(-(a * z + b))) if near else base, abs=1e-6)
+    for i, _ in docs[::2]:
+        want, near = score(i)
+        assert got[i]["score"] == pytest.approx(want, abs=1e-6) and len(got[i]["evidence"]) == len(near)
         assert got[i]["predicted"] == int(got[i]["score"] >= 0.5) and got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0)
-        assert len(got[i]["evidence"]) == len(near)
+
+
+def test_equal_cosines_go_by_number(spark):
+    data = [(i, "same words here", int(i % 2)) for i in range(60)] + [(100, "other thing", 0)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in data], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in data], "doc_id long, quality int, toxic int")
+    got = toxicity.score(docs, toxicity.fit(docs, labels), ["doc_id"]).collect()
+    assert all(r["evidence"] == list(range(25)) for r in got if r["doc_id"] < 60)
 
 
 def test_every_text_with_a_frequent_word_has_neighbours(spark):
@@ -582,6 +603,50 @@ def test_texts_of_no_learned_language_are_rejected(spark, sf_dir):
     assert language.accepted(docs.where("lang <> 'de'"), three).count() >= 0.98 * docs.where("lang <> 'de'").count()
 
 
+def plain_language(model, text):
+    """(language, score) by dictionaries and loops, from the machines of a model."""
+    if not text or not any(c.isalpha() for c in text):
+        return "und", 0.0
+    raw = text.lower().encode("utf-8", "surrogatepass")
+    grams = [int.from_bytes(raw[i : i + k], "big") + (0x9E3779B9 * k & 0xFFFFFFFF) for k in (1, 2, 3) for i in range(len(raw) - k + 1)]
+    counts = Counter((g * 0x85EBCA6B & 0xFFFFFFFF) >> 19 for g in grams)
+    x = {k: math.sqrt(n / len(grams)) for k, n in counts.items()}
+
+    def choose(d):
+        k = len(d.classes)
+        votes, sums, p = [0] * k, [0.0] * k, [1.0] * k
+        for (i, j), m in d.machines.items():
+            margin = sum(v * float(m.w[t]) for t, v in x.items()) + m.b
+            share = 1 / (1 + math.exp(-3 * margin))
+            votes[i if margin >= 0 else j] += 1
+            sums[i] += math.tanh(margin)
+            sums[j] -= math.tanh(margin)
+            p[i], p[j] = min(p[i], share), min(p[j], 1 - share)
+        best = max(range(k), key=lambda c: votes[c] + sums[c] / (4 * k))
+        return d.classes[best], p[best]
+
+    family, p = choose(model.families)
+    lang, q = choose(model.within[family])
+    return lang, p * q
+
+
+def test_predictions_are_those_of_plain_machines(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = language.fit(docs.where(common.fold("doc_id", 4) != 2))
+    got = {r["doc_id"]: r for r in queries.op9_language(spark, sf_dir).collect()}
+    for r in docs.collect():
+        lang, score = plain_language(model, r["text"])
+        assert got[r["doc_id"]]["lang_pred"] == lang and got[r["doc_id"]]["score"] == pytest.approx(score, abs=1e-3)
+        assert got[r["doc_id"]]["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+
+
+def test_the_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE", 40)
+    rows = [(1, "the same english text again and again", "en")] * 500 + [(i, f"ein deutscher satz nummer {i}", "de") for i in range(500)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.families.classes == ["germanic"] and model.within["germanic"].classes in (["de"], ["de", "en"])
+
+
 def test_long_texts_are_counted_in_blocks():
     text = "Ärger und Straße " * 100_000
     counts, n = language._hashed(text)

@@ -1,5 +1,14 @@
+import re
+from collections import Counter
+
+import duckdb
+from pyspark.sql import functions as F
+
 import corpus_pipeline as cp
-from lakemill.llm.common import cut
+from lakemill.llm import language, queries
+from lakemill.llm.common import cut, fold
+
+from test_operators import check_packed, jaccard_components, labels_outside, plain_toxicity
 
 
 def test_stages_on_odd_rows(spark, sf_dir):
@@ -24,3 +33,57 @@ def test_empty(spark, sf_dir):
         assert out.count() == 0
         if name != cp.STAGES[-1][0]:
             assert out.columns == docs.columns
+
+
+def test_stages_are_those_of_plain_versions(spark, sf_dir, tmp_path):
+    """Every stage on its predecessor's rows, against a plain version of its decision."""
+    docs = cut(spark.read.parquet(f"{sf_dir}/documents.parquet"), "plain")
+    kept = []
+    for name, stage in cp.STAGES:
+        out = cut(stage(spark, docs, sf_dir), f"plain-{name}")
+        rows, got = docs.collect(), out.collect()
+        texts = [(r["doc_id"], r["text"]) for r in rows]
+        if name == "toxicity":
+            score = plain_toxicity([(i, t or "") for i, t in texts], labels_outside(spark, sf_dir))
+            assert {r["doc_id"] for r in got} == {i for i, _ in texts if score(i)[0] < 0.5}
+        elif name == "language_id":
+            model = language.fit(docs.where(fold("doc_id", 4) != 2))
+
+            def known(text):
+                if not text or not any(map(str.isalpha, text)):
+                    return False
+                words = " ".join(re.findall(r"(?<!\w)[^\W\d_]+(?!\w)", text)) or text
+                raw = f" {words} ".lower().encode()
+                grams = [int.from_bytes(raw[i : i + k], "big") + (0x9E3779B9 * k & 0xFFFFFFFF) for k in (1, 2, 3) for i in range(len(raw) - k + 1)]
+                share = Counter((g * 0x85EBCA6B & 0xFFFFFFFF) >> 19 for g in grams)
+                return max(sum(float(p[t]) * n for t, n in share.items()) / len(grams) for p in model.profiles) - model.least
+
+            near = [known(t) for _, t in texts]
+            assert all(abs(x) > 1e-5 or x is False for x in near)  # none is decided by rounding
+            assert {r["doc_id"] for r in got} == {i for (i, _), x in zip(texts, near, strict=True) if x is not False and x >= 0}
+        elif name == "ngram_jaccard":
+            assert {r["doc_id"] for r in got} == {c for _, _, c, _ in jaccard_components(texts)} and len(got) < len(rows)
+        elif name == "mixing":
+            docs.write.parquet(str(tmp_path / "documents"))
+            con = duckdb.connect()
+            con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents/*.parquet'")
+            assert Counter(r["doc_id"] for r in got) == Counter(i for (i,) in con.sql(f"SELECT doc_id FROM ({queries.OP1_SQL})").fetchall())
+        else:
+            used, least = check_packed(got, texts)
+            assert used <= 1.02 * least + 1
+        kept.append(len(got))
+        docs = out
+    assert sorted(tuple(r) for r in cp.run(spark, sf_dir).select("doc_id", "piece", "length", "ids_crc32").collect()) == sorted((r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in got)
+
+
+def test_odd_columns_and_very_long_texts(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    long = spark.createDataFrame([(910_000, "the of and to " * 100_000, "en", "src0", 1), (910_001, "the of and to " * 100_000, "en", "src0", 1)], docs.schema)
+    start = docs.unionByName(long).withColumns({"a.b": F.lit(1), "row": F.lit("x"), "__id": F.lit(2), "key": F.lit(None).cast("string"), "score": F.lit(0.5)})
+    for name, stage in cp.STAGES[:-1]:
+        out = cut(stage(spark, start, sf_dir), name)
+        assert out.columns == start.columns, name
+        assert {910_000, 910_001} & {r["doc_id"] for r in out.select("doc_id").collect()} or name == "mixing"
+        start = out if name != "mixing" else start
+    assert not start.where("doc_id = 910001").take(1)
+    assert cp.STAGES[-1][1](spark, start, sf_dir).count()
