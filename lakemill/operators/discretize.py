@@ -132,13 +132,23 @@ def cuts(df: DataFrame, columns: Sequence[str], disc: str, bins: int | None = No
     raise ValueError(f"unknown discretisation {disc!r}")
 
 
+def _below(x: Column, cuts: list[float]) -> Column:
+    """How many cuts are less than x: among every so many of the ascending cuts first, then among those that follow the last such one."""
+    if not cuts:
+        return F.lit(0)
+    every = math.isqrt(len(cuts))
+    edges, coarse = (F.array(*map(F.lit, v)) for v in (cuts, cuts[::every]))
+    steps = F.size(F.filter(coarse, lambda e: e < x))
+    start = (steps - 1) * every
+    return F.when(steps == 0, 0).otherwise(start + F.size(F.filter(F.slice(edges, F.greatest(start, F.lit(0)) + 1, F.lit(every)), lambda e: e < x)))
+
+
 def apply_cuts(df: DataFrame, found: dict[str, list[float]]) -> DataFrame:
     out = []
     for c in df.columns:
         if c in found:
             x = name(c).cast("double")
-            edges = F.array(*map(F.lit, found[c])) if found[c] else F.array().cast("array<double>")
-            out.append(F.when(x.isNotNull(), F.aggregate(edges, F.lit(0), lambda n, e: n + (e < x).cast("int"))).alias(c))
+            out.append(F.when(x.isNotNull(), _below(x, found[c])).alias(c))
         else:
             out.append(name(c))
     return df.select(*out)

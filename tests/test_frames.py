@@ -224,3 +224,12 @@ def test_percentiles_by_narrowing(spark, monkeypatch, most):
         for c in pdf:
             for q in qs:
                 assert got[c, q] == pytest.approx(pdf[c].quantile(q, interpolation=how)), (c, q, how)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 97, 400])
+def test_bins_of_many_cuts(spark, n):
+    cuts = sorted(random.Random(n).sample(range(1000), n))
+    values = [*range(-1, 1001), *[c + 0.5 for c in cuts], None]
+    df = discretize.apply_cuts(spark.createDataFrame([(v if v is None else float(v),) for v in values], "x double").withColumn("v", F.col("x")), {"x": [float(c) for c in cuts]})
+    for r in df.collect():
+        assert r["x"] == (None if r["v"] is None else sum(c < r["v"] for c in cuts))
