@@ -29,6 +29,8 @@ from .common import filtered
 SAMPLE = 2400
 #: Of one language, at most.
 SAMPLE_A_LANGUAGE = 500
+#: Languages that are learned, at most: the most frequent ones.
+LANGUAGES = 200
 BUCKETS = 1 << 13
 #: Share of any bucket in a language besides what its sample has.
 SMOOTH = 1e-5
@@ -233,13 +235,13 @@ def _vector(blob: bytes) -> Sparse:
 
 
 def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fit on the rows of train that have a language and a letter. No such rows: a model that answers 'und'.
+    """Fit on the rows of train that have a language (one of the LANGUAGES most frequent) and a letter. No such rows: a model that answers 'und'.
 
     The sample is drawn by a hash of id and text, at a rate that gives each language its share; rows that are equal in both are drawn together, so
     at most twice SAMPLE rows, those of the smallest hashes, reach the driver, as sparse vectors.
     """
     rows = train.select(F.xxhash64(F.col(id_col), F.col(text_col), F.lit(11)).alias("h"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text is not null")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     if not counts:
         return Model(Discriminator([]), {})
     each = max(2, min(SAMPLE_A_LANGUAGE, SAMPLE // len(counts)))
