@@ -168,21 +168,23 @@ class GeoFrame(Frame):
     def matching(self, other: GeoFrame, predicate: str, cell: float | None = None) -> Frame:
         """The pairs for which a predicate (not disjoint) holds: rows meet where their boxes share a square of a grid with side `cell`.
 
-        Without a side, it is twice the mean extent of the side whose boxes are larger.
+        Without a side, it is half the mean extent of the rows whose boxes are larger.
         """
         if predicate not in PREDICATES or predicate == "disjoint":
             raise ValueError(f"not a predicate of meeting geometries: {predicate}")
         a, b = self._sides(other)
-        cell = cell or max(_extent(a, "g1"), _extent(b, "g2")) * 2 or 1.0
+        cell = cell or max(_extent(a, "g1"), _extent(b, "g2")) / 2 or 1.0
 
         def gridded(d: DataFrame, g: str, k: int) -> DataFrame:
-            at = lambda axis, hi: F.floor(G.extreme(F.col(g), axis, hi) / cell)
-            box = d.where(G.is_empty(F.col(g)) == 0).withColumns({f"x{k}": at("x", False), f"y{k}": at("y", False), "x": F.explode(F.sequence(at("x", False), at("x", True)))})
-            return box.withColumn("y", F.explode(F.sequence(at("y", False), at("y", True))))
+            ends = {f"{axis}{end}{k}": G.extreme(F.col(g), axis, end == "b") for axis in "xy" for end in "ab"}
+            at = lambda c: F.floor(F.col(f"{c}{k}") / cell)
+            box = d.where(G.is_empty(F.col(g)) == 0).withColumns(ends).withColumn("x", F.explode(F.sequence(at("xa"), at("xb"))))
+            return box.withColumn("y", F.explode(F.sequence(at("ya"), at("yb"))))
 
         met = gridded(a, "g1", 1).join(gridded(b, "g2", 2), ["x", "y"])
         # A pair that shares many squares is taken in the first of them.
-        met = met.where((F.col("x") == F.greatest("x1", "x2")) & (F.col("y") == F.greatest("y1", "y2")) & (G.mbr_intersects(F.col("g1"), F.col("g2")) == 1))
+        first = (F.col("x") == F.floor(F.greatest("xa1", "xa2") / cell)) & (F.col("y") == F.floor(F.greatest("ya1", "ya2") / cell))
+        met = met.where(first & (F.col("xa1") <= F.col("xb2")) & (F.col("xa2") <= F.col("xb1")) & (F.col("ya1") <= F.col("yb2")) & (F.col("ya2") <= F.col("yb1")))
         holds = _predicate(predicate, _kinds(a, "g1"), _kinds(b, "g2"))
         return Frame(met.where(holds(F.col("g1"), F.col("g2")) == 1).select("INDEXERIDA1", "INDEXERIDA2"))
 
