@@ -341,30 +341,37 @@ def _compare(t: pa.Table) -> pa.Table:
     return pa.table({"row": pa.array(cols[0], pa.int64()), "links": pa.array(cols[1], pa.int64()), "peer": pa.array(cols[2], pa.int64())})
 
 
-def _pairs(one: DataFrame, cohorts: DataFrame) -> DataFrame:
-    """Documents (row, n, copies, marks) dealt to block pairs: with cohort, gkey, a, b and second (1 in the pair's second block).
+#: Steps and blocks of large cohorts (five numbers each) that are broadcast, at most; more are joined.
+BROADCAST_BLOCKS = 100_000
+
+
+def _pairs(one: DataFrame, cohorts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents (row, n, copies, marks) dealt to block pairs: with cohort, gkey, a, b and second (1 in the pair's second block). And a table to remove.
 
     A cohort of up to BLOCK documents is one block, and many such share a task's group. A larger one is divided by size, in steps in
-    which two linked documents are at most two apart, and within a step by hash into blocks.
+    which two linked documents are at most two apart, and within a step by hash into blocks. Sets meet only tables of steps and blocks before they
+    are dealt, so no task gathers a cohort.
     """
     rows = one.join(cohorts.select(F.col("node").alias("row"), F.col("component").alias("cohort")), "row")
     step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.16))).cast("int")
     sized = rows.withColumn("step", step)
     per_step = sized.groupBy("cohort", "step").agg(F.count("*").alias("m"))
-    total = per_step.groupBy("cohort").agg(F.sum("m").alias("all"))
-    small = sized.join(total.where(f"all <= {BLOCK}"), "cohort")
+    total = per_step.groupBy("cohort").agg(F.sum("m").alias("all"), F.collect_list(F.struct("step", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))).alias("steps")).where(f"all > {BLOCK}")
+    blocks = cut(total.select("cohort", F.inline("steps")), "large-cohorts")
+    many = blocks.agg(F.coalesce(F.sum("blocks"), F.lit(0))).first()[0]
+    small = (lambda df: F.broadcast(df)) if many <= BROADCAST_BLOCKS else lambda df: df
+    alone = sized.join(small(blocks.select("cohort").distinct()), "cohort", "left_anti")
     bins = F.lit(-1) - F.pmod(F.xxhash64("cohort"), F.lit(4096))
     zero = F.lit(0)
-    alone = small.select("row", "n", "copies", "marks", "cohort", bins.alias("gkey"), zero.alias("sa"), zero.alias("ba"), zero.alias("sb"), zero.alias("bb"), zero.alias("second"))
-    blocks = per_step.join(total.where(f"all > {BLOCK}").select("cohort"), "cohort").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+    alone = alone.select("row", "n", "copies", "marks", "cohort", bins.alias("gkey"), zero.alias("sa"), zero.alias("ba"), zero.alias("sb"), zero.alias("bb"), zero.alias("second"))
     other = blocks.select(F.col("cohort").alias("oc"), F.col("step").alias("os"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("ob"))
-    large = sized.join(blocks.select("cohort", "step", "blocks"), ["cohort", "step"]).withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
+    large = sized.join(small(blocks), ["cohort", "step"]).withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
     near = F.explode(F.array(*[F.lit(k) for k in (-2, -1, 0, 1, 2)]))
-    met = large.withColumn("apart", near).withColumn("os", F.col("step") + F.col("apart")).withColumn("oc", F.col("cohort")).join(other, ["oc", "os"])
+    met = large.withColumn("apart", near).withColumn("os", F.col("step") + F.col("apart")).withColumn("oc", F.col("cohort")).join(small(other), ["oc", "os"])
     me, them = F.struct(F.col("step").alias("s"), F.col("block").alias("b")), F.struct(F.col("os").alias("s"), F.col("ob").alias("b"))
     split = met.withColumns({"lo": F.least(me, them), "hi": F.greatest(me, them), "second": (me > them).cast("int")})
     dealt = split.select("row", "n", "copies", "marks", "cohort", F.col("cohort").alias("gkey"), F.col("lo.s").alias("sa"), F.col("lo.b").alias("ba"), F.col("hi.s").alias("sb"), F.col("hi.b").alias("bb"), "second")
-    return alone.unionByName(dealt)
+    return alone.unionByName(dealt), blocks
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -413,14 +420,14 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     flat = one.select("row", F.explode("rare").alias("mark"))
     heads = flat.groupBy("mark").agg(F.min("row").alias("head"), F.count("*").alias("m")).where("m > 1").select("mark", "head")
     cohorts = components(flat.join(heads, "mark").where("row <> head").select(F.col("row").alias("u"), F.col("head").alias("v")).distinct())
-    dealt = _pairs(one.drop("rare"), cohorts)
+    dealt, blocks = _pairs(one.drop("rare"), cohorts)
     found = cut(dealt.groupBy("gkey", "sa", "ba", "sb", "bb").applyInArrow(_compare, "row long, links long, peer long"), "shingle-links")
     comp = components(found.select(F.col("row").alias("u"), F.col("peer").alias("v")))
     links = found.groupBy("row").agg(F.sum("links").alias("links"))
     named = classes.join(comp.withColumnRenamed("node", "row"), "row", "left").join(links, "row", "left").where("copies > 1 or component is not null").withColumn("root", F.coalesce("component", "row"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_class = cut(named.join(least, "root").select("d1", "d2", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "class-components")
-    uncut(one, cohorts, found, comp)
+    uncut(one, cohorts, blocks, found, comp)
     out = every.select("id", "n", "d1", "d2").join(by_class, ["d1", "d2"], "left")
     known = F.col("id").isNotNull()
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(known, F.coalesce("component_id", "id")).alias("component_id"), F.when(known, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"))
