@@ -43,8 +43,8 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int, size: int, spaces: st
         enc, end = encoder(tokenizer, spaces), np.asarray([end_id], "<u4").tobytes()
         for b in batches:
             out: list[tuple] = []
-            for a in range(0, b.num_rows, 256):
-                part = b.slice(a, 256)
+            for a in range(0, b.num_rows, 1024):
+                part = b.slice(a, 1024)
                 for doc, ids in zip(part.column(0).to_pylist(), enc.encode(part.column(1).to_pylist()), strict=True):
                     ids += end
                     n = len(ids) // 4

@@ -103,8 +103,8 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, width: int | None = None
             enc, end = encoder(tokenizer, spaces, WORDS), np.asarray([end_id], "<u4").tobytes()
             for b in batches:
                 ids.append(b.column(0))
-                for a in range(0, b.num_rows, 256):
-                    out = [x + end for x in enc.encode(b.column(1).slice(a, 256).to_pylist())]
+                for a in range(0, b.num_rows, 1024):
+                    out = [x + end for x in enc.encode(b.column(1).slice(a, 1024).to_pylist())]
                     lengths.extend(len(x) // 4 for x in out)
                     yield np.frombuffer(b"".join(out), "<u4").astype(dtype).tobytes()
 

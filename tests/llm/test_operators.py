@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import public_tokenizers
-from lakemill.llm import chat, common, language, mixing, near_vectors, ngram_join, packing, queries, spotsigs, token_files, toxicity, url_rules
+from lakemill.llm import chat, common, language, mixing, near_vectors, ngram_join, packing, queries, spotsigs, token_files, tokens, toxicity, url_rules
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = [
@@ -219,6 +219,21 @@ def test_token_file_query(spark, sf_dir):
         start += len(ids)
 
 
+@pytest.mark.parametrize("name, spaces", [("byte_bpe_50k.json", "leading"), ("word_bpe_49k.json", "dropped")])
+def test_ids_of_odd_texts(monkeypatch, name, spaces):
+    """Random texts of letters, marks and white space, at once and in blocks, as the tokenizers library has them."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "AT_ONCE", 500)
+    rng = random.Random(1)
+    some = [*"abcXYZ09.,!?'\" \n\t-é日×“”(){}ßſİ", "\u0301", "\u00a0", "\u00d7", "  ", "the ", "don't ", "\r\n", "<|endoftext|>", "\x00"]
+    texts = ["", "a ", "  a  b", "x.,y . ,", "word. word, “quoted”, (a). 1,234.5 é, ñ. ×. ÷,", "a" * 40 + ". " + "b" * 17 + " " + "c" * 16 + ", ", "... , . .a ,b", "\n", "   ", "foo \n", None]
+    texts += ["".join(rng.choice(some) for _ in range(rng.randint(1, 60))) for _ in range(3000)] + [" ".join("".join(rng.choice("abcé., \n") for _ in range(9)) for _ in range(600))]
+    whole, encoder = Tokenizer.from_file(public_tokenizers.path(name)), tokens.Encoder(public_tokenizers.path(name), spaces, 50)
+    for text, ids in zip(texts, encoder.encode(texts), strict=True):
+        assert ids == np.asarray(whole.encode(text or "", add_special_tokens=False).ids, "<u4").tobytes(), text
+
+
 def test_token_width_follows_the_vocabulary(spark, odd, tmp_path):
     path = public_tokenizers.path("byte_bpe_50k.json")
     assert token_files.id_width(path, 0) == 2 and token_files.id_width(path, 70_000) == 4
