@@ -58,19 +58,18 @@ KEY = ["__conv", "__null", "chunk"]
 
 
 def _chunks(turns: DataFrame, history: int) -> DataFrame:
-    """A row a chunk: KEY, conv, turns and chunks of the conversation before it, system (its system turn or null), tail (the last turns before it)."""
+    """A row a chunk: KEY, turns and chunks of the conversation before it, system (its system turn or null), tail (the last turns before it)."""
     by = W.partitionBy(*KEY)
     order = [F.col("turn").asc_nulls_first(), F.col("role"), F.col("text")]
     back = turns.withColumns({"at": F.row_number().over(by.orderBy(*order)), "left": F.count("*").over(by)})
     turn = F.struct("at", "role", "text", "tokens")
     mine = back.where((F.col("at") == 1) | (F.col("at") > F.col("left") - history))
-    one = mine.groupBy(*KEY).agg(F.max("left").alias("n"), F.any_value("conv").alias("conv"), F.max(F.when(F.col("at") == 1, turn)).alias("first"), F.sort_array(F.collect_list(F.when(F.col("at") > F.col("left") - history, turn))).alias("last"))
+    one = mine.groupBy(*KEY).agg(F.max("left").alias("n"), F.max(F.when(F.col("at") == 1, turn)).alias("first"), F.sort_array(F.collect_list(F.when(F.col("at") > F.col("left") - history, turn))).alias("last"))
     whole = W.partitionBy("__conv", "__null").orderBy("chunk")
     head = F.first("first").over(whole)
     # The system turn is not history.
     return one.select(
         *KEY,
-        "conv",
         F.coalesce(F.sum("n").over(whole.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before_chunk"),
         F.count("*").over(W.partitionBy("__conv", "__null")).alias("n_chunks"),
         F.when(head["role"] == "system", head).alias("system"),
@@ -82,18 +81,19 @@ def windows(turns: DataFrame, b: Budget = Budget(), conv_col: str = "conv_id", t
     """conv_id, chunk, n_chunks, start (place of the first new turn, from 1), n_new, n_repeated, n_tokens, text, loss.
 
     loss lists (start, length) in code points of text: the bodies of this window's new assistant turns. Turns go by
-    turn number, then role, then text; null numbers come first. Null roles and texts are empty; a null conv_id is a conversation. Repeated rows
+    turn number, then role, then text; null numbers come first. Null roles and texts are empty; a null conv_id is a conversation (its type must be one that text goes back to). Repeated rows
     are turns of their own. History ends at the limits, and where a chunk does, except that a chunk's first window has that of the chunk before. A system
     turn is the first one, if its role is system; it is held whole, and new turns have a quarter of the budget at least. No rows, no windows. Other columns are not read.
     """
-    conv = F.col(conv_col)
-    rows = turns.select(conv.alias("conv"), F.coalesce(conv.cast("string"), F.lit("")).alias("__conv"), conv.isNull().alias("__null"), F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # The conversation goes as text and comes back in its type: turns and chunks then read the same columns, and one shuffle serves both.
+    conv, kind = F.col(conv_col), turns.schema[conv_col].dataType
+    rows = turns.select(F.coalesce(conv.cast("string"), F.lit("")).alias("__conv"), conv.isNull().alias("__null"), F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumns({"tokens": (F.regexp_count("text", F.lit(WORD)) + b.turn_tokens).cast("long"), "chunk": F.coalesce(F.floor(F.col("turn") / CHUNK), F.lit(-(1 << 60)))})
     by = W.partitionBy(*KEY)
     line = by.orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     upto = line.rowsBetween(W.unboundedPreceding, -1)
     t = rows.withColumns({"at": F.row_number().over(line), "before": F.coalesce(F.sum("tokens").over(upto), F.lit(0))})
-    t = t.drop("conv").join(_chunks(rows, b.history_turns), KEY)
+    t = t.join(_chunks(rows, b.history_turns), KEY)
     held = F.coalesce(F.col("system.tokens"), F.lit(0))
     room = F.greatest(F.lit(b.tokens - b.history_tokens) - held, F.lit(b.tokens // 4))
     t = t.withColumns({"solo": F.col("tokens") > F.floor(room / 2), "room": room})
@@ -111,10 +111,10 @@ def windows(turns: DataFrame, b: Budget = Budget(), conv_col: str = "conv_id", t
         # The turn is the i-th before a span's start, and with those between it is within the limit.
         fits = F.sum("tokens").over(line.rowsBetween(0, i - 1)) <= b.history_tokens
         items.append(F.when(F.lead("starts", i).over(line) & fits & ~(first_turn & F.col("system").isNotNull()), item(F.lead("span", i).over(line), F.col("at"), 1, own)))
-    some = t.select(*KEY, "conv", "n_chunks", "before_chunk", "span", F.when(F.col("at") == 1, F.col("tail")).alias("tail"), F.array_compact(F.array(*items)).alias("items"))
+    some = t.select(*KEY, "n_chunks", "before_chunk", "span", F.when(F.col("at") == 1, F.col("tail")).alias("tail"), F.array_compact(F.array(*items)).alias("items"))
     later = F.transform("tail", lambda x, k: F.struct(x.alias("turn"), F.aggregate(F.slice("tail", k + 1, F.size("tail")), F.lit(0).cast("long"), lambda s, y: s + y["tokens"]).alias("sum")))
     old = F.transform(F.filter(later, lambda x: x["sum"] <= b.history_tokens), lambda x: item(F.col("span"), x["turn"]["at"] - (1 << 30), 1, lambda c: x["turn"][c]))
-    said = some.select(*KEY, "conv", "n_chunks", "before_chunk", F.explode(F.concat("items", F.coalesce(old, F.array().cast(some.schema["items"].dataType)))).alias("x")).select(*KEY, "conv", "n_chunks", "before_chunk", "x.*")
+    said = some.select(*KEY, "n_chunks", "before_chunk", F.explode(F.concat("items", F.coalesce(old, F.array().cast(some.schema["items"].dataType)))).alias("x")).select(*KEY, "n_chunks", "before_chunk", "x.*")
     window = W.partitionBy(*KEY, "span")
     head = F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(CLOSE))
     body = escape(F.col("text"))
@@ -122,7 +122,6 @@ def windows(turns: DataFrame, b: Budget = Budget(), conv_col: str = "conv_id", t
     at = F.coalesce(F.sum(F.char_length("said")).over(window.orderBy("place").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + F.col("head")
     said = said.withColumn("loss", F.when((F.col("again") == 0) & (F.col("role") == "assistant"), F.struct(at.cast("int").alias("start"), F.col("body").cast("int").alias("length"))))
     out = said.groupBy(*KEY, "span").agg(
-        F.any_value("conv").alias("conv"),
         F.any_value("n_chunks").alias("n_chunks"),
         (F.any_value("before_chunk") + F.min(F.when(F.col("again") == 0, F.col("place")))).alias("start"),
         F.sort_array(F.collect_list(F.struct("place", "said", "loss"))).alias("parts"),
@@ -131,7 +130,7 @@ def windows(turns: DataFrame, b: Budget = Budget(), conv_col: str = "conv_id", t
         F.sum("tokens").alias("n_tokens"),
     )
     loss = F.filter(F.transform("parts", lambda x: x["loss"]), lambda x: x.isNotNull())
-    return out.select(*KEY[:2], F.col("conv").alias(conv_col), "chunk", "n_chunks", "start", "n_new", "n_repeated", "n_tokens", F.array_join(F.transform("parts", lambda x: x["said"]), "").alias("text"), loss.alias("loss"))
+    return out.select(*KEY[:2], F.when(~F.col("__null"), F.col("__conv").cast(kind)).alias(conv_col), "chunk", "n_chunks", "start", "n_new", "n_repeated", "n_tokens", F.array_join(F.transform("parts", lambda x: x["said"]), "").alias("text"), loss.alias("loss"))
 
 
 def read_turns(text: Column) -> Column:
