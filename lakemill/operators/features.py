@@ -159,20 +159,23 @@ def spearman(df: DataFrame, target: str, features: Sequence[str] | None = None,
 
     cols = need_numeric(df, features if features is not None else [c for c in numeric(df) if c != target])
     need_numeric(df, [target])
-    out = df.select(*[name(c).alias(f"v{k}") for k, c in enumerate([target, *cols])])
     from pyspark.sql import Window as W
 
-    for k in range(len(cols) + 1):
-        v = f"v{k}"
-        counts = out.where(F.col(v).isNotNull()).groupBy(F.col(v).alias("v")).agg(F.count("*").alias("n"))
-        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        dealt = written(counts.repartitionByRange(parts, "v").withColumn("part", F.spark_partition_id()), "ranks")
-        sums = dealt.groupBy("part").agg(F.sum("n").alias("s"))
-        base = sums.select("part", F.coalesce(F.sum("s").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-        before = F.coalesce(F.sum("n").over(W.partitionBy("part").orderBy("v").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + F.col("base")
-        rank = before + 1 if ties == "min" else before + (F.col("n") + 1) / 2
-        ranks = dealt.join(base, "part").select(F.col("v").alias(v), rank.cast("double").alias(f"r{k}"))
+    every = [target, *cols]
+    # All columns' distinct values with their counts, dealt in ranges of column and value.
+    flat = df.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), name(c).cast("double").alias("v")) for k, c in enumerate(every)])).alias("s")).select("s.*")
+    counts = flat.where("v is not null").groupBy("k", "v").agg(F.count("*").alias("n"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = written(counts.repartitionByRange(parts, "k", "v").withColumn("part", F.spark_partition_id()), "ranks")
+    base = dealt.groupBy("k", "part").agg(F.sum("n").alias("s")).select("k", "part", F.coalesce(F.sum("s").over(W.partitionBy("k").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("part", "k").orderBy("v").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    rank = F.col("before") + F.col("base") + (1 if ties == "min" else (F.col("n") + 1) / 2)
+    ranks = dealt.withColumn("before", before).join(base, ["k", "part"]).select("k", "v", rank.cast("double").alias("rank"))
+    sizes = {r["k"]: r["n"] for r in dealt.groupBy("k").agg(F.count("*").alias("n")).collect()}  # a row a column
+    out = df.select(*[name(c).cast("double").alias(f"v{k}") for k, c in enumerate(every)])
+    for k in range(len(every)):
+        own = ranks.where(F.col("k") == k).select(F.col("v").alias(f"v{k}"), F.col("rank").alias(f"r{k}"))
         # Ranks of up to a bounded number of values go to every task; beyond it both sides meet by value, where AQE splits values that many rows have.
-        out = out.join(F.broadcast(ranks) if dealt.count() <= BROADCAST_VALUES else ranks, v, "left")
+        out = out.join(F.broadcast(own) if sizes.get(k, 0) <= BROADCAST_VALUES else own, f"v{k}", "left")
     one = out.agg(*[correlation(F.col(f"r{k + 1}"), F.col("r0")).alias(f"p{k}") for k in range(len(cols))])
     return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(target).alias("target"), F.col(f"p{k}").alias("spearman")) for k, c in enumerate(cols)])).alias("s")).select("s.*")
