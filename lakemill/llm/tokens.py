@@ -11,6 +11,7 @@ import re
 from array import array
 from collections.abc import Callable
 from functools import lru_cache
+from operator import attrgetter
 
 import numpy as np
 
@@ -78,6 +79,9 @@ def distinct(raw: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray,
     return like, np.append(first, long)
 
 
+_ID = attrgetter("id")
+
+
 def _byte_letters() -> dict[int, int]:
     """Byte-level files write each byte as a letter: visible Latin-1 characters stand for themselves, the others from 256 on."""
     seen = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
@@ -129,18 +133,18 @@ class Encoder:
 
     def _ids(self, word: bytes) -> bytes:
         """Words of Latin letters go to the merges at once, without the search for word boundaries; others to the whole tokenizer."""
+        bare = word[1:] if word[0] == 32 else word
+        if bare.isalpha():  # of bytes: ASCII letters alone
+            if self.lower:
+                bare = bare.lower()
+            return self._merged(f"\u0120{bare.decode()}" if len(bare) < len(word) else bare.decode())
         text = word.decode()
-        spaced = text[0] == " "
-        bare = text[1:] if spaced else text
-        if bare.isascii() and bare.isalpha():
-            key = f"\u0120{bare}" if spaced else bare
-            return self._merged(key.lower() if self.lower else key)
         if self.plain(text):
             return self._merged((text.lower() if self.lower else text).encode().decode("latin-1").translate(self.letters))
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _merged(self, key: str) -> bytes:
-        return array("I", [t.id for t in self.merge(key)]).tobytes()
+        return array("I", map(_ID, self.merge(key))).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; null counts as empty."""
