@@ -87,3 +87,13 @@ def test_odd_columns_and_very_long_texts(spark, sf_dir):
         start = out if name != "mixing" else start
     assert not start.where("doc_id = 910001").take(1)
     assert cp.STAGES[-1][1](spark, start, sf_dir).count()
+
+
+def test_stage_tables_go_when_the_next_is_written(spark, sf_dir):
+    import os
+
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://") + "/lakemill"
+    stages = lambda: {f for f in os.listdir(folder) if f.startswith("stage-")} if os.path.isdir(folder) else set()
+    before = stages()
+    out = cp.run(spark, sf_dir)
+    assert [f.split("-")[1] for f in stages() - before] == ["mixing"] and out.count()
