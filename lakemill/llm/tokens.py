@@ -16,9 +16,9 @@ from operator import attrgetter
 import numpy as np
 
 #: Words kept in one generation of the memory; two generations are held, about 250 bytes a word each.
-MEMORY = 300_000
+MEMORY = 200_000
 #: Bytes of text whose words are found at once, about.
-AT_ONCE = 3 << 20
+AT_ONCE = 2 << 20
 
 #: Texts with other white space, control characters or the start of a special token are encoded in one piece.
 _PLAIN = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f\x85\xa0  -     　]|<\\|")
