@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from .common import cut
 from .tokens import encoder
 
+#: Words whose ids a task remembers, in each of two generations of about 200 bytes a word.
+WORDS = 300_000
 #: Pieces that one task packs, about. A task's partly filled last sequence is under a thousandth of its own, so few pieces go to one task.
 PIECES_A_TASK = 100_000
 
@@ -31,7 +33,7 @@ class Capacity:
     attention: int = 2048 * 2048
 
 
-def tokenize(docs: DataFrame, tokenizer: str, end_id: int, size: int, spaces: str = "leading", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def tokenize(docs: DataFrame, tokenizer: str, end_id: int, size: int, spaces: str = "leading", id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """Cut each document's ids (its text's, then end_id) into pieces of at most `size`: doc_id, piece, start, length, ids_crc32.
 
     Only documents longer than `size` are cut: every piece but the first has exactly `size` ids. Null texts count as
@@ -40,7 +42,7 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int, size: int, spaces: st
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(tokenizer, spaces), np.asarray([end_id], "<u4").tobytes()
+        enc, end = encoder(tokenizer, spaces, words), np.asarray([end_id], "<u4").tobytes()
         for b in batches:
             out: list[tuple] = []
             for a in range(0, b.num_rows, 1024):
@@ -133,6 +135,6 @@ def pack(pieces: DataFrame, cap: Capacity = Capacity(), score: str = "norm") ->
     return rows.repartition(many, F.xxhash64(*names)).mapInArrow(run, schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, cap: Capacity = Capacity(), spaces: str = "leading") -> DataFrame:
-    """Tokenise, cut and pack whole documents."""
-    return pack(tokenize(docs, tokenizer, end_id, cap.tokens, spaces), cap)
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, cap: Capacity = Capacity(), spaces: str = "leading", words: int = WORDS) -> DataFrame:
+    """Tokenise, cut and pack whole documents. words: how many words a task remembers."""
+    return pack(tokenize(docs, tokenizer, end_id, cap.tokens, spaces, words=words), cap)
