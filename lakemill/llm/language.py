@@ -5,8 +5,8 @@ has length one. The machines are fitted on the driver from a bounded sample (SAM
 language, each also as a short window so that short texts are met in training); prediction reads every text whole.
 
 The machines only weigh learned languages against each other, so accepted() asks a second question: how likely are the n-grams of the text's
-words in the learned language that fits best? The least likelihood is chosen between held-out texts of the sample and texts of no learned
-language: those of each language under the others alone, and texts whose letters are shuffled.
+words in the language that the machines name? The least likelihood is chosen between held-out texts of the sample and texts of no learned
+language, as machines that never saw them name them: texts whose own language is left out, and texts whose letters are shuffled.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import random
 import re
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from itertools import combinations
 
 import numpy as np
@@ -36,6 +36,8 @@ BUCKETS = 1 << 13
 SMOOTH = 1e-5
 #: In the choice of the least likelihood, one lost text of a learned language weighs as much as so many kept ones of no learned language.
 LOSS = 10
+#: Texts whose dense feature vectors are held at once where the filter is learned and applied: 4 MB.
+ROWS = 128
 
 #: Families of common languages. A language that is not listed is a family of its own.
 FAMILIES = {
@@ -79,6 +81,10 @@ def features(text: str) -> np.ndarray:
 _LETTERS = re.compile(r"(?<!\w)[^\W\d_]+(?!\w)")
 
 
+def _lettered(text: str | None) -> bool:
+    return bool(text) and any(map(str.isalpha, text))
+
+
 def _shares(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the n-grams of a text's words, and their shares; all n-grams where no word is of letters alone."""
     counts, n = _hashed(f" {' '.join(_LETTERS.findall(text)) or text} ")
@@ -154,13 +160,19 @@ class Discriminator:
         best = (votes + sums / (4 * k)).argmax(1)
         return best, p[np.arange(n), best]
 
+    def without(self, name: str) -> Discriminator:
+        """The same without a class: the machines between the others never saw it."""
+        place = {k: i for i, k in enumerate(k for k, c in enumerate(self.classes) if c != name)}
+        return Discriminator([self.classes[k] for k in place], {(place[i], place[j]): m for (i, j), m in self.machines.items() if i in place and j in place})
+
+
+def _machine(x: list[Sparse], y: np.ndarray, a: str, b: str) -> Machine:
+    own = np.flatnonzero((y == a) | (y == b))
+    return fit_machine([x[k] for k in own], np.where(y[own] == a, 1, -1))
+
 
 def _discriminator(classes: list[str], x: list[Sparse], y: np.ndarray) -> Discriminator:
-    out = Discriminator(classes)
-    for i, j in combinations(range(len(classes)), 2):
-        own = np.flatnonzero((y == classes[i]) | (y == classes[j]))
-        out.machines[i, j] = fit_machine([x[k] for k in own], np.where(y[own] == classes[i], 1, -1))
-    return out
+    return Discriminator(classes, {(i, j): _machine(x, y, classes[i], classes[j]) for i, j in combinations(range(len(classes)), 2)})
 
 
 @dataclass
@@ -168,23 +180,13 @@ class Model:
     families: Discriminator
     within: dict[str, Discriminator]
     #: Logarithms of the buckets' shares by language, and the least mean of them that accepted() takes.
+    langs: list[str] = field(default_factory=list)
     profiles: np.ndarray | None = None
     least: float = 0.0
 
-    def likelihood(self, text: str) -> float:
-        """The mean logarithm of the text's n-grams' shares in the language that fits best."""
-        return _likelihood(self.profiles, *_shares(text))
-
-    def known(self, text: str | None) -> bool:
-        """Has the text a letter, and is it as likely in a learned language as such texts are?"""
-        return self.profiles is not None and bool(text) and any(map(str.isalpha, text)) and self.likelihood(text) >= self.least
-
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        lang, score = ["und"] * len(texts), [0.0] * len(texts)
-        at = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))]
-        if not at or not self.families.classes:
-            return lang, score
-        x = np.stack([features(texts[i]) for i in at])
+    def identify(self, x: np.ndarray) -> tuple[list[str], list[float]]:
+        """Language and score of each feature vector: the family first, then the language within it."""
+        lang, score = [""] * len(x), [0.0] * len(x)
         fam, p = self.families.predict(x)
         for f, name in enumerate(self.families.classes):
             rows = np.flatnonzero(fam == f)
@@ -192,33 +194,104 @@ class Model:
                 d = self.within[name]
                 got, q = d.predict(x[rows])
                 for r, g, s in zip(rows, got, q * p[rows], strict=True):
-                    lang[at[r]], score[at[r]] = d.classes[g], float(s)
+                    lang[r], score[r] = d.classes[g], float(s)
         return lang, score
 
+    def likelihood(self, lang: str, shares: Sparse) -> float:
+        """The mean logarithm of a text's n-grams' shares in a language."""
+        at, share = shares
+        return float(self.profiles[self.langs.index(lang), at] @ share)
 
-def _likelihood(profiles: np.ndarray, at: np.ndarray, share: np.ndarray) -> float:
-    return float((profiles[:, at] @ share).max())
+    def known(self, texts: list[str | None]) -> list[bool]:
+        """Has each text a letter, and is it as likely in the language that the machines name as such texts are?"""
+        return [_lettered(t) and bool(self.langs) and self.likelihood(v, _shares(t)) >= self.least for t, v in zip(texts, self.predict(texts)[0], strict=True)]
 
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        lang, score = ["und"] * len(texts), [0.0] * len(texts)
+        at = [i for i, t in enumerate(texts) if _lettered(t)]
+        if not at or not self.families.classes:
+            return lang, score
+        for i, v, s in zip(at, *self.identify(np.stack([features(texts[i]) for i in at])), strict=True):
+            lang[i], score[i] = v, s
+        return lang, score
+
+
+@dataclass
+class Drawn:
+    """A document of the sample: feature vectors and shares of its text, of its window if that has a letter, and last of its shuffled letters."""
+
+    lang: str
+    x: list[Sparse]
+    own: list[Sparse]
 
-def _profiles(rows: list[tuple[str, tuple[np.ndarray, np.ndarray]]], langs: list[str]) -> np.ndarray:
+
+def _profiles(rows: list[Drawn], langs: list[str]) -> np.ndarray:
     out = np.zeros((len(langs), BUCKETS), np.float32)
-    for lang, (at, share) in rows:
-        out[langs.index(lang), at] += share
+    for r in rows:
+        for at, share in r.own[:-1]:
+            out[langs.index(r.lang), at] += share
     return np.log((out / np.maximum(out.sum(1, keepdims=True), 1e-9) + SMOOTH) / (1 + BUCKETS * SMOOTH))
 
 
-def _least(own: list[tuple[str, tuple[np.ndarray, np.ndarray]]], noise: list[tuple[np.ndarray, np.ndarray]]) -> float:
-    """The likelihood that best divides held-out texts (two folds; copies share one) from texts of no learned language."""
-    langs = sorted({lang for lang, _ in own})
-    fold = [zlib.crc32(at.tobytes() + share.tobytes()) % 2 for _, (at, share) in own]
+def _vectors(rows: list[Drawn]) -> tuple[list[Sparse], np.ndarray, np.ndarray]:
+    """Feature vectors of texts and windows, their languages and families."""
+    y = [r.lang for r in rows for _ in r.x[:-1]]
+    return [v for r in rows for v in r.x[:-1]], np.asarray(y), np.asarray([family_of(v) for v in y])
+
+
+def _fitted(rows: list[Drawn]) -> Model:
+    x, y, fam = _vectors(rows)
+    names, langs = sorted({*fam}), sorted({*y})
+    within = {f: _discriminator(sorted({*y[fam == f]}), [x[k] for k in np.flatnonzero(fam == f)], y[fam == f]) for f in names}
+    return Model(_discriminator(names, x, fam), within, langs, _profiles(rows, langs))
+
+
+def _left_out(model: Model, rows: list[Drawn], lang: str) -> Model:
+    """What _fitted() gives for the rows in other languages: only the machines of its family against others are fitted anew."""
+    if lang not in model.langs:
+        return model
+    f = family_of(lang)
+    families, own = model.families.without(f), model.within[f].without(lang)
+    within = {g: d for g, d in model.within.items() if g != f}
+    if own.classes:
+        x, _, fam = _vectors([r for r in rows if r.lang != lang])
+        families.machines |= {(i, len(families.classes)): _machine(x, fam, g, f) for i, g in enumerate(families.classes)}
+        families.classes.append(f)
+        within[f] = own
+    left = [k for k, v in enumerate(model.langs) if v != lang]
+    return Model(families, within, [model.langs[k] for k in left], model.profiles[left])
+
+
+def _likelihoods(model: Model, x: list[Sparse], own: list[Sparse]) -> list[float]:
+    """Each text's likelihood in the language that the machines name; of a model without languages none."""
+    out = []
+    for a in range(0, len(x) if model.langs else 0, ROWS):
+        dense = np.zeros((len(x[a : a + ROWS]), BUCKETS), np.float32)
+        for row, (at, v) in zip(dense, x[a : a + ROWS], strict=True):
+            row[at] = v
+        out += [model.likelihood(lang, v) for lang, v in zip(model.identify(dense)[0], own[a : a + ROWS], strict=True)]
+    return out
+
+
+def _least(rows: list[Drawn]) -> float:
+    """The likelihood that best divides held-out texts from texts of no learned language, each in the language that the machines name.
+
+    Machines and profiles are those of the other of two folds; a document's parts, and copies, share a fold. Where no text's language is learned in the
+    other fold nothing can be told, and all pass.
+    """
+    fold = [zlib.crc32(r.own[0][0].tobytes() + r.own[0][1].tobytes()) % 2 for r in rows]
     clean, other = [], []
     for k in (0, 1):
-        p = _profiles([r for r, f in zip(own, fold, strict=True) if f != k], langs)
-        for lang, v in (r for r, f in zip(own, fold, strict=True) if f == k):
-            clean.append(_likelihood(p, *v))
-            if len(langs) > 1:
-                other.append(_likelihood(np.delete(p, langs.index(lang), 0), *v))
-        other += [_likelihood(p, *v) for v in noise[k::2]]
+        train, held = [r for r, f in zip(rows, fold, strict=True) if f != k], [r for r, f in zip(rows, fold, strict=True) if f == k]
+        model = _fitted(train)
+        for lang in sorted({r.lang for r in held}):
+            texts = [v for r in held if r.lang == lang for v in r.x[:-1]], [v for r in held if r.lang == lang for v in r.own[:-1]]
+            if lang in model.langs:
+                clean += _likelihoods(model, *texts)
+            other += _likelihoods(_left_out(model, train, lang), *texts)
+        other += _likelihoods(model, [r.x[-1] for r in held], [r.own[-1] for r in held])
+    if not clean:
+        return -np.inf
     clean, other = np.sort(clean), np.sort(other)
     at = np.unique(np.concatenate([clean, other]))
     lost, passed = np.searchsorted(clean, at) / len(clean), 1 - np.searchsorted(other, at) / max(len(other), 1)
@@ -257,20 +330,17 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
                 if any(map(str.isalpha, text)):
                     mid = len(text) // 2
                     parts = [p for p in (text, text[mid : mid + 60]) if any(map(str.isalpha, p))]
-                    out.append((h, lang, [_blob((at, f[at])) for f in map(features, parts) for at in [np.flatnonzero(f)]], [_blob(_shares(p)) for p in parts], _blob(_shares(_shuffled(text)))))
+                    parts.append(_shuffled(text))
+                    out.append((h, lang, [_blob((at, f[at])) for f in map(features, parts) for at in [np.flatnonzero(f)]], [_blob(_shares(p)) for p in parts]))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.binary()), strict=True)], ["h", "lang", "x", "own", "noise"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.list_(pa.binary()), pa.list_(pa.binary())), strict=True)], ["h", "lang", "x", "own"])
 
-    got = drawn.mapInArrow(run, "h long, lang string, x array<binary>, own array<binary>, noise binary").orderBy("h", "lang", "noise").limit(2 * SAMPLE).collect()
+    got = drawn.mapInArrow(run, "h long, lang string, x array<binary>, own array<binary>").orderBy("h", "lang", "own").limit(2 * SAMPLE).collect()
     if not got:
         return Model(Discriminator([]), {})
-    x, y = [_vector(bytes(v)) for r in got for v in r["x"]], np.asarray([r["lang"] for r in got for _ in r["x"]])
-    own, noise = [(r["lang"], _vector(bytes(v))) for r in got for v in r["own"]], [_vector(bytes(r["noise"])) for r in got]
-    fam = np.asarray([family_of(v) for v in y])
-    names = sorted({*fam})
-    members = lambda f: np.flatnonzero(fam == f)
-    within = {f: _discriminator(sorted({*y[fam == f]}), [x[k] for k in members(f)], y[fam == f]) for f in names}
-    return Model(_discriminator(names, x, fam), within, _profiles(own, sorted({lang for lang, _ in own})), _least(own, noise))
+    sample = [Drawn(r["lang"], [_vector(bytes(v)) for v in r["x"]], [_vector(bytes(v)) for v in r["own"]]) for r in got]
+    least = _least(sample)  # first, so that its machines are gone when the model's are fitted
+    return replace(_fitted(sample), least=least)
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
@@ -295,13 +365,13 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "tex
 
 
 def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of docs, columns unchanged, whose text has a letter and is as likely in a learned language as its least likelihood."""
+    """The rows of docs, columns unchanged, whose text has a letter and is likely enough in the language that predict() gives it."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for b in batches:
-            yield b.filter(pa.array([m.known(t) for t in b.column(at).to_pylist()], pa.bool_()))
+            yield b.filter(pa.array([k for a in range(0, b.num_rows, ROWS) for k in m.known(b.column(at).slice(a, ROWS).to_pylist())], pa.bool_()))
 
     return filtered(docs, run)

@@ -655,6 +655,39 @@ def test_predictions_are_those_of_plain_machines(spark, sf_dir):
         assert got[r["doc_id"]]["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
 
 
+def test_the_least_likelihood_is_that_of_machines_fitted_without_the_texts(spark, sf_dir):
+    """Against models that are fitted anew for every fold and language left out, and a search of all thresholds."""
+    rows = []
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang is not null and text rlike '[a-z]'").orderBy("doc_id").limit(80).collect():
+        mid = len(r["text"]) // 2
+        parts = [p for p in (r["text"], r["text"][mid : mid + 60]) if any(map(str.isalpha, p))] + [language._shuffled(r["text"])]
+        rows.append((parts, language.Drawn(r["lang"], [(at, f[at]) for f in map(language.features, parts) for at in [np.flatnonzero(f)]], [language._shares(p) for p in parts])))
+    fold = [zlib.crc32(b"".join(v.tobytes() for v in d.own[0])) % 2 for _, d in rows]
+
+    def found(model, text):
+        at, share = language._shares(text)
+        return float(model.profiles[model.langs.index(plain_language(model, text)[0])][at] @ share)
+
+    clean, other = [], []
+    for k in (0, 1):
+        train = [d for (_, d), f in zip(rows, fold, strict=True) if f != k]
+        model = language._fitted(train)
+        without = {v: language._fitted([d for d in train if d.lang != v]) for v in {d.lang for _, d in rows}}
+        for (parts, d), f in zip(rows, fold, strict=True):
+            if f == k:
+                clean += [found(model, p) for p in parts[:-1]]
+                other += [found(m, p) for m, part in ((without[d.lang], parts[:-1]), (model, parts[-1:])) for p in part]
+    cost = {t: language.LOSS * sum(c < t for c in clean) / len(clean) + sum(o >= t for o in other) / len(other) for t in clean + other}
+    assert {d.lang for _, d in rows} == {"de", "en", "es", "fr"} and len(clean) < len(other)
+    least = language._least([d for _, d in rows])
+    assert least == pytest.approx(min(sorted(cost), key=cost.get), abs=1e-4)
+
+
+def test_a_single_text_passes_its_own_filter(spark):
+    one = spark.createDataFrame([(i, "one text and no other", "en") for i in range(3)] + [(9, "12", "en")], "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in language.accepted(one, language.fit(one)).collect()} == {0, 1, 2}
+
+
 def test_the_sample_is_bounded(spark, monkeypatch):
     monkeypatch.setattr(language, "SAMPLE", 40)
     rows = [(1, "the same english text again and again", "en")] * 500 + [(i, f"ein deutscher satz nummer {i}", "de") for i in range(500)]

@@ -1,14 +1,16 @@
 import re
 from collections import Counter
+from dataclasses import replace
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from lakemill.llm import language, queries
 from lakemill.llm.common import cut, fold
 
-from test_operators import check_packed, jaccard_components, labels_outside, plain_toxicity
+from test_operators import check_packed, jaccard_components, labels_outside, plain_language, plain_toxicity
 
 
 def test_stages_on_odd_rows(spark, sf_dir):
@@ -76,6 +78,32 @@ def test_stages_are_those_of_plain_versions(spark, sf_dir, tmp_path):
     assert sorted(tuple(r) for r in cp.run(spark, sf_dir).select("doc_id", "piece", "length", "ids_crc32").collect()) == sorted((r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in got)
 
 
+@pytest.mark.parametrize("turned", [False, True])
+def test_language_stage_judges_a_text_in_the_language_that_the_machines_name(spark, sf_dir, monkeypatch, turned):
+    """Against plain machines and likelihoods; machines turned round name wrong languages, in which hardly a text is likely."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = language.fit(docs.where(fold("doc_id", 4) != 2))
+    if turned:
+        back = lambda d: replace(d, machines={k: replace(m, w=-m.w, b=-m.b) for k, m in d.machines.items()})
+        model = replace(model, families=back(model.families), within={f: back(d) for f, d in model.within.items()})
+    monkeypatch.setattr(language, "fit", lambda train: model)
+
+    def margin(text):
+        lang, _ = plain_language(model, text)
+        if lang == "und":
+            return None
+        raw = f" {' '.join(re.findall(r'(?<!\w)[^\W\d_]+(?!\w)', text)) or text} ".lower().encode()
+        grams = [int.from_bytes(raw[i : i + k], "big") + (0x9E3779B9 * k & 0xFFFFFFFF) for k in (1, 2, 3) for i in range(len(raw) - k + 1)]
+        own = model.profiles[model.langs.index(lang)]
+        return sum(float(own[(g * 0x85EBCA6B & 0xFFFFFFFF) >> 19]) for g in grams) / len(grams) - model.least
+
+    plain = {r["doc_id"]: margin(r["text"]) for r in docs.collect()}
+    assert all(x is None or abs(x) > 1e-5 for x in plain.values())  # none is decided by rounding
+    got = [r["doc_id"] for r in cp.known_language(spark, docs, sf_dir).collect()]
+    assert sorted(got) == sorted(i for i, x in plain.items() if x is not None and x >= 0)
+    assert len(got) <= 0.05 * len(plain) if turned else len(got) >= 0.95 * len(plain)
+
+
 def test_odd_columns_and_very_long_texts(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
     long = spark.createDataFrame([(910_000, "the of and to " * 100_000, "en", "src0", 1), (910_001, "the of and to " * 100_000, "en", "src0", 1)], docs.schema)
