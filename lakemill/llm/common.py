@@ -61,6 +61,15 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let the driver's JVM collect its garbage, for loops of many small jobs.
+
+    Each small table that a join broadcasts leaves megabytes of short-lived arrays on the driver, and the heap grows to its limit before it is cleared. What
+    Spark keeps for tables that nothing refers to any more (broadcasts, shuffle files) goes with it.
+    """
+    spark._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -97,6 +106,7 @@ def components(edges: DataFrame) -> DataFrame:
     e = edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     live = cut(e.where("u is not null and v is not null and u <> v").distinct(), "edges")
     hops: list[DataFrame] = []
+    spark = edges.sparkSession
     while not is_empty(live):
         rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(len(hops))).alias("h"), F.col(c).alias("n"))  # noqa: B023, E731
         ends = live.select("u", "v").union(live.select("v", "u")).toDF("node", "other")
@@ -107,7 +117,7 @@ def components(edges: DataFrame) -> DataFrame:
         uncut(live)
         live = after
         hops.append(hop)
-    spark = edges.sparkSession
+        tidy(spark)
     if not hops:
         return spark.createDataFrame([], T.StructType([T.StructField("node", T.LongType()), T.StructField("component", T.LongType())]))
     at = hops[0]

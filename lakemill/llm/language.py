@@ -85,9 +85,14 @@ def _lettered(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
 
+def _worded(text: str) -> str:
+    """A text's words of letters alone; the text where it has none."""
+    return f" {' '.join(_LETTERS.findall(text)) or text} "
+
+
 def _shares(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the n-grams of a text's words, and their shares; all n-grams where no word is of letters alone."""
-    counts, n = _hashed(f" {' '.join(_LETTERS.findall(text)) or text} ")
+    counts, n = _hashed(_worded(text))
     at = np.flatnonzero(counts)
     return at, (counts[at] / n).astype(np.float32)
 
@@ -298,20 +303,27 @@ def _least(rows: list[Drawn]) -> float:
     return float(at[(LOSS * lost + passed).argmin()])
 
 
-def _blob(v: Sparse) -> bytes:
-    return v[0].astype("<u2").tobytes() + v[1].astype("<f4").tobytes()
+def _blob(counts: np.ndarray, n: int) -> bytes:
+    """Counts of n-grams by bucket, and how many there are, in about a fifth of the bytes that buckets and shares take: gaps and counts, byte by byte, compressed."""
+    at = np.flatnonzero(counts)
+    planes = [x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes() for x in (np.diff(at, prepend=0).astype("<u2"), counts[at].astype("<u8"))]
+    return zlib.compress(b"".join([n.to_bytes(8, "little"), *planes]), 1)
 
 
-def _vector(blob: bytes) -> Sparse:
-    k = len(blob) // 6
-    return np.frombuffer(blob, "<u2", k), np.frombuffer(blob, "<f4", offset=2 * k)
+def _shared(blob: bytes) -> Sparse:
+    """The shares that _blob() was given the counts of."""
+    raw = np.frombuffer(zlib.decompress(blob), np.uint8)
+    k = (len(raw) - 8) // 10
+    gaps, counts = (np.ascontiguousarray(x.reshape(-1, k).T).view(t).ravel() if k else x.view(t) for x, t in ((raw[8 : 8 + 2 * k], "<u2"), (raw[8 + 2 * k :], "<u8")))
+    return np.cumsum(gaps, dtype="<u2"), counts.astype(np.int64) / max(int(raw[:8].view("<u8")[0]), 1)
 
 
 def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fit on the rows of train that have a language (one of the LANGUAGES most frequent) and a letter. No such rows: a model that answers 'und'.
 
     The sample is drawn by a hash of id and text, at a rate that gives each language its share; rows that are equal in both are drawn together, so
-    at most twice SAMPLE rows, those of the smallest hashes, reach the driver, as sparse vectors.
+    at most twice SAMPLE rows, those of the smallest hashes, reach the driver, as compressed counts: its JVM holds them several times over while they are
+    merged and handed on.
     """
     rows = train.select(F.xxhash64(F.col(id_col), F.col(text_col), F.lit(11)).alias("h"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text is not null")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
@@ -331,14 +343,15 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
                     mid = len(text) // 2
                     parts = [p for p in (text, text[mid : mid + 60]) if any(map(str.isalpha, p))]
                     parts.append(_shuffled(text))
-                    out.append((h, lang, [_blob((at, f[at])) for f in map(features, parts) for at in [np.flatnonzero(f)]], [_blob(_shares(p)) for p in parts]))
+                    out.append((h, lang, [_blob(*_hashed(p)) for p in parts], [_blob(*_hashed(_worded(p))) for p in parts]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.list_(pa.binary()), pa.list_(pa.binary())), strict=True)], ["h", "lang", "x", "own"])
 
     got = drawn.mapInArrow(run, "h long, lang string, x array<binary>, own array<binary>").orderBy("h", "lang", "own").limit(2 * SAMPLE).collect()
     if not got:
         return Model(Discriminator([]), {})
-    sample = [Drawn(r["lang"], [_vector(bytes(v)) for v in r["x"]], [_vector(bytes(v)) for v in r["own"]]) for r in got]
+    sample = [Drawn(r["lang"], [(at, np.sqrt(v).astype(np.float32)) for at, v in map(_shared, r["x"])], [(at, v.astype(np.float32)) for at, v in map(_shared, r["own"])]) for r in got]
+    del got
     least = _least(sample)  # first, so that its machines are gone when the model's are fitted
     return replace(_fitted(sample), least=least)
 

@@ -471,6 +471,14 @@ def test_components(spark):
 # 7
 
 
+def test_components_leave_no_garbage_on_the_driver(spark):
+    beans = spark._jvm.java.lang.management.ManagementFactory
+    full = lambda: sum(b.getCollectionCount() for b in beans.getGarbageCollectorMXBeans() if "Young" not in b.getName())
+    before = full()
+    out = common.components(spark.range(50).selectExpr("id as u", "id + 1 as v"))
+    assert full() >= before + 2 and {r["component"] for r in out.collect()} == {0}
+
+
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(2)
     vs = []
@@ -695,6 +703,28 @@ def test_the_sample_is_bounded(spark, monkeypatch):
     assert model.families.classes == ["germanic"] and model.within["germanic"].classes in (["de"], ["de", "en"])
 
 
+def test_the_sample_reaches_the_driver_in_few_bytes(spark, sf_dir, monkeypatch):
+    """The driver's JVM holds the sample several times over: at most two bytes for each bucket of a vector, and the vectors are those of the texts."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    got, kept, collect = [], [], type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda df: got.append(collect(df)) or got[-1])
+    monkeypatch.setattr(language, "_least", lambda rows: kept.extend(rows) or 0.0)
+    language.fit(docs)
+    vectors = [v for r in kept for v in r.x + r.own]
+    assert sum(len(b) for rows in got for r in rows for c in r if isinstance(c, list) for b in c) <= 2 * sum(len(at) for at, _ in vectors)
+    texts = {r["text"] for r in collect(docs) if r["text"] and r["lang"]}
+    whole = {(at.astype(int).tobytes(), v.tobytes()) for t in texts for f in [language.features(t)] for at in [np.flatnonzero(f)] for v in [f[at]]}
+    shares = {(at.astype(int).tobytes(), v.tobytes()) for at, v in map(language._shares, texts)}
+    assert kept and all((r.x[0][0].astype(int).tobytes(), r.x[0][1].tobytes()) in whole and (r.own[0][0].astype(int).tobytes(), r.own[0][1].tobytes()) in shares for r in kept)
+
+
+def test_counts_come_back():
+    for text in ("", "a", "one text and no other", "Ärger und Straße " * 5000):
+        counts, n = language._hashed(text)
+        at, v = language._shared(language._blob(counts, n))
+        assert np.array_equal(at, np.flatnonzero(counts)) and np.array_equal(v, counts[at] / max(n, 1))
+
+
 def test_long_texts_are_counted_in_blocks():
     text = "Ärger und Straße " * 100_000
     counts, n = language._hashed(text)
