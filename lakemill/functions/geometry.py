@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import math
 import re
+from itertools import accumulate, pairwise
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -117,6 +119,35 @@ def as_wkt(g: Column) -> Column:
     return F.udf(lambda r: to_wkt(None if r is None else (*r[:4], [[[tuple(p) for p in ring] for ring in part] for part in r[4]])), "string", useArrow=True)(g)
 
 
+def tuples(array: pa.StructArray) -> list:
+    """The geometries of an Arrow array as tuples (gtype, srid, has_z, has_m, parts) or None; points are tuples, all above them lists."""
+    fields = array.flatten()
+    levels, inner = [], fields[4]
+    for _ in range(3):
+        levels.append(inner.offsets.to_pylist())
+        inner = inner.values
+    made = list(zip(*[[None] * len(c) if c.null_count == len(c) else c.to_pylist() for c in inner.flatten()], strict=True))
+    for ends_ in reversed(levels):
+        made = [made[a:b] for a, b in pairwise(ends_)]
+    heads = zip(*[f.to_pylist() for f in fields[:4]], strict=True)
+    return [(*head, parts) if there else None for head, parts, there in zip(heads, made, array.is_valid().to_pylist(), strict=True)]
+
+
+def from_tuples(found: list) -> pa.StructArray:
+    """tuples() the other way."""
+    there = [g is not None for g in found]
+    head = lambda k, kind: pa.array([None if g is None else g[k] for g in found], kind)
+    items, sizes = [g[4] if g is not None else [] for g in found], []
+    for _ in range(3):
+        sizes.append(pa.array(accumulate(map(len, items), initial=0), pa.int32()))
+        items = [v for i in items for v in i]
+    columns = [[p[k] for p in items] for k in range(4)]
+    inner = pa.StructArray.from_arrays([pa.array(c, pa.float64()) for c in columns], names=list("xyzm"))
+    for offsets in reversed(sizes):
+        inner = pa.ListArray.from_arrays(offsets, inner)
+    return pa.StructArray.from_arrays([head(0, pa.string()), head(1, pa.int32()), head(2, pa.bool_()), head(3, pa.bool_()), inner], names=GEOMETRY.names, mask=pa.array([not t for t in there], pa.bool_()))
+
+
 def point(x: Column, y: Column, srid: int = 0) -> Column:
     """A point column; null if a coordinate is."""
     p = F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"), F.lit(None).cast("double").alias("z"), F.lit(None).cast("double").alias("m"))
@@ -135,6 +166,11 @@ def rectangle(x0: Column, y0: Column, x1: Column, y1: Column, srid: Column | int
 # Accessors
 
 
+def _let(value: Column, of) -> Column:
+    """of(value), with the value found once however often `of` names it."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def points(g: Column) -> Column:
     return F.flatten(F.flatten(g["parts"]))
 
@@ -148,29 +184,60 @@ def _filled(g: Column, value: Column) -> Column:
 
 
 def extreme(g: Column, axis: str, largest: bool) -> Column:
-    v = F.filter(F.transform(points(g), lambda p: p[axis]), lambda v: v.isNotNull())
-    return _filled(g, F.array_max(v) if largest else F.array_min(v))
+    """Null without points, as nulls are passed over."""
+    v = points(g)[axis]
+    return F.array_max(v) if largest else F.array_min(v)
 
 
 def coordinate(g: Column, axis: str) -> Column:
-    return _filled(g, F.get(points(g), F.lit(0))[axis])
+    return F.get(points(g), F.lit(0))[axis]
+
+
+def ends(g: Column) -> Column:
+    """The box of a geometry as a struct."""
+    return F.struct(*[extreme(g, axis, end == "b").alias(f"{axis}{end}") for axis in "xy" for end in "ab"])
+
+
+def is_box(g: Column) -> Column:
+    """Whether an area is one rectangle along the axes, and so the same as its box; null for null."""
+    turns = lambda u, v: (u[0] == u[1]) & (v[1] == v[2]) & (u[2] == u[3]) & (v[3] == v[0])
+
+    def of(ring: Column) -> Column:
+        x, y = ([F.get(ring, F.lit(k))[axis] for k in range(5)] for axis in "xy")
+        return (x[0] == x[4]) & (y[0] == y[4]) & (x[0] != x[2]) & (y[0] != y[2]) & (turns(x, y) | turns(y, x))
+
+    whole = (F.size(g["parts"]) == 1) & (F.size(F.get(g["parts"], F.lit(0))) == 1) & (F.size(points(g)) == 5) & g["gtype"].endswith("POLYGON")
+    return F.when(g.isNotNull(), F.coalesce(whole & _let(points(g), of), F.lit(False)))
+
+
+def _boxed(g: Column, of) -> Column:
+    """of(the box with the reference system), the geometry and its box each found once; null without points."""
+    box = lambda g: F.when(F.size(points(g)) > 0, F.struct(g["srid"].alias("srid"), ends(g)["xa"].alias("xa"), ends(g)["ya"].alias("ya"), ends(g)["xb"].alias("xb"), ends(g)["yb"].alias("yb")))
+    return _let(_let(g, box), lambda b: F.when(b.isNotNull(), of(b)))
 
 
 def mbr(g: Column) -> Column:
     """The smallest rectangle; a point for a point, a line for an axis-parallel one."""
-    x0, y0, x1, y1 = (extreme(g, a, b) for a, b in (("x", False), ("y", False), ("x", True), ("y", True)))
-    pt = point(x0, y0)
     none = F.lit(None).cast("double")
     p = lambda x, y: F.struct(x.alias("x"), y.alias("y"), none.alias("z"), none.alias("m"))
-    line = F.struct(F.lit("LINESTRING").alias("gtype"), g["srid"].alias("srid"), F.lit(False).alias("has_z"), F.lit(False).alias("has_m"), F.array(F.array(F.array(p(x0, y0), p(x1, y1)))).alias("parts")).cast(GEOMETRY)
-    return _filled(g, F.when((x0 == x1) & (y0 == y1), pt).when((x0 == x1) | (y0 == y1), line).otherwise(rectangle(x0, y0, x1, y1, g["srid"])))
+
+    def of(box: Column) -> Column:
+        x0, y0, x1, y1 = (box[c] for c in ("xa", "ya", "xb", "yb"))
+        line = F.struct(F.lit("LINESTRING").alias("gtype"), box["srid"].alias("srid"), F.lit(False).alias("has_z"), F.lit(False).alias("has_m"), F.array(F.array(F.array(p(x0, y0), p(x1, y1)))).alias("parts")).cast(GEOMETRY)
+        return F.when((x0 == x1) & (y0 == y1), point(x0, y0)).when((x0 == x1) | (y0 == y1), line).otherwise(rectangle(x0, y0, x1, y1, box["srid"]))
+
+    return _boxed(g, of)
 
 
 def envelope(g: Column, edge: float = 1e-6) -> Column:
     """Always a polygon: a degenerate box is enlarged a little."""
-    x0, y0, x1, y1 = (extreme(g, a, b) for a, b in (("x", False), ("y", False), ("x", True), ("y", True)))
-    dx, dy = F.when(x0 == x1, F.lit(edge)).otherwise(0.0), F.when(y0 == y1, F.lit(edge)).otherwise(0.0)
-    return _filled(g, rectangle(x0 - dx, y0 - dy, x1 + dx, y1 + dy, g["srid"]))
+
+    def of(box: Column) -> Column:
+        x0, y0, x1, y1 = (box[c] for c in ("xa", "ya", "xb", "yb"))
+        dx, dy = F.when(x0 == x1, F.lit(edge)).otherwise(0.0), F.when(y0 == y1, F.lit(edge)).otherwise(0.0)
+        return rectangle(x0 - dx, y0 - dy, x1 + dx, y1 + dy, box["srid"])
+
+    return _boxed(g, of)
 
 
 def centroid(g: Column) -> Column:
@@ -249,7 +316,10 @@ def _in_degrees(g: Column) -> Column:
 
 def length(g: Column, unit: str | None = None) -> Column:
     """Of all rings: the length of lines, the perimeter of polygons. Without a unit, in that of the reference system."""
-    m = check_unit(unit)
+    return _let(g, lambda g: _length(g, check_unit(unit)))
+
+
+def _length(g: Column, m: float | None) -> Column:
     rings = F.flatten(g["parts"])
     flat = _sum(F.flatten(F.transform(rings, lambda r: _edges(r, lambda a, b: F.hypot(b["x"] - a["x"], b["y"] - a["y"])))))
     if m is None:
@@ -260,8 +330,10 @@ def length(g: Column, unit: str | None = None) -> Column:
 
 def area(g: Column, unit: str | None = None) -> Column:
     """Outer rings less holes; 0 for points and lines. With a unit, degrees are taken to the sphere of the ellipsoid's area."""
-    m = check_unit(unit)
+    return _let(g, lambda g: _area(g, check_unit(unit)))
 
+
+def _area(g: Column, m: float | None) -> Column:
     def of(edge) -> Column:
         rings = F.transform(g["parts"], lambda part: F.transform(part, lambda r, k: F.when(k == 0, 1).otherwise(-1) * F.abs(_sum(_edges(r, edge)))))
         return F.when(g["gtype"].endswith("POLYGON"), _sum(F.flatten(rings))).otherwise(0.0)
@@ -274,14 +346,27 @@ def area(g: Column, unit: str | None = None) -> Column:
 
 
 def mbr_intersects(a: Column, b: Column) -> Column:
-    box = lambda g: [extreme(g, c, hi) for c, hi in (("x", False), ("x", True), ("y", False), ("y", True))]
-    p, q = box(a), box(b)
-    return ((p[0] <= q[1]) & (q[0] <= p[1]) & (p[2] <= q[3]) & (q[2] <= p[3])).cast("int")
+    return boxes_meet(ends(a), ends(b)).cast("int")
+
+
+def boxes_meet(p: Column, q: Column) -> Column:
+    """Of two ends()."""
+    return (p["xa"] <= q["xb"]) & (q["xa"] <= p["xb"]) & (p["ya"] <= q["yb"]) & (q["ya"] <= p["yb"])
 
 
 def locate(p: Column, g: Column) -> Column:
     """Where a point is in an area: 1 inside, 0 on its boundary, -1 outside; null if either is null or empty."""
-    x, y = coordinate(p, "x"), coordinate(p, "y")
+    return _filled(p, place(coordinate(p, "x"), coordinate(p, "y"), g))
+
+
+def place_in_box(x: Column, y: Column, box: list[Column]) -> Column:
+    """locate() for a rectangle along the axes with these ends (xa, xb, ya, yb)."""
+    xa, xb, ya, yb = box
+    return F.when((x > xa) & (x < xb) & (y > ya) & (y < yb), 1).when((x >= xa) & (x <= xb) & (y >= ya) & (y <= yb), 0).otherwise(-1)
+
+
+def place(x: Column, y: Column, g: Column) -> Column:
+    """locate() for a point's coordinates."""
 
     def at(part: Column) -> Column:
         edges = F.flatten(F.transform(part, lambda r: _edges(r, lambda a, b: F.struct(a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2")))))
@@ -290,13 +375,23 @@ def locate(p: Column, g: Column) -> Column:
         right = lambda e: ((e["y1"] > y) != (e["y2"] > y)) & F.coalesce(x < F.try_divide((e["x2"] - e["x1"]) * (y - e["y1"]), e["y2"] - e["y1"]) + e["x1"], F.lit(False))
         return F.when(F.exists(edges, on), 0).when(F.size(F.filter(edges, right)) % 2 == 1, 1).otherwise(-1)
 
-    return _filled(p, _filled(g, F.array_max(F.transform(g["parts"], at))))
+    return _filled(g, F.array_max(F.transform(g["parts"], at)))
 
 
 def point_distance(a: Column, b: Column, unit: str | None = None) -> Column:
     """Between two points."""
+    return distance_of(spot(a), spot(b), unit)
+
+
+def spot(p: Column) -> Column:
+    """What distances need of a point."""
+    return F.struct(coordinate(p, "x").alias("x"), coordinate(p, "y").alias("y"), p["srid"].alias("srid"))
+
+
+def distance_of(a: Column, b: Column, unit: str | None = None) -> Column:
+    """Between two spot()s."""
     m = check_unit(unit)
-    x1, y1, x2, y2 = coordinate(a, "x"), coordinate(a, "y"), coordinate(b, "x"), coordinate(b, "y")
+    x1, y1, x2, y2 = a["x"], a["y"], b["x"], b["y"]
     flat = F.hypot(x2 - x1, y2 - y1)
     return flat if m is None else F.when(_in_degrees(a), lambert(x1, y1, x2, y2)).otherwise(flat) / m
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import partial
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,12 +17,15 @@ PREDICATES = ("equals", "crosses", "intersects", "overlaps", "touches", "disjoin
 LINES, AREAS = ("LINESTRING", "MULTILINESTRING"), ("POLYGON", "MULTIPOLYGON")
 
 
-def _tuple(r):
-    return None if r is None else (*r[:4], [[[tuple(p) for p in ring] for ring in part] for part in r[4]])
+def _udf(of, kind=G.GEOMETRY):
+    """A function of geometry tuples as a function of columns; null if an argument is. Rows come and go as Arrow arrays, not as Spark's rows."""
+    value = None if kind is G.GEOMETRY else {"int": pa.int32(), "double": pa.float64()}[kind]
 
+    def run(*arrays: pa.Array) -> pa.Array:
+        found = [None if any(x is None for x in a) else of(*a) for a in zip(*map(G.tuples, arrays), strict=True)]
+        return G.from_tuples(found) if value is None else pa.array(found, value)
 
-def _udf(of, kind=G.GEOMETRY):
-    return F.udf(lambda *a: None if any(x is None for x in a) else of(*map(_tuple, a)), kind, useArrow=True)
+    return F.arrow_udf(run, kind)
 
 
 class GeoSeries(Series):
@@ -160,9 +164,14 @@ class GeoFrame(Frame):
         side = lambda f, k: f.df.select(name(f._index).alias(f"INDEXERIDA{k}"), name(f._geometry).alias(f"g{k}"))
         return side(self, 1), side(other, 2)
 
-    def _pairs(self, other: GeoFrame, of) -> GeoFrame | Frame:
-        """Every pair of rows, as the operation is defined: INDEXERIDA1, INDEXERIDA2, RESULT. Use matching() for predicates on many rows."""
+    def _pairs(self, other: GeoFrame, of, each=None) -> GeoFrame | Frame:
+        """Every pair of rows, as the operation is defined: INDEXERIDA1, INDEXERIDA2, RESULT. Use matching() for predicates on many rows.
+
+        each: what `of` needs of a geometry, found before the rows meet.
+        """
         a, b = self._sides(other)
+        if each:
+            a, b = a.withColumn("g1", each(F.col("g1"))), b.withColumn("g2", each(F.col("g2")))
         return Frame(a.crossJoin(b).select("INDEXERIDA1", "INDEXERIDA2", of(F.col("g1"), F.col("g2")).alias("RESULT")))
 
     def matching(self, other: GeoFrame, predicate: str, cell: float | None = None) -> Frame:
@@ -174,18 +183,32 @@ class GeoFrame(Frame):
             raise ValueError(f"not a predicate of meeting geometries: {predicate}")
         a, b = self._sides(other)
         cell = cell or max(_extent(a, "g1"), _extent(b, "g2")) / 2 or 1.0
+        kinds = _kinds(a, "g1"), _kinds(b, "g2")
+        at_place, point = _place_test(predicate, *kinds)
+        area = 3 - point
+        # Without other areas than rectangles along the axes, pairs are told by comparisons alone, which Spark compiles with the join.
+        boxes = bool(point) and (b if point == 1 else a).agg(F.bool_and(G.is_box(F.col(f"g{area}")))).first()[0] is not False
 
         def gridded(d: DataFrame, g: str, k: int) -> DataFrame:
             ends = {f"{axis}{end}{k}": G.extreme(F.col(g), axis, end == "b") for axis in "xy" for end in "ab"}
             at = lambda c: F.floor(F.col(f"{c}{k}") / cell)
-            box = d.where(G.is_empty(F.col(g)) == 0).withColumns(ends).withColumn("x", F.explode(F.sequence(at("xa"), at("xb"))))
+            box = d.where(G.is_empty(F.col(g)) == 0).withColumns(ends)
+            if point == k or boxes:  # known by its ends
+                box = box.drop(g)
+            box = box.withColumn("x", F.explode(F.sequence(at("xa"), at("xb"))))
             return box.withColumn("y", F.explode(F.sequence(at("ya"), at("yb"))))
 
-        met = gridded(a, "g1", 1).join(gridded(b, "g2", 2), ["x", "y"])
+        # Never by broadcast: Spark takes the size of a side before its rows are laid on the grid.
+        met = gridded(a, "g1", 1).hint("merge").join(gridded(b, "g2", 2), ["x", "y"])
+        overlap = (F.col("xa1") <= F.col("xb2")) & (F.col("xa2") <= F.col("xb1")) & (F.col("ya1") <= F.col("yb2")) & (F.col("ya2") <= F.col("yb1"))
+        if point:  # a point is in one square only
+            x, y, ends = F.col(f"xa{point}"), F.col(f"ya{point}"), [F.col(f"{c}{area}") for c in ("xa", "xb", "ya", "yb")]
+            at = G.place_in_box(x, y, ends) if boxes else G.place(x, y, F.col(f"g{area}"))
+            return Frame(met.where(overlap & at_place(at)).select("INDEXERIDA1", "INDEXERIDA2"))
         # A pair that shares many squares is taken in the first of them.
         first = (F.col("x") == F.floor(F.greatest("xa1", "xa2") / cell)) & (F.col("y") == F.floor(F.greatest("ya1", "ya2") / cell))
-        met = met.where(first & (F.col("xa1") <= F.col("xb2")) & (F.col("xa2") <= F.col("xb1")) & (F.col("ya1") <= F.col("yb2")) & (F.col("ya2") <= F.col("yb1")))
-        holds = _predicate(predicate, _kinds(a, "g1"), _kinds(b, "g2"))
+        met = met.where(overlap & first)
+        holds = _predicate(predicate, *kinds)
         return Frame(met.where(holds(F.col("g1"), F.col("g2")) == 1).select("INDEXERIDA1", "INDEXERIDA2"))
 
     def distance(self, other: GeoFrame, unit: str | None = None) -> Frame:
@@ -199,11 +222,19 @@ class GeoFrame(Frame):
             flat = ((p[0] - q[0]) ** 2 + (p[1] - q[1]) ** 2) ** 0.5
             return flat if m is None else (G.earth_distance(*p, *q) if a[1] in G.GEOGRAPHIC else flat) / m
 
-        both = lambda a, b: F.when((a["gtype"] == "POINT") & (b["gtype"] == "POINT"), G.point_distance(a, b, unit)).otherwise(_udf(far, "double")(a, b))
+        a, b = self._sides(other)
+        if _kinds(a, "g1") | _kinds(b, "g2") <= {"POINT"}:
+            return self._pairs(other, lambda p, q: G.distance_of(p, q, unit), G.spot)
+
+        def both(a: Column, b: Column) -> Column:
+            # A Python function is run for the rows of every branch: pairs of points go to it as nulls.
+            points = (a["gtype"] == "POINT") & (b["gtype"] == "POINT")
+            return F.when(points, G.point_distance(a, b, unit)).otherwise(_udf(far, "double")(F.when(~points, a), b))
+
         return self._pairs(other, both)
 
     def mbr_intersects(self, other: GeoFrame) -> Frame:
-        return self._pairs(other, G.mbr_intersects)
+        return self._pairs(other, lambda p, q: G.boxes_meet(p, q).cast("int"), G.ends)
 
 
 def _extent(d: DataFrame, g: str) -> float:
@@ -223,12 +254,17 @@ _OF_PLACE = {"within": lambda at: at == 1, "intersects": lambda at: at >= 0, "to
 _CONVERSE = {"within": "contains", "contains": "within"}
 
 
+def _place_test(which: str, kinds1: set[str], kinds2: set[str]):
+    """Of points against areas: the test of a point's place, and which side holds the points (1 or 2); else the side is 0."""
+    side = 1 if kinds1 <= {"POINT"} and kinds2 <= {*AREAS} else 2 if kinds2 <= {"POINT"} and kinds1 <= {*AREAS} else 0
+    return _OF_PLACE.get(_CONVERSE.get(which, which) if side == 2 else which, lambda at: F.lit(False)), side
+
+
 def _predicate(which: str, kinds1: set[str], kinds2: set[str]):
     """Points against areas natively; of the rest, pairs whose boxes meet in Python."""
-    if kinds1 <= {"POINT"} and kinds2 <= {*AREAS} or kinds2 <= {"POINT"} and kinds1 <= {*AREAS}:
-        swap = not kinds1 <= {"POINT"}
-        test = _OF_PLACE.get(_CONVERSE.get(which, which) if swap else which)
-        return lambda a, b: (test(G.locate(b, a) if swap else G.locate(a, b)) if test else F.when(a.isNotNull() & b.isNotNull(), F.lit(False))).cast("int")
+    test, point = _place_test(which, kinds1, kinds2)
+    if point:
+        return lambda a, b: F.when(a.isNotNull() & b.isNotNull(), test(G.locate(b, a) if point == 2 else G.locate(a, b))).cast("int")
 
     def of(a: Column, b: Column) -> Column:
         full = _udf(partial(O.predicate, which), "int")(a, b)

@@ -34,6 +34,12 @@ def clear(spark: SparkSession) -> None:
     _written.clear()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many tasks as there are cores, for work that is long a row: a file of few row groups is read by few tasks."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def numbered(df: DataFrame, order: list[Column], name: str, start: int = 0) -> DataFrame:
     """df with a long column `name`: each row's place in the order, from `start`.
 

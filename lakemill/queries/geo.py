@@ -6,16 +6,17 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..plans.geoframe import GeoFrame
+from ..plans.shared import spread
 from . import query, rounded
 
 
 def _points(t, srid: int = 0) -> GeoFrame:
-    d = t("customer").df
+    d = spread(t("customer").df.select("c_custkey", "c_acctbal"))
     return GeoFrame(d.select("c_custkey", G.point(F.col("c_acctbal") / 100, F.col("c_custkey") % 90, srid).alias("g")), geometry="g")
 
 
 def _boxes(t) -> GeoFrame:
-    d = t("part").df
+    d = spread(t("part").df.select("p_partkey", "p_retailprice", "p_size"))
     x, y = F.col("p_retailprice") / 100, F.col("p_partkey") % 90
     return GeoFrame(d.select("p_partkey", G.rectangle(x, y, x + F.col("p_size") / 10 + 0.05, y + 2.5).alias("g")), geometry="g")
 

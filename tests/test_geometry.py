@@ -130,3 +130,57 @@ def test_pairs(frame, spark):
     far = {(r["INDEXERIDA1"], r["INDEXERIDA2"]): r["RESULT"] for r in frame.distance(other).df.collect()}
     assert far[1, 10] == 0 and far[2, 10] == pytest.approx(math.hypot(0.5, 1.5)) and far[1, 11] == pytest.approx(math.hypot(5, 5))
     assert isinstance(frame[["id", "g"]], GeoFrame) and not isinstance(frame[["id"]], GeoFrame)
+
+
+def plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+def indexed(spark, texts):
+    out = GeoFrame(spark.createDataFrame(list(enumerate(texts)), "id int, w string").select("id", G.from_wkt(F.col("w")).alias("g")).localCheckpoint(), geometry="g")
+    out.index = "id"
+    return out
+
+
+def test_distances_of_points_need_no_python(spark):
+    a, b = indexed(spark, ["POINT (0 0)", None, "POINT (3 4)"]), indexed(spark, ["POINT (0 4)"])
+    d = a.distance(b).df
+    assert "Python" not in plan(d)
+    assert {r["INDEXERIDA1"]: r["RESULT"] for r in d.collect()} == {0: 4, 1: None, 2: 3}
+    mixed = indexed(spark, ["POINT (0 4)", SQUARE, None])
+    got = {(r["INDEXERIDA1"], r["INDEXERIDA2"]): r["RESULT"] for r in a.distance(mixed).df.collect()}
+    assert got == {(0, 0): 4, (0, 1): 0, (0, 2): None, (1, 0): None, (1, 1): None, (1, 2): None, (2, 0): 3, (2, 1): 0, (2, 2): None}
+
+
+def test_boxes_are_found_before_rows_meet(spark):
+    a, b = indexed(spark, [SQUARE, "POINT (9 9)", None]), indexed(spark, [HOLE, "POLYGON EMPTY"])
+    d = a.mbr_intersects(b).df
+    top = plan(d).split("Optimized Logical Plan")[1].split("Join Cross")[0]
+    assert "flatten" not in top
+    assert {(r[0], r[1]): r[2] for r in d.collect()} == {(0, 0): 1, (1, 0): 0, (2, 0): None, (0, 1): None, (1, 1): None, (2, 1): None}
+
+
+def test_a_box_is_found_once(spark):
+    a = indexed(spark, [SQUARE, "POINT (9 9)", "LINESTRING (1 2, 1 5)", "POLYGON EMPTY", None])
+    d = a.df.select(G.extreme(G.mbr(F.col("g")), "x", True).alias("v"))
+    assert plan(d).split("Optimized Logical Plan")[1].split("Physical Plan")[0].count("flatten") <= 20
+    assert [r["v"] for r in d.collect()] == [4, 9, 1, None, None]
+    assert values(a, a.mbr().as_wkt()) == ["POLYGON ((0 0, 4 0, 4 4, 0 4, 0 0))", "POINT (9 9)", "LINESTRING (1 2, 1 5)", None, None]
+
+
+def test_geometries_to_arrow_and_back():
+    some = [W(HOLE), None, W("POINT ZM (1 2 3 4)"), W("POLYGON EMPTY"), W("MULTIPOINT ((1 1), (3 5))")]
+    assert G.tuples(G.from_tuples(some)) == some and G.tuples(G.from_tuples(some).slice(2)) == some[2:]
+    assert G.tuples(G.from_tuples([])) == [] and G.tuples(G.from_tuples([None])) == [None]
+
+
+@pytest.mark.parametrize("others", [[], ["POLYGON ((5 0, 9 0, 7 4, 5 0))", HOLE]])
+def test_grid_join_of_points_sends_no_side_to_all(spark, others):
+    places = [f"POINT ({x / 2} {y / 2})" for x in range(-1, 20) for y in range(-1, 10)]
+    areas = [SQUARE, "POLYGON ((2 4, 2 1, 8 1, 8 4, 2 4))", None, *others]
+    a, b = indexed(spark, [*places, None]), indexed(spark, areas)
+    for p in ("within", "intersects", "touches"):
+        d = a.matching(b, p).df
+        assert "Broadcast" not in plan(d)
+        assert sorted(map(tuple, d.collect())) == [(i, k) for i, q in enumerate(places) for k, g in enumerate(areas) if g and O.predicate(p, W(q), W(g))]
+    assert sorted(map(tuple, b.matching(a, "contains").df.collect())) == sorted((k, i) for i, k in map(tuple, a.matching(b, "within").df.collect()))
