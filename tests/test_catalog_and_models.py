@@ -144,3 +144,44 @@ def test_items_with_commas_are_kept_apart(spark):
     m = AssociationRules(minsupport=0.1, minconf=0.5).fit(spark.createDataFrame(rows, "tid long, item string"), "tid", "item")
     got = m.predict(spark.createDataFrame(rows, "tid long, item string"), limit=10)
     assert got.groupBy("tid").count().agg(F.max("count")).first()[0] == 2
+
+
+def test_bayes_rows_stay_where_they_are(spark, monkeypatch):
+    """Rows are not multiplied by classes and shuffled; values that predicting alone has, null inputs and equal ids count."""
+    from lakemill.operators import naive_bayes
+
+    data = [(1, "a", "u", "L"), (2, "b", "u", "H"), (2, "b", "v", "H"), (3, None, None, "H"), (3, "a", "v", "L"), (4, None, "w", "M")]
+    new = spark.createDataFrame([(1, "a", "u"), (1, "z", "v"), (2, None, None)], "ID int, x string, y string")
+    fitted = NaiveBayes().fit(spark.createDataFrame(data, "ID int, x string, y string, t string"), "t")
+    counts = lambda c, k: {v: sum(r[k] == v and r[3] == c for r in data) for v in {r[k] for r in data} - {None}}
+    for most in (10**6, 0):
+        monkeypatch.setattr(naive_bayes, "MAX_SENT", most)
+        for m_est in (False, True):
+            got = fitted.predict_log(new, mestimation=m_est)
+            if most:
+                assert "hashpartitioning(ID" not in got._jdf.queryExecution().toString() and "__row" not in got._jdf.queryExecution().toString()
+            want = []
+            for id_, *vs in new.collect():
+                for c in "HLM":
+                    log = math.log(sum(r[3] == c for r in data))
+                    for k, v in enumerate(vs, 1):
+                        seen = counts(c, k)
+                        n = sum(seen.values())
+                        if v is not None and n:
+                            log += math.log((seen.get(v, 0) + 1) / (n + len(seen))) if m_est else math.log((seen.get(v, 0) or 0.5) / n)
+                    want.append((id_, c, round(log, 9)))
+            assert sorted((r["ID"], r["CLASS"], round(r["LOGPROB"], 9)) for r in got.collect()) == sorted(want)
+
+
+def test_kmeans_parts_have_a_size(spark, monkeypatch):
+    """Rows of one part are dealt out to train, and their order and parts make no difference."""
+    from lakemill.operators import kmeans
+
+    monkeypatch.setattr(kmeans, "ROWS_A_PART", 100)
+    trained = []
+    vectors = KMeans._vectors
+    monkeypatch.setattr(KMeans, "_vectors", lambda self, d: (trained.append(d), vectors(self, d))[1])
+    d = spark.createDataFrame([(i, float(i % 7) + i / 999, float(i % 11)) for i in range(950)], "ID long, x double, y double")
+    one = KMeans(4).fit(d.coalesce(1)).cluster_centers_
+    assert trained[0].rdd.getNumPartitions() == 10 and max(trained[0].rdd.glom().map(len).collect()) < 200
+    assert KMeans(4).fit(d.orderBy(F.desc("y")).repartition(3)).cluster_centers_ == [pytest.approx(c) for c in one]
