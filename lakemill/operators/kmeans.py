@@ -18,6 +18,9 @@ from .stats import categorical, name, numeric
 #: Values of a text column, at most.
 MAX_VALUES = 1000
 
+#: Rows of a part of the training rows.
+ROWS_A_PART = 50_000
+
 
 class KMeans(Estimator):
     """distance 'norm_euclidean' scales every input to unit deviation. Rows with a null input are in no cluster: theirs is null."""
@@ -53,7 +56,12 @@ class KMeans(Estimator):
                 raise ValueError(f"{c} has over {MAX_VALUES} values")
             self.values[c] = sorted(r[0] for r in found)
         self.scaler = None
-        rows = self._vectors(df)
+        # The rows are kept in memory part by part, so parts are of about equal size. Starting centres are drawn by a row's place: parts
+        # and order follow from the rows alone.
+        used = [name(c) for c in dict.fromkeys([column_id, *self.inputs, *self.nominal])]
+        dealt = df.select(*used)
+        dealt = dealt.repartition(dealt.count() // ROWS_A_PART + 1, *used).sortWithinPartitions(*used)
+        rows = self._vectors(dealt)
         if self.distance == "norm_euclidean":
             self.scaler = StandardScaler(inputCol="__raw", outputCol="__scaled", withMean=False, withStd=True).fit(rows)
             rows = self.scaler.transform(rows)
